@@ -53,35 +53,32 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Every row is worked on by itself: no shuffle. A null text has no words and zeros throughout.
     """
-    own = [c for c in docs.columns]
+    own = docs.columns
     raw = docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    cut = raw.selectExpr("*", f"filter(split(__text, '{BLANKS}'), w -> w <> '') AS __words", "filter(split(__text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]') AS __lines")
-    hashed = cut.selectExpr(
-        *(f"`{c}`" for c in own),
-        "cast(size(__words) AS long) AS n_words",
-        "cast(length(array_join(__words, '')) AS long) AS word_chars",
-        f"cast(regexp_count(__text, '{SYMBOLS}') AS long) AS n_symbols",
-        "cast(regexp_count(__text, '[A-Z]') AS long) AS __upper",
-        "cast(regexp_count(__text, '!') AS long) AS __bangs",
-        "cast(size(__lines) AS long) AS __n_lines",
-        "cast(size(__lines) - size(array_distinct(__lines)) AS long) AS n_dup_lines",
-        "transform(__words, w -> xxhash64(w)) AS __hashes",
-    )
-    windows = hashed.selectExpr(
-        *(c for c in _quoted(hashed.columns) if c != "`__hashes`"),
-        "size(array_distinct(__hashes)) AS __distinct",
-        f"if(n_words > {WINDOW}, transform(sequence(0, size(__hashes) - {WINDOW}), i -> xxhash64(slice(__hashes, i + 1, {WINDOW}))), cast(array() AS array<bigint>)) AS __windows",
+
+    def let(value: str, name: str, body: str) -> str:
+        """body with value under a name, worked out once: a lambda's own variable is never computed again."""
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+    # starts of windows that occur again: sorted by (hash, position), those with an equal neighbour
+    again = "sort_array(transform(filter(s, (x, k) -> (k > 0 AND s[greatest(k - 1, 0)].h = x.h) OR (k < size(s) - 1 AND s[least(k + 1, size(s) - 1)].h = x.h)), x -> x.i))"
+    covered = f"aggregate(transform(p, (x, k) -> if(k = size(p) - 1, {WINDOW}, least({WINDOW}, p[least(k + 1, size(p) - 1)] - x))), 0, (a, x) -> a + x)"
+    repeats = let("sort_array(transform(wins, (h, i) -> struct(h AS h, i AS i)))", "s", let(again, "p", covered))
+    windows = f"if(size(hs) > {WINDOW}, transform(sequence(0, size(hs) - {WINDOW}), i -> xxhash64(slice(hs, i + 1, {WINDOW}))), cast(array() AS array<bigint>))"
+    counts = f"struct(size(ws) AS n_words, length(array_join(ws, '')) AS word_chars, size(array_distinct(hs)) AS distinct_words, if(size(array_distinct(wins)) = size(wins), 0, {repeats}) AS n_repeat_words)"
+    by_word = let(f"filter(split(__text, '{BLANKS}'), w -> w <> '')", "ws", let("transform(ws, w -> xxhash64(w))", "hs", let(windows, "wins", counts)))
+    by_line = let("filter(split(__text, '\\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')", "ls", "struct(size(ls) AS n_lines, size(ls) - size(array_distinct(ls)) AS n_dup_lines)")
+    counted = raw.selectExpr(*(f"`{c}`" for c in own), f"{by_word} AS __w", f"{by_line} AS __l", f"regexp_count(__text, '{SYMBOLS}') AS __symbols", "regexp_count(__text, '[A-Z]') AS __upper", "regexp_count(__text, '!') AS __bangs")
+    base = counted.select(
+        *own,
+        *(F.col(f"__w.{n}").cast("long").alias(n) for n in ("n_words", "word_chars", "n_repeat_words")),
+        F.col("__w.distinct_words").alias("__distinct"),
+        F.col("__l.n_lines").alias("__n_lines"),
+        F.col("__l.n_dup_lines").cast("long").alias("n_dup_lines"),
+        F.col("__symbols").cast("long").alias("n_symbols"),
+        "__upper",
+        "__bangs",
     )
-    # positions of windows that occur again: sorted by (hash, position), those with an equal neighbour
-    again = """
-        if(size(array_distinct(__windows)) = size(__windows), cast(array() AS array<int>),
-           transform(array(array_sort(transform(__windows, (h, i) -> struct(h AS h, i AS i)))), s ->
-             array_sort(transform(filter(s, (x, k) -> (k > 0 AND s[greatest(k - 1, 0)].h = x.h) OR (k < size(s) - 1 AND s[least(k + 1, size(s) - 1)].h = x.h)), x -> x.i)))[0]) AS __again"""
-    marked = windows.selectExpr(*(c for c in _quoted(windows.columns) if c != "`__windows`"), again)
-    covered = f"""
-        cast(aggregate(transform(array(__again), p -> transform(p, (x, k) -> if(k = size(p) - 1, {WINDOW}, least({WINDOW}, p[least(k + 1, size(p) - 1)] - x))))[0],
-             0, (a, x) -> a + x) AS long) AS n_repeat_words"""
-    base = marked.selectExpr(*(c for c in _quoted(marked.columns) if c != "`__again`"), covered)
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("__n_lines", F.lit(1))
     return base.select(
         *own,
@@ -102,10 +99,6 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def _quoted(names: list[str]) -> list[str]:
-    return [f"`{n}`" for n in names]
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
