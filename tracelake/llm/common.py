@@ -73,7 +73,7 @@ def put_bytes(uri: str, name: str, data: bytes) -> None:
     fs, path = open_store(uri)
     fs.create_dir(path, recursive=True)
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         out.write(data)
     fs.move(part, f"{path}/{name}")
 
@@ -85,7 +85,7 @@ def get_bytes(uri: str, name: str) -> bytes | None:
     fs, path = open_store(uri)
     if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
         return None
-    with fs.open_input_stream(f"{path}/{name}") as src:
+    with fs.open_input_stream(f"{path}/{name}", compression=None) as src:
         return src.read()
 
 

@@ -19,6 +19,8 @@ from tracelake.llm.common import prepare, row_slices, text_bytes
 
 WORD_BITS = 12
 SLICE = 1 << 19
+#: Steps of the fit at least: small samples are gone through more often.
+LEAST_STEPS = 120
 #: Byte classes whose shares are structure statistics; fixed values.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:", "bang": b"!?", "symbol": b"#*$%&|<>", "bracket": b"()[]{}", "line": b"\n", "other": bytes(range(128, 256))}
 CLASS_OF = np.zeros(256, dtype=np.int64)
@@ -77,7 +79,7 @@ class Machine:
 
 
 def fit_machine(x_words: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray, y: np.ndarray, rank: int = 6, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, batch: int = 128, seed: int = 5) -> Machine:
-    """Adam on the log loss in seeded mini-batches; without rows of both labels the scores are the share of label 1."""
+    """Adam on the log loss in seeded mini-batches, both labels weighing the same in sum; without rows of both labels the scores are the share of label 1."""
     words = 1 << WORD_BITS
     size = words + DENSE
     rng = np.random.default_rng(seed)
@@ -85,7 +87,9 @@ def fit_machine(x_words: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray,
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
         return Machine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, rank)), np.zeros(DENSE), np.ones(DENSE))
     mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
-    m = Machine(float(np.log(y.mean() / (1 - y.mean()))), np.zeros(size), rng.normal(0, 0.02, (size, rank)), mean, scale)
+    even = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(y)))
+    m = Machine(0.0, np.zeros(size), rng.normal(0, 0.02, (size, rank)), mean, scale)
     flat = m.standard(dense)
     params = [np.array([m.bias]), m.linear, m.factors]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -100,7 +104,7 @@ def fit_machine(x_words: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray,
             total = x @ params[2]
             squares = x * x
             out = params[0][0] + x @ params[1] + (total * total - squares @ (params[2] * params[2])).sum(axis=1) / 2
-            error = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[lot]) / len(lot)
+            error = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[lot]) * even[lot] / len(lot)
             slopes = [np.array([error.sum()]), x.T @ error + decay * params[1], x.T @ (error[:, None] * total) - params[2] * (squares.T @ error)[:, None] + decay * params[2]]
             step += 1
             for p, g, a, b in zip(params, slopes, first, second, strict=True):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tracelake.llm.common import SPACES
+from tracelake.llm.common import SPACES, row_slices
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C55
@@ -87,11 +87,21 @@ def joined(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, starts
 
 
+#: Bytes that are hashed at once; rows stay whole.
+SLICE = 1 << 19
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all rows in order, index of the first word of each row with the total at the end)."""
-    text, starts = joined(data, offsets)
-    if lower:
-        text = LOWER[text]
-    first, last = word_spans(text)
-    hashes = span_hashes(prefix(text), first, last)
-    return hashes, np.append(np.searchsorted(first, starts), len(first))
+    hashes, heads, n = [], [], 0
+    for i, j in row_slices(offsets, SLICE):
+        text, starts = joined(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        if lower:
+            text = LOWER[text]
+        first, last = word_spans(text)
+        hashes.append(span_hashes(prefix(text), first, last))
+        heads.append(np.searchsorted(first, starts) + n)
+        n += len(first)
+    if not hashes:
+        return np.zeros(0, U), np.zeros(1, np.int64)
+    return np.concatenate(hashes), np.append(np.concatenate(heads), n)

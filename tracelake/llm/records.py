@@ -83,7 +83,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | No
                 fs, base = open_store(folder)
                 fs.create_dir(base, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}.{'u16' if encoder.kind == '<u2' else 'u32'}"
-                sink = fs.open_output_stream(f"{base}/.{name}")
+                sink = fs.open_output_stream(f"{base}/.{name}", compression=None)
             ids = long_column(batch.column(0))
             for i in range(0, batch.num_rows, SLICE_ROWS):
                 out = []
@@ -95,7 +95,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | No
                 sink.write(b"".join(out))
         if sink is not None:
             sink.close()
-            with fs.open_output_stream(f"{base}/.{name}.index") as out:
+            with fs.open_output_stream(f"{base}/.{name}.index", compression=None) as out:
                 out.write(b"".join(index))
             fs.move(f"{base}/.{name}.index", f"{base}/{name}.index")
             fs.move(f"{base}/.{name}", f"{base}/{name}")
@@ -125,7 +125,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
 def _scan(path: str, start: int) -> Iterator[pa.RecordBatch]:
     fs, local = open_store(path)
     kind = "<u2" if path.endswith(".u16") else "<u4"
-    with fs.open_input_stream(local) as src:
+    with fs.open_input_stream(local, compression=None) as src:
         held, more = b"", True
         while more or held:
             new = src.read(READ)
@@ -155,7 +155,7 @@ def read_at(path: str, offset: int, length: int) -> tuple[int, np.ndarray]:
 def read_index(path: str) -> np.ndarray:
     """(document id, offset, length) per record of a part."""
     fs, local = open_store(f"{path}.index")
-    with fs.open_input_stream(local) as src:
+    with fs.open_input_stream(local, compression=None) as src:
         return np.frombuffer(src.read(), dtype=[("id", "<i8"), ("offset", "<u8"), ("length", "<u8")])
 
 

@@ -95,7 +95,7 @@ def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = 100, level: i
                 if sink is None:
                     fs.create_dir(base, recursive=True)
                     name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
-                    sink = fs.open_output_stream(f"{base}/.{name}")
+                    sink = fs.open_output_stream(f"{base}/.{name}", compression=None)
                 squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
                 data = squeeze.compress(record(page, url, body.as_py(), digest, refers)) + squeeze.flush()
                 sink.write(data)
