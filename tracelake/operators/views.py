@@ -46,8 +46,8 @@ def event_rows(events: DataFrame) -> DataFrame:
         F.row_number().over(order).alias("id"),
         F.round("start_time", 6).alias("start_s"),
         F.round(F.col("duration") * 1e3, 4).alias("duration_ms"),
-        F.round("depth", 3).alias("depth"),
-        F.round("relative_depth", 4).alias("rel_depth"),
+        F.round(F.round("depth", 9), 3).alias("depth"),
+        F.round(F.round("relative_depth", 9), 4).alias("rel_depth"),
         F.col("n_levels").alias("levels"),
         "direction",
     )
