@@ -1,0 +1,348 @@
+"""Each operator against a plain version on a small table with nulls, empty and long texts, ties and repeated rows."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tracelake.llm import fingerprint, fm, lm, mixing, neardup, passages, records, rules, spm, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+KIND = "doc_id long, text string, lang string, source string, n_chars long, id string, band long, n_words string"
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def made():
+    rng = np.random.default_rng(1)
+    vocab = ["".join(rng.choice(list("abcdeéß"), rng.integers(2, 7))) for _ in range(400)]
+
+    def prose(n):
+        return " ".join(rng.choice(vocab, n))
+
+    base, shared = prose(120), prose(40)
+    words = base.split(" ")
+    near = " ".join(["new", *words[1:]])
+    far = " ".join(w if i % 3 else "other" for i, w in enumerate(words))
+    texts = [base, base, near, far, None, "", "  \n\t ", "one", "One", "two words", prose(30) + "\n" + shared, shared + "\n" + prose(30), "x" * 60 + prose(9), "y" + "x" * 60, "日本語 テスト 🙂 " * 12, "a b a b " * 40, prose(3000), "#bad# *sym* $$$ " * 30, prose(50), prose(50), "line one is here\nline one is here\n\nlast line", "tail space ", "two  blanks", "<|endoftext|> <s>"]
+    rows = [(i, t, "en", ["a", "b", None, "ü"][i % 4], len(t or ""), "clash", 7, "clash") for i, t in enumerate(texts)]
+    return rows + [(7, "one", "en", "b", 3, "clash", 7, "clash")]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return made()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, KIND).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], KIND)
+
+
+def test_near_duplicates(spark, docs, rows, empty):
+    sets = {}
+    for i, t, *_ in rows:
+        w = WORD.findall(lower(t or ""))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    group = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    got = neardup.near_duplicates(docs, shingle_words=4).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), group[r["doc_id"]], group[r["doc_id"]] == r["doc_id"])
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicate_families_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.choice(80, k % 9, replace=False):
+            words[at] = f"z{k}-{at}"
+        texts.append((k, " ".join(words)))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(76)} for k, t in texts}
+    group = {k: k for k in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+                    changed = True
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == group
+
+
+def test_warc_round_trip(spark):
+    pages = [(0, "http://a.b/ü c", "x" * 120), (1, None, "x" * 120), (2, "u", None), (3, "u", ""), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 60 + "\r\n\r\nWARC/1.1\r\n"), (6, "u", "é" * 60 + "\r\n\r\nWARC/1.1\r\n"), (None, "u", "x" * 120)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in warc.archive_round_trip(df).collect() if r["page_id"] is not None)
+    want = []
+    for p, _, h in pages:
+        if p is not None:
+            body = (h or "").encode()
+            refers = 0 if p == 1 else None
+            want.append((p, len(body), hashlib.sha256(body).hexdigest(), "revisit" if refers is not None else "response", refers))
+    assert got == sorted(want)
+    index = warc.write_warc(df, warc.scratch(spark, "some"))
+    some = warc.read_warc(index.where("page_id IN (0, 6)"), payloads=True).collect()
+    assert sorted(bytes(r["body"]).decode() for r in some) == sorted(h for p, _, h in pages if p in (0, 6))
+    assert warc.archive_round_trip(df.limit(0)).count() == 0
+
+
+def test_ranges_coalesce(spark):
+    index = spark.createDataFrame([("f", 0, 10), ("f", 10, 10), ("f", 1000, 5), ("g", 0, 3)], "file string, offset long, length long")
+    got = sorted((r["file"], r["start"], r["stop"], len(r["records"])) for r in warc.ranges(index, gap=100).collect())
+    assert got == [("f", 0, 20, 2), ("f", 1000, 1005, 1), ("g", 0, 3, 1)]
+
+
+def test_highest_quotients():
+    votes, seats = [530.0, 240.0, 0.0, 240.0, 9.0], 37
+    ranked = sorted(((v / (2 * k + 1), -i) for i, v in enumerate(votes) for k in range(seats) if v), reverse=True)[:seats]
+    want = collections.Counter(-i for _, i in ranked)
+    assert mixing.sainte_lague(votes, seats) == [want[i] for i in range(5)]
+    shards = mixing.shard_quotas(votes, seats, 4)
+    assert [sum(s[i] for s in shards) for i in range(5)] == mixing.sainte_lague(votes, seats)
+    assert mixing.targets([10, 100, 100], [5, 2, 1], 150, 2.0) == pytest.approx([20, 260 / 3, 130 / 3])
+    factor, shift = mixing.permutation(97, 1, "a")
+    assert sorted((factor * b + shift) % 97 for b in range(97)) == list(range(97))
+
+
+def test_mixing(spark, docs, rows, empty):
+    got = mixing.mix_sources(docs, block_words=8).collect()
+    assert len(got) == len(rows)
+    size = collections.Counter()
+    for _, t, _, source, *_ in rows:
+        size[source] += len(WORD.findall(t or ""))
+    taken = collections.Counter()
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([size[s] for s in order], [5, 2, 1, 5], 1.5 * sum(size.values()), 2.0)
+    for s, g in zip(order, goal, strict=True):
+        assert abs(taken[s] - g) <= 17
+    again = mixing.mix_sources(docs.repartition(5), block_words=8).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    assert mixing.mix_sources(empty).count() == 0
+    kept = mixing.mix_sources(docs, block_words=8, keep=("text",))
+    assert kept.count() == len(rows) and "text" in kept.columns
+
+
+def test_records(spark, docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    want, start = [], 0
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in records.token_records(docs, path).collect()) == want
+    assert records.token_records(empty, path).count() == 0
+    folder = records.scratch(spark, "records")
+    part = records.write_records(docs, path, folder).collect()[0]["path"]
+    index = records.read_index(part)
+    for k in np.random.default_rng(0).permutation(len(index))[:5]:
+        doc, ids = records.read_at(part, int(index["offset"][k]), int(index["length"][k]))
+        text = next(t for i, t, *_ in rows if i == doc)
+        assert ids.tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+    broken = bytearray(records.frame(b"payload"))
+    broken[14] ^= 1
+    with pytest.raises(ValueError):
+        records.unframe(memoryview(bytes(broken)), 0)
+
+
+def test_sentencepiece(spark, docs, rows, empty):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    theirs = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoded = spm.encode_pieces(docs, path)
+    for r in spm.decode_pieces(encoded, path).collect():
+        text = next(t for i, t, *_ in rows if i == r["doc_id"]) or ""
+        assert r["ids"] == theirs.encode(text) and r["round_trip"] and r["text"] == text
+    assert spm.encode_pieces(empty, path).count() == 0
+
+
+def test_unigram_models_are_rebuilt(tmp_path):
+    """A hand-made unigram model with byte fallback, as bytes of the protobuf."""
+    import struct
+
+    def field(n, value):
+        if isinstance(value, bytes):
+            return bytes([n << 3 | 2, len(value)]) + value
+        if isinstance(value, float):
+            return bytes([n << 3 | 5]) + struct.pack("<f", value)
+        return (bytes([n << 3]) if n < 16 else bytes([(n << 3) & 127 | 128, n >> 4])) + bytes([value])
+
+    pieces = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", -20.0, 6) for b in range(256)), ("▁", -2.0, 1), ("▁ab", -1.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("ba", -2.5, 1)]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in pieces)
+    data += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 1) + field(5, 1))
+    path = tmp_path / "tiny.model"
+    path.write_bytes(data)
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    ours = spm.SpmEncoder(str(path))
+    texts = ["ab ba", "  abba  ab ", "é", "", "aab bba"]
+    for t, code in zip(texts, ours.encode(texts), strict=True):
+        assert np.frombuffer(code, ours.kind).tolist() == theirs.encode(t)
+
+
+def test_rule_statistics(docs, rows, empty):
+    got = rules.judge(docs, []).collect()
+    assert len(got) == len(rows) and "source" in got[0].asDict()
+    for r in got:
+        text = next(t for i, t, *_ in rows if i == r["doc_id"]) or ""
+        w = WORD.findall(text)
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        at = collections.defaultdict(list)
+        for k in range(len(w) - 7):
+            at[tuple(w[k : k + 8])].append(k)
+        covered = {j for v in at.values() if len(v) > 1 for k in v for j in range(k, k + 8)}
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["kept"] == (not r["base_failed"]) and r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+    assert rules.judge(empty, []).count() == 0
+
+
+def test_decision_list():
+    rng = np.random.default_rng(0)
+    data = []
+    for k in range(900):
+        row = {n: float(rng.random()) for n in rules.SEPARATE}
+        row |= {"bad": row["symbols_per_word"] > 0.8 or (row["upper_share"] > 0.7 and row["mean_word"] < 0.4), "fold": k % 3}
+        data.append(row)
+    found = rules.learn_list(data, cuts=200)
+    wrong = sum(any(all(c.holds(r) for c in rule) for rule in found) != r["bad"] for r in data)
+    assert 2 <= len(found) <= 6 and wrong < 30
+    assert found == rules.learn_list(data, cuts=200)
+    assert rules.learn_list([r | {"bad": False} for r in data]) == []
+    assert rules.learn_list([]) == []
+
+
+def test_no_python_in_rule_plans(spark):
+    docs = spark.range(9).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    column = [[rules.Condition("symbols_per_word", True, 0.5)]]
+    plan = rules.judge(docs, column)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange"))
+
+
+def test_classifier(spark, sf_dir, docs, empty):
+    d, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    machine = fm.train(d, labels)
+    got = fm.classify(d, machine).join(labels, "doc_id").where("held_out").collect()
+    assert sum((r["score"] >= 0.3) == (r["quality"] == 1) for r in got) >= 0.9 * len(got)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    rest = fm.classify(docs, machine).collect()
+    assert all(0 <= r["score"] <= 1 for r in rest)
+    assert fm.classify(empty, machine).count() == 0
+    assert fm.classify(docs, fm.train(docs, labels.limit(0))).count() == len(rest)
+
+
+def test_sum_of_squares_identity():
+    rng = np.random.default_rng(0)
+    size = (1 << fm.WORD_BITS) + fm.DENSE
+    m = fm.Machine(0.1, rng.normal(size=size), rng.normal(size=(size, 3)), np.zeros(fm.DENSE), np.ones(fm.DENSE))
+    at, bucket, weight = np.zeros(4, int), np.array([1, 5, 9, 70]), rng.random(4)
+    dense = rng.random((1, fm.DENSE))
+    x = np.zeros(size)
+    x[bucket] = weight
+    x[1 << fm.WORD_BITS :] = m.standard(dense)[0]
+    on = np.flatnonzero(x)
+    plain = m.bias + x @ m.linear + sum(m.factors[i] @ m.factors[j] * x[i] * x[j] for n, i in enumerate(on) for j in on[n + 1 :])
+    assert m.score(at, bucket, weight, dense)[0] == pytest.approx(1 / (1 + math.exp(-plain)))
+
+
+def test_fingerprints(spark, docs, rows, empty):
+    one = {r[0]: r[1] or "" for r in rows}
+    order = sorted(one, reverse=True)
+    distinct = docs.dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(distinct).collect()}
+    assert len(got) == len(order)
+    for k, i in enumerate(order):
+        text, after = one[i], one[order[(k + 1) % len(order)]]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["fingerprint"] == fingerprint.digest(text.encode()) and r["edited_fingerprint"] == fingerprint.digest(edited.encode())
+        assert r["near_edited"] == fingerprint.likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == fingerprint.likeness(r["fingerprint"], fingerprint.digest(after.encode())) and 0 <= r["near_next"] <= 1
+    assert fingerprint.edited_fingerprints(docs).count() == len(rows)
+    assert fingerprint.edited_fingerprints(empty).count() == 0
+    assert fingerprint.edited_fingerprints(distinct.where("doc_id = 3")).first()["near_next"] == 1.0
+
+
+def test_fingerprint_ranges(spark, monkeypatch):
+    """Many ranges give the same neighbours as one."""
+    df = spark.createDataFrame([(i * 7, f"text number {i} " * 9) for i in range(200)], "doc_id long, text string")
+    one = sorted(map(tuple, fingerprint.edited_fingerprints(df).collect()))
+    monkeypatch.setattr(fingerprint, "PART_BYTES", 1500)
+    assert sorted(map(tuple, fingerprint.edited_fingerprints(df).collect())) == one
+
+
+def test_passages(docs, rows, empty):
+    first, byte = {}, {}
+    for i, t, *_ in rows:
+        byte[i] = (t or "").encode()
+    for i in sorted(byte):
+        for k in range(len(byte[i]) - 49):
+            first.setdefault(byte[i][k : k + 50], i)
+    out = passages.remove_passages(docs, texts=True, carry=["source"])
+    got = out.collect()
+    assert len(got) == len(rows) and any(r["n_removed"] for r in got)
+    for r in got:
+        b = byte[r["doc_id"]]
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < r["doc_id"]:
+                gone[k : k + 50] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+        assert len(r["text"].encode()) >= len(kept)
+    assert {r["source"] for r in got} == {"a", "b", None, "ü"}
+    assert passages.remove_passages(empty).count() == 0
+
+
+def test_language_model(docs, rows, empty):
+    words = [(i, WORD.findall(lower(t or ""))) for i, t, *_ in rows]
+    count = collections.Counter(tuple(w[k : k + n]) for _, w in words for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total = sum(len(w) for _, w in words)
+
+    def score(g):
+        if len(g) == 1:
+            return count[g] / total
+        return count[g] / count[g[:-1]] if count[g] >= 2 else 0.4 * score(g[1:])
+
+    got = {r["doc_id"]: r for r in lm.backoff_scores(docs, order=3).collect()}
+    for i, w in words:
+        want = sum(math.log10(score(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
+        assert got[i]["n_words"] == len(w) and got[i]["log10_score"] == pytest.approx(want)
+        assert (got[i]["mean_log10"] is None) == (not w)
+    assert lm.backoff_scores(empty).count() == 0

@@ -1,0 +1,35 @@
+import duckdb
+import pytest
+
+import corpus_pipeline
+from tracelake.llm import queries as Q
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_oracle(name, spark, sf_dir):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    ours = Q.queries()[name](spark, sf_dir)
+    theirs = con.sql(Q.oracle_sql()[name])
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    at = [theirs.columns.index(c) for c in columns]
+    assert sorted(str(tuple(r[c] for c in columns)) for r in ours.collect()) == sorted(str(tuple(r[i] for i in at)) for r in theirs.fetchall())
+
+
+def test_pipeline(spark, sf_dir):
+    """Every stage returns the columns of documents and keeps clean rows; the last one encodes what is left."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sizes = [docs.count()]
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.written(stage(spark, docs, sf_dir), "test")
+        sizes.append(docs.count())
+        if n < 4:
+            assert docs.dtypes == [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")]
+        if n == 0:
+            good = docs.join(labels, "doc_id").where("quality = 1").count()
+            assert good >= 0.85 * labels.where("quality = 1").count()
+    assert sizes[0] >= sizes[1] > sizes[2] == sizes[3] and sizes[4] == sizes[5] > sizes[3]
+    assert docs.where("not round_trip").count() == 0

@@ -30,6 +30,8 @@ SEPARATE = (
     "words_per_line",
     "log_words",
 )
+#: Names that the operator gives; the base statistics come first.
+TAKEN = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *SEPARATE}
 
 
 @dataclass(frozen=True)
@@ -51,9 +53,10 @@ class Condition:
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the statistics n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those that rules use.
 
-    Every row is worked on by itself: no shuffle. A null text has no words and zeros throughout.
+    Every row is worked on by itself: no shuffle. A null text has no words and zeros throughout; columns of docs that have the
+    name of a statistic give way to it.
     """
-    own = docs.columns
+    own = [c for c in docs.columns if c.lower() not in TAKEN]
     raw = docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
 
     def let(value: str, name: str, body: str) -> str:
