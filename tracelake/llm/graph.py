@@ -24,8 +24,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _single_root(edges: DataFrame) -> bool:
+    """Whether every leaf has one root."""
+    return edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Whether no node is both a leaf and a root: then large and small stars would change nothing."""
+    return edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,12 +41,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = written(now, "edges")
-    state = _state(now)
-    while state[0]:
+    while True:
         now = written(_small_star(_large_star(now)), "edges")
-        new = _state(now)
-        if new == state:
+        if _single_root(now) and _is_star(now):
             break
-        state = new
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

@@ -2,11 +2,13 @@
 
 1. One pass over the texts gives each document the size and digest of its shingle set, its MinHash bands, and its odd
    sketch: a parity bitmap into which every MinHash sample flips one bit. Documents with equal sets are one class.
-2. Class representatives that share a band value are candidates. In star rounds each bucket has a leader, and each member
+2. Class representatives that share a band value are candidates. First each bucket has a leader, and each member
    is paired with the leaders of a few of its buckets; XOR population counts of the sketches estimate the similarity and
    drop hopeless pairs; the rest is checked exactly.
-3. Buckets that still hold more than one component are compared across components, a pair in its first shared band only.
-   So no candidate pair is lost: a pair that is never compared lies within one component already.
+3. Buckets that still hold more than one component form families (members that buckets connect). A family is cut into
+   blocks, and every two blocks meet in one task that has their texts: pairs of different components that share a band and
+   whose sketches allow it are checked exactly there, most alike first, until their components are one. Only links leave
+   the task. So no candidate pair is lost: a pair that is never compared lies within one component already.
 4. Links become components; copies of a class take over its component.
 
 Buckets are joined on their key, so Spark can split a large one; the texts of a popular leader go to salted groups.
@@ -28,14 +30,16 @@ from tracelake.llm.graph import components
 
 #: Rows of a side that is broadcast at most (16 bytes a row); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Members of a leader that one salted group holds, about.
-GROUP = 64
+#: Groups that a leader's members are dealt to; members stream past the leader's set, so no group is held in memory.
+SALTS = 16
 SLICE = 1 << 19
 #: Words of 64 parity bits of a sketch, and MinHash samples folded into it.
 SKETCH_WORDS = 16
 SKETCH_SAMPLES = 256
 #: Leaders that a member is paired with in a star round.
 PICKS = 3
+#: Members of a block of a family; two blocks meet in one task.
+BLOCK = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -126,12 +130,20 @@ def _likeness(a: str, b: str, samples: int):
     return F.when(part <= 0, F.lit(0.0)).otherwise(1 + bits * F.log(part) / (4 * samples))
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < percent * len(large) or not len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _exact(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     spark = pairs.sparkSession
-    members = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"))
-    dealt = written(dealt, "pairs")
+    dealt = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")), "pairs")
     roles = dealt.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("role")).union(dealt.select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("role")).distinct())
     ids = roles.select("id").distinct()
     if (n := ids.count()) == 0:
@@ -152,10 +164,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                         leader, leads = a[row], own
                         continue
                     assert leader == a[row]
-                    small, large = (own, leads) if len(own) < len(leads) else (leads, own)
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                    if 100 * both >= percent * (len(own) + len(leads) - both):
+                    if _linked(own, leads, percent):
                         found.append((a[row], ident[row]))
             if found:
                 left, right = zip(*found, strict=True)
@@ -164,6 +173,71 @@ def _exact(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return groups.select("a", "id", "role", "text").mapInArrow(run, "a long, b long")
 
 
+def _between_components(rest: DataFrame, side: DataFrame, docs: DataFrame, k: int, percent: int, floor: float, samples: int) -> DataFrame:
+    """Links (a, b) between components of a family, enough of them to join all that links join.
+
+    rest: band, id, component of open buckets; side: id, sketch, bands.
+    """
+    low = rest.groupBy("band").agg(F.min("id").alias("a"))
+    family = components(rest.join(low, "band").where("id <> a").select("a", F.col("id").alias("b"))).withColumnRenamed("component", "family")
+    members = written(rest.select("id", "component").distinct().join(family, "id"), "families")
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    own = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("id", "component", "family", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    ids = members.select("id").distinct()
+    needed = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id").join(side, "id")
+    groups = meet.join(needed, "id").select("family", "i", "j", "block", "id", "component", "text", "bands", F.array(*(f"sketch.s{w}" for w in range(SKETCH_WORDS))).alias("sketch")).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "id")
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        data, offsets = text_bytes(pa.array([r[4] for r in rows], pa.large_string()))
+        sets = [s for x, y in row_slices(offsets, SLICE) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k)]
+        block, ids, comp = (np.array([r[c] for r in rows]) for c in (1, 2, 3))
+        bands, sketch = np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
+        left, right = np.flatnonzero(block == block[0]), np.flatnonzero(block == block[-1])
+        within = block[0] == block[-1]
+        found, root = [], {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        pairs = []
+        for x in left:
+            ys = right[(comp[right] != comp[x]) & (right > x if within else True)]
+            ys = ys[(bands[ys] == bands[x]).any(axis=1)]
+            if len(ys):
+                odd = np.bitwise_count((sketch[ys] ^ sketch[x]).view(np.uint64)).sum(axis=1)
+                part = np.maximum(1 - 2 * odd / (64.0 * SKETCH_WORDS), 1e-9)
+                alike = 1 + 64.0 * SKETCH_WORDS * np.log(part) / (4 * samples)
+                pairs += [(-a, int(x), int(y)) for a, y in zip(alike, ys, strict=True) if a >= floor]
+        for _, x, y in sorted(pairs):
+            a, b = top(int(comp[x])), top(int(comp[y]))
+            if a != b and _linked(sets[x], sets[y], percent):
+                root[max(a, b)] = min(a, b)
+                found.append((int(ids[x]), int(ids[y])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (found := links(held)):
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("family", "i", "j", "block", "id", "component", "text", "bands", "sketch")]
+            for f, i, j, block, ident, component, text, bands, sketch in zip(*columns, strict=True):
+                if (f, i, j) != key:
+                    yield from out()
+                    key, held = (f, i, j), []
+                held.append((0, block, ident, component, text, bands, sketch))
+        yield from out()
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle_words: int = 5,
@@ -219,17 +293,9 @@ def near_duplicates(
         pairs = picks.select("id", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(PICKS))))).alias("leader"))
         return pairs.select(F.col("leader").alias("a"), F.col("id").alias("b"))
 
-    links, rest = None, buckets
-    for salt in (0, 101):
-        new = checked(star(rest, salt))
-        links = new if links is None else links.union(new)
-        rest = open_only(written(components(links), "components"))
-    wide = rest.join(side, "id").select("band", "id", "component", "sketch", "bands")
-    left = wide.select("band", F.col("id").alias("a"), F.col("sketch").alias("x"), F.col("bands").alias("bx"), F.col("component").alias("ca"))
-    right = wide.select("band", F.col("id").alias("b"), F.col("sketch").alias("y"), F.col("bands").alias("by"), F.col("component").alias("cb"))
-    first = F.expr("element_at(bx, cast(array_position(zip_with(bx, by, (p, q) -> p = q), true) AS int)) = band")
-    across = left.join(right, "band").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (_likeness("x", "y", samples) >= floor) & first).select("a", "b")
-    more = written(_exact(across, texts.where("id is not null"), shingle_words, percent), "links")
+    links = checked(star(buckets, 0))
+    rest = open_only(written(components(links), "components"))
+    more = written(_between_components(rest, side, texts, shingle_words, percent, floor, samples), "links")
     same = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = components(links.union(more).union(same).distinct())
     out = sig.select("id", "n_shingles").join(found, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
