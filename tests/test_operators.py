@@ -199,3 +199,50 @@ def test_scenarios():
     assert all(a.start + a.duration < b.start for a, b in zip(train, train[1:], strict=False))
     with pytest.raises(ValueError):
         scenario("other")
+
+
+def test_spectrum_between_events(spark):
+    x = np.random.default_rng(9).normal(0, 2, 20_000)
+    ev = []
+    for k in range(8):
+        a = 1500 + 2300 * k
+        x[a : a + 200] -= 80
+        ev.append(("a", a, a + 200))
+    events_df = spark.createDataFrame(ev, "recording_id string, start_idx long, end_idx long")
+    psd = spectrum.noise_spectrum(samples(spark, x), events_df, 20_000.0, 0.05)
+    low = psd.where("freq > 0 AND freq < 2000").agg(F.avg("psd")).first()[0]
+    assert low == pytest.approx(2 * 2**2 / 20_000, rel=0.3)
+    assert spectrum.noise_summary(psd)["rms_total"] == pytest.approx(2, rel=0.1)
+    assert sum(b - a for a, b in spectrum.spread_budget([(0, 10_000)], 2000, 100)) <= 2600
+    tone = 1.5 * np.sin(2 * np.pi * 50 * np.arange(20_000) / 1000.0) + np.random.default_rng(1).normal(size=20_000)
+    found = spectrum.noise_summary(spectrum.welch(samples(spark, tone), 1000.0, 1000))["peaks"]
+    assert found[0]["label"] == "mains 50 Hz"
+
+
+def test_segment_detector(spark):
+    from tracelake.operators import inference
+
+    x = np.random.default_rng(2).normal(0, 1, 1200)
+    x[400:500] -= 20
+    spans = spark.createDataFrame([("a", 0, 600), ("a", 600, 1200)], "recording_id string, start_idx long, end_idx long")
+    sigma = spark.createDataFrame([("a", 1.0)], "recording_id string, noise double")
+    assert pairs(inference.segment_detector(samples(spark, x), spans, sigma)) == [(400, 500)]
+
+
+def test_selection_of_ranges(spark):
+    assert ranges.apply_selection("exclude", (3, 1), [(5.0, 6.0)], 10.0) == [(5.0, 6.0), (1, 3)]
+    assert ranges.apply_selection("keep", (1.0, 3.0), [], 10.0) == [(0.0, 1.0), (3.0, 10.0)]
+    table = spark.createDataFrame([(2, 5), (7, 9)], "i0 long, i1 long")
+    assert pairs(ranges.outside(table, 12)) == [(0, 2), (5, 7), (9, 12)]
+
+
+def test_command_line(spark, tmp_path):
+    from tracelake import cli
+
+    planted = [Planted(0.3 + 0.5 * k, [(0.02, 140.0)]) for k in range(3)]
+    signal = generate(1.8, 10_000.0, white=2.0, pink=0.0, events=planted)
+    (tmp_path / "a.bin").write_bytes((signal.values * 10).astype("<i2").tobytes())
+    common = [str(tmp_path / "a.bin"), "--sampling-rate", "10000", "--scale-factor", "0.1", "--output-dir", str(tmp_path)]
+    got = cli.main(["analyze", *common, "--baseline-window-sec", "0.3", "--baseline-iterations", "1", "--gmm-max-components", "4"])
+    assert got["n_events"] == 3 and spark.read.option("header", True).csv(str(tmp_path / "events.csv")).count() == 3
+    assert cli.main(["spectrum", *common, "--segment-sec", "0.1"])["rms_total"] > 0

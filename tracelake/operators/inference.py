@@ -122,3 +122,39 @@ def cluster(features: DataFrame, most: int = 10, concentration: float | None = N
 
     out = features.mapInPandas(assign, kind)
     return out, [{"cluster_id": i, "weight": float(w), "mean": (fit.means[j] * scale + center).tolist()} for i, (j, w) in enumerate(zip(used, share, strict=True))]
+
+
+def statistics_summary(events: DataFrame, seconds: float, draws: int = 3000, burn: int = 1000) -> dict:
+    """Capture rate and dwell-time mixture of all events and, where there are clusters, of each one.
+
+    A mixture needs five durations. Groups are clusters, so only a handful of rows reach the driver.
+    """
+    from tracelake.functions.bayes import capture_rate
+
+    groups = events.withColumn("group", F.lit("all"))
+    if "cluster_id" in events.columns:
+        groups = groups.unionByName(events.where("cluster_id IS NOT NULL").withColumn("group", F.concat(F.lit("cluster "), F.col("cluster_id").cast("string"))))
+    out: dict[str, dict] = {r["group"]: {"rate": capture_rate(r["n"], seconds)} for r in groups.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    for r in dwell_posteriors(groups, "group", draws, burn).orderBy("group", "component").collect():
+        out[r["group"]].setdefault("dwell", []).append({k: r[k] for k in ("tau_mean", "tau_lower", "tau_upper", "weight")})
+    return out
+
+
+def segment_detector(samples: DataFrame, spans: DataFrame, sigma: DataFrame, factor: float = 1.5, k_sigma: float = 3.0, least: int = 10, column: str = "value") -> DataFrame:
+    """Events as runs of change-point segments whose mean lies k_sigma deviations below 0; spans cut the signal beforehand."""
+    ship(samples.sparkSession)
+    schema = "recording_id string, start_idx long, end_idx long"
+    inside = contained(samples.select("recording_id", "sample_idx", F.col(column).cast("double").alias("x")), spans).join(sigma.select("recording_id", F.col("noise").alias("sd")), "recording_id")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        from tracelake.functions.changepoints import optimal_partition, segments
+
+        part = part.sort_values("sample_idx")
+        x, first = part["x"].to_numpy(), int(part["sample_idx"].iloc[0])
+        low = [s for s in segments(x, optimal_partition(x, factor, least)) if s["mean"] < -k_sigma * part["sd"].iloc[0]]
+        return _frame(schema, [(part["recording_id"].iloc[0], first + s["start"], first + s["end"]) for s in low])
+
+    found = inside.groupBy("recording_id", "start_idx").applyInPandas(run, schema)
+    from tracelake.operators.events import merge_runs
+
+    return merge_runs(found, 0)

@@ -91,3 +91,25 @@ def shift(events: DataFrame, offset: int, rate: float) -> DataFrame:
 
 def ranges_of(spark: SparkSession, ranges: list[tuple[float, float]]) -> DataFrame:
     return spark.createDataFrame([(float(a), float(b)) for a, b in ranges], "t0 double, t1 double")
+
+
+def outside(table: DataFrame, n: int) -> DataFrame:
+    """(start_idx, end_idx) of what the kept ranges leave out."""
+    order = Window.orderBy("i0").rowsBetween(Window.unboundedPreceding, -1)
+    ends = table.select("i0", "i1").unionByName(table.sparkSession.createDataFrame([(n, n)], "i0 long, i1 long"))
+    gaps = ends.select(F.coalesce(F.max("i1").over(order), F.lit(0)).alias("start_idx"), F.col("i0").alias("end_idx"))
+    return gaps.where("start_idx < end_idx")
+
+
+def apply_selection(mode: str, selection: tuple[float, float] | None, ranges: list[tuple[float, float]], duration: float) -> list[tuple[float, float]]:
+    """Excluded ranges after a selection: `exclude` adds it, `keep` leaves nothing but it, `clear` drops all."""
+    if mode == "clear":
+        return []
+    if selection is None:
+        return ranges
+    low, high = sorted(selection)
+    if mode == "exclude":
+        return [*ranges, (low, high)]
+    if mode == "keep":
+        return [r for r in ((0.0, low), (high, duration)) if r[0] < r[1]]
+    raise ValueError(f"unknown mode: {mode}")

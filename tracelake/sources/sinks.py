@@ -58,3 +58,12 @@ def save_waveform(samples: DataFrame, path: str, fmt: str = "npz") -> None:
 
 def stats_json(stats: dict) -> str:
     return json.dumps(stats, indent=2, default=float)
+
+
+def notebook_table(events: DataFrame, units: str = "pA") -> DataFrame:
+    """Eight display columns, ids from 1."""
+    order = Window.partitionBy("recording_id").orderBy("start_idx", "direction")
+    return events.select(
+        F.row_number().over(order).alias("event_id"), F.col("start_time").alias("start_sec"), F.col("end_time").alias("end_sec"), (F.col("duration") * 1e3).alias("duration_ms"),
+        F.col("depth").alias(f"depth_{units}"), "area", F.col("n_levels").alias("n_sublevels"), "direction",
+    )
