@@ -246,3 +246,11 @@ def test_command_line(spark, tmp_path):
     got = cli.main(["analyze", *common, "--baseline-window-sec", "0.3", "--baseline-iterations", "1", "--gmm-max-components", "4"])
     assert got["n_events"] == 3 and spark.read.option("header", True).csv(str(tmp_path / "events.csv")).count() == 3
     assert cli.main(["spectrum", *common, "--segment-sec", "0.1"])["rms_total"] > 0
+
+
+def test_wide_means_equal_narrow_ones(spark, monkeypatch):
+    s = samples(spark, np.random.default_rng(11).normal(size=900)).withColumn("baseline", F.col("value"))
+    a = baseline.smooth(s, 310, chunk=128).orderBy("sample_idx").toPandas()["baseline"]
+    monkeypatch.setattr(baseline, "NARROW", 0)
+    b = baseline.smooth(s, 310, chunk=128).orderBy("sample_idx").toPandas()["baseline"]
+    assert np.allclose(a, b)

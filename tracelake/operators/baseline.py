@@ -63,16 +63,33 @@ def percentile_sparse(samples: DataFrame, window: int, percentile: float, mask:
     return at.join(lines, ["recording_id", "left"]).withColumn("baseline", F.coalesce(F.col("v0") + part * (F.col("v1") - F.col("v0")), F.col("v0"))).drop("left", "v0", "v1", "centres")
 
 
+#: Widths up to this are averaged by a sliding frame, wider ones by differences of running sums; the results are the same.
+NARROW = 64
+
+
 def smooth(samples: DataFrame, window: int, column: str = "baseline", chunk: int = layout.CHUNK) -> DataFrame:
     """Moving mean of width max(3, window div 10), made odd, cut off at the ends; short recordings stay as they are."""
     width = max(3, window // 10)
     width += 1 - width % 2
     h = width // 2
     n = samples.groupBy("recording_id").agg(F.count("*").alias("__n"))
-    got = layout.over_chunks(samples, h, h, {"__mean": F.avg(column)}, chunk)
+    if width <= NARROW:
+        got = layout.over_chunks(samples, h, h, {"__mean": F.avg(column)}, chunk)
+    else:
+        got = _running_mean(samples, h, column, max(chunk, 8 * h))
     return got.join(n, "recording_id").withColumn(column, F.when(F.col("__n") >= width, F.col("__mean")).otherwise(F.col(column))).drop("__n", "__mean")
 
 
+def _running_mean(samples: DataFrame, h: int, column: str, chunk: int) -> DataFrame:
+    """Adds __mean over h samples to both sides, in constant time a row whatever the width."""
+    order = Window.partitionBy("recording_id", "chunk").orderBy("sample_idx")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = layout.with_halo(samples, h, h, chunk).withColumn("__s", F.sum(column).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__k", F.row_number().over(order))
+    high, low = F.coalesce(F.lead("__s", h).over(order), F.last("__s").over(whole)), F.coalesce(F.lag("__s", h + 1).over(order), F.lit(0.0))
+    count = F.least(F.col("__k") + h, F.last("__k").over(whole)) - F.greatest(F.col("__k") - h - 1, F.lit(0))
+    return layout.own_rows(sums.withColumn("__mean", (high - low) / count).drop("__s", "__k"), chunk)
+
+
 def local_baseline(samples: DataFrame, window: int, percentile: float, mask: str | None = None, n: int | None = None) -> DataFrame:
     """Adds the smoothed `baseline`, directly or at sparse centres as the size asks."""
     most = n if n is not None else samples.groupBy("recording_id").count().agg(F.max("count")).first()[0] or 0
