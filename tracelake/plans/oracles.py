@@ -129,7 +129,7 @@ ORACLES: dict[str, str] = {
     "suggest_figures": f"""WITH {SIG}, d AS (SELECT abs(v - lag(v) OVER (ORDER BY i)) AS d FROM sig WHERE i < 100000), f AS (SELECT (SELECT median(d) * 1.4826 / sqrt(2) FROM d WHERE d IS NOT NULL) AS noise, quantile_cont(v, 0.01) AS low, quantile_cont(v, 0.99) AS high FROM sig WHERE i < 500000)
         SELECT 'events' AS recording_id, round(noise, 6) AS noise, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN noise / (high - low) < 0.05 THEN 5.0 WHEN noise / (high - low) < 0.15 THEN 3.0 ELSE 2.0 END::DOUBLE AS n_sigma FROM f""",
     "detrend_linear": f"""WITH {USR}, l AS (SELECT rec, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM usr GROUP BY rec)
-        SELECT rec AS recording_id, i AS sample_idx, round(a + b * i, 6) AS trend, round(v - (a + b * i), 6) AS detrended FROM usr JOIN l USING (rec)""",
+        SELECT rec AS recording_id, i AS sample_idx, round(a + b * i, 4) AS trend, round(v - (a + b * i), 4) AS detrended FROM usr JOIN l USING (rec)""",
     "pipeline_min": PIPELINE_MIN,
     "crop_range": f"WITH {SIG} SELECT i - 100 AS sample_idx, v AS value FROM sig WHERE i >= 100 AND i < 601",
     "normalise_ranges": f"WITH {NORMAL} SELECT t0, t1 FROM nm",
@@ -148,7 +148,7 @@ ORACLES: dict[str, str] = {
     "dwell_log_histogram": """WITH w AS (SELECT epoch(o_orderdate) - lag(epoch(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS d FROM orders), l AS (SELECT log10(d) AS x FROM w WHERE d > 0), e AS (SELECT min(x) AS lo, max(x) AS hi FROM l)
         SELECT CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 40)), 39) ELSE 0 END::BIGINT AS bin, count(*) AS n FROM l CROSS JOIN e GROUP BY 1""",
     "events_table": f"""WITH {SIG}, {detected('up', 100.0)}, {detected('down', 100.0)}, z AS (SELECT *, 'up' AS w FROM x_up UNION ALL SELECT *, 'down' FROM x_down)
-        SELECT CAST(row_number() OVER (ORDER BY s, w) AS INTEGER) AS id, round(s / 100.0, 6) AS start_s, round((e - s) / 100.0 * 1e3, 4) AS duration_ms, round(round(abs(r), 9), 3) AS depth, round(round(abs(r) / abs(bc), 9), 4) AS rel_depth, 1 AS levels, w AS direction FROM z""",
+        SELECT CAST(row_number() OVER (ORDER BY s, w) AS INTEGER) AS id, round(s / 100.0, 6) AS start_s, round((e - s) / 100.0 * 1e3, 4) AS duration_ms, round(abs(r)::DECIMAL(18, 9), 3)::DOUBLE AS depth, round((abs(r) / abs(bc))::DECIMAL(18, 9), 4)::DOUBLE AS rel_depth, 1 AS levels, w AS direction FROM z""",
     "stride_preview": f"WITH {SIG}, n AS (SELECT greatest(1, count(*) // 100) AS k FROM sig) SELECT i AS sample_idx, v AS value FROM sig CROSS JOIN n WHERE i % k = 0",
     "thin_samples": f"WITH {SIG} SELECT i AS sample_idx, v AS value FROM sig WHERE i % 7 = 0",
     "iou_pairs": f"WITH {TWO} SELECT truth_id, det_id, round(iou, 6) AS iou FROM pr",

@@ -120,7 +120,7 @@ def suggest_figures(spark, d):
 
 
 def detrend_linear(spark, d):
-    return rounded(B.detrend_linear(user_signals(spark, d)).select("recording_id", "sample_idx", "trend", "detrended"))
+    return rounded(B.detrend_linear(user_signals(spark, d)).select("recording_id", "sample_idx", "trend", "detrended"), 4)
 
 
 def pipeline_min(spark, d):
