@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.deploy import ship
 from tracelake.operators import layout
 from tracelake.operators.noise import MAD_SCALE
 
@@ -44,15 +45,27 @@ def percentile_direct(samples: DataFrame, window: int, percentile: float, mask:
 def percentile_sparse(samples: DataFrame, window: int, percentile: float, mask: str | None = None) -> DataFrame:
     """As percentile_direct, at every window/4-th centre only, straight lines between (and past the last centre).
 
-    Each sample goes to the at most five centres whose window holds it; no window over a recording is needed.
+    Each chunk, with half a window borrowed on both sides, works out its own centres by selection; only one row per centre
+    comes back.
     """
     h, step = window // 2, max(1, window // 4)
     n = samples.groupBy("recording_id").agg((F.max("sample_idx") + 1).alias("n")).withColumn("centres", F.ceil(F.col("n") / step))
     i = F.col("sample_idx")
-    low = F.greatest(F.floor((i - h) / step) + 1, F.lit(0))
-    high = F.floor((i + h) / step)
-    spread = samples.withColumn("__v", _usable(mask)).where("__v IS NOT NULL").join(n, "recording_id").where(low <= F.least(high, F.col("centres") - 1)).withColumn("s", F.explode(F.sequence(low, F.least(high, F.col("centres") - 1))))
-    ranked = spread.groupBy("recording_id", "s").agg(F.sort_array(F.collect_list("__v")).alias("vs")).select("recording_id", "s", nearest_rank(F.col("vs"), percentile).alias("v"))
+    chunk = max(layout.CHUNK, 8 * h)
+    usable = samples.select("recording_id", "sample_idx", _usable(mask).cast("double").alias("v")).where("v IS NOT NULL").join(n, "recording_id")
+    ship(samples.sparkSession)
+
+    def centres_of(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample_idx")
+        at, x, k = part["sample_idx"].to_numpy(), part["v"].to_numpy(), int(part["chunk"].iloc[0])
+        s = np.arange(-(-k * chunk // step), min(-(-(k + 1) * chunk // step), int(part["centres"].iloc[0])))
+        low, high = np.searchsorted(at, s * step - h), np.searchsorted(at, s * step + h)
+        some = high > low
+        rank = np.floor(percentile / 100.0 * (high - low - 1) + 0.5).astype(int)
+        v = [float(np.partition(x[a:b], r)[r]) for a, b, r in zip(low[some], high[some], rank[some], strict=True)]
+        return pd.DataFrame({"recording_id": part["recording_id"].iloc[0], "s": s[some], "v": v})
+
+    ranked = layout.with_halo(usable, h, h, chunk).groupBy("recording_id", "chunk").applyInPandas(centres_of, "recording_id string, s long, v double")
     every = n.select("recording_id", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.col("centres") - 1)).alias("s"))
     full = every.join(ranked, ["recording_id", "s"], "left").join(fallback(samples, mask), "recording_id").select("recording_id", "s", "centres", F.coalesce("v", "spare").alias("v"))
     left = full.select("recording_id", F.col("s").alias("left"), F.col("v").alias("v0"), "centres")
