@@ -67,7 +67,10 @@ def percentile_sparse(samples: DataFrame, window: int, percentile: float, mask:
 
     ranked = layout.with_halo(usable, h, h, chunk).groupBy("recording_id", "chunk").applyInPandas(centres_of, "recording_id string, s long, v double")
     every = n.select("recording_id", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.col("centres") - 1)).alias("s"))
-    full = every.join(ranked, ["recording_id", "s"], "left").join(fallback(samples, mask), "recording_id").select("recording_id", "s", "centres", F.coalesce("v", "spare").alias("v"))
+    ranked = layout.settled(ranked)  # a row per centre, read twice below
+    full = every.join(ranked, ["recording_id", "s"], "left")
+    if not every.join(ranked, ["recording_id", "s"], "left_anti").isEmpty():  # the median of all is dear and seldom needed
+        full = full.join(fallback(samples, mask), "recording_id").withColumn("v", F.coalesce("v", "spare"))
     left = full.select("recording_id", F.col("s").alias("left"), F.col("v").alias("v0"), "centres")
     right = full.select("recording_id", (F.col("s") - 1).alias("left"), F.col("v").alias("v1"))
     lines = left.join(right, ["recording_id", "left"], "left")
