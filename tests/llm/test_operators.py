@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import fingerprint, fm, lm, mixing, neardup, passages, records, rules, spm, warc
+from tracelake.llm import fingerprint, fm, lm, mixing, neardup, passages, queries, records, rules, spm, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, id string, band long, n_words string"
@@ -346,3 +346,17 @@ def test_language_model(docs, rows, empty):
         assert got[i]["n_words"] == len(w) and got[i]["log10_score"] == pytest.approx(want)
         assert (got[i]["mean_log10"] is None) == (not w)
     assert lm.backoff_scores(empty).count() == 0
+
+
+def test_registered_language_model_counts_all_trigrams(spark, tmp_path):
+    texts = ["a b c a b d", "a b c", "x y", "z", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [(t or "").split() for t in texts]
+    count = collections.Counter(tuple(w[k : k + n]) for w in words for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total = sum(map(len, words))
+    assert count["a", "b", "d"] == count["x", "y"] == 1
+    for r in queries.queries()["op10_lm_scores_trigrams"](spark, str(tmp_path)).collect():
+        w = words[r["doc_id"]]
+        grams = [tuple(w[max(0, k - 2) : k + 1]) for k in range(len(w))]
+        want = sum(math.log10(count[g] / (count[g[:-1]] if g[1:] else total)) for g in grams)
+        assert r["n_words"] == len(w) and r["log10_score"] == pytest.approx(want, abs=6e-4)

@@ -119,7 +119,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, least: int = 2, backoff: flo
                     full[ok] = here
                     context = full
                 size = np.bincount(doc, minlength=len(ids))
-                sums = np.bincount(doc, low, len(ids))
+                sums = np.bincount(doc, low, len(ids)).astype(float)  # integers where a block has no words
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, mask=ids == -(2**63)), pa.array(size, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(size, 1), mask=size == 0)],
                     names=["id", "n_words", "log10_score", "mean_log10"],

@@ -17,7 +17,7 @@ from tracelake.llm.passages import remove_passages
 from tracelake.llm.records import token_records
 from tracelake.llm.rules import fit_rules, judge
 from tracelake.llm.spm import encode_pieces
-from tracelake.llm.sql import LM_SQL, NEARDUP_SQL, WARC_SQL
+from tracelake.llm.sql import LM_SQL, LM_TRIGRAMS_SQL, NEARDUP_SQL, WARC_SQL
 from tracelake.llm.warc import archive_round_trip
 
 
@@ -80,11 +80,17 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", F.round("log10_score", 3).alias("log10_score"), F.round("mean_log10", 5).alias("mean_log10"))
 
 
+def op10_lm_scores_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents from all uni-, bi- and trigrams of the whole corpus, once-seen ones too."""
+    scores = backoff_scores(_table(spark, sf_dir, "documents"), order=3, least=1)
+    return scores.select("doc_id", "n_words", F.round("log10_score", 3).alias("log10_score"), F.round("mean_log10", 5).alias("mean_log10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_minhash_neardup, op2_warc, op3_mixing, op4_quality_classifier, op5_sentencepiece, op6_token_records, op7_quality_rules, op8_fingerprints, op9_suffix_dedup, op10_lm_scores)
+    every = (op1_minhash_neardup, op2_warc, op3_mixing, op4_quality_classifier, op5_sentencepiece, op6_token_records, op7_quality_rules, op8_fingerprints, op9_suffix_dedup, op10_lm_scores, op10_lm_scores_trigrams)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express; tests hold the others against brute force."""
-    return {"op1_minhash_neardup": NEARDUP_SQL, "op2_warc": WARC_SQL, "op10_lm_scores": LM_SQL}
+    return {"op1_minhash_neardup": NEARDUP_SQL, "op2_warc": WARC_SQL, "op10_lm_scores": LM_SQL, "op10_lm_scores_trigrams": LM_TRIGRAMS_SQL}

@@ -59,3 +59,25 @@ sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(s, 0), 3) AS log10_score, round(s / n, 5) AS mean_log10
 FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id
 """
+
+#: As LM_SQL with trigrams and all counts: a trigram, or at a text's second word a bigram, is always in the table of its own corpus.
+LM_TRIGRAMS_SQL = f"""
+WITH words AS ({_WORDS}),
+tokens AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM words),
+runs AS (SELECT doc_id, t, lag(t) OVER seq AS p, lag(t, 2) OVER seq AS q FROM tokens WINDOW seq AS (PARTITION BY doc_id ORDER BY i)),
+one AS (SELECT t, count(*) AS n FROM tokens GROUP BY t),
+two AS (SELECT p, t, count(*) AS n FROM runs WHERE p IS NOT NULL GROUP BY p, t),
+three AS (SELECT q, p, t, count(*) AS n FROM runs WHERE q IS NOT NULL GROUP BY q, p, t),
+total AS (SELECT count(*) AS n FROM tokens),
+scored AS (
+    SELECT runs.doc_id, CASE
+        WHEN runs.q IS NOT NULL THEN log10(three.n) - log10(before.n)
+        WHEN runs.p IS NOT NULL THEN log10(two.n) - log10(c.n)
+        ELSE log10(u.n) - log10(total.n) END AS s
+    FROM runs CROSS JOIN total JOIN one u ON u.t = runs.t LEFT JOIN one c ON c.t = runs.p
+    LEFT JOIN two ON two.p = runs.p AND two.t = runs.t LEFT JOIN two before ON before.p = runs.q AND before.t = runs.p
+    LEFT JOIN three ON three.q = runs.q AND three.p = runs.p AND three.t = runs.t),
+sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(s, 0), 3) AS log10_score, round(s / n, 5) AS mean_log10
+FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
