@@ -230,6 +230,13 @@ def test_rule_statistics(docs, rows, empty):
     assert rules.judge(empty, []).count() == 0
 
 
+def test_repeated_lines_of_any_word_count_and_blank_ones_never(spark):
+    texts = {1: "Home\nHome\nHome", 2: "   \n   \none two", 3: "290\n290\nxyz", 4: "\t\r\n\t\r\nA\nA", 5: "\n\n"}
+    want = {1: (2, 2 / 3, 1.0), 2: (0, 0.0, 2.0), 3: (1, 1 / 3, 1.0), 4: (1, 0.5, 1.0), 5: (0, 0.0, 0.0)}
+    got = rules.with_statistics(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_dup_lines"], r["dup_line_share"], r["words_per_line"]) for r in got} == want
+
+
 def test_decision_list():
     rng = np.random.default_rng(0)
     data = []

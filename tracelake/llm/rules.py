@@ -70,7 +70,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     windows = f"if(size(hs) > {WINDOW}, transform(sequence(0, size(hs) - {WINDOW}), i -> xxhash64(slice(hs, i + 1, {WINDOW}))), cast(array() AS array<bigint>))"
     counts = f"struct(size(ws) AS n_words, length(array_join(ws, '')) AS word_chars, size(array_distinct(hs)) AS distinct_words, if(size(array_distinct(wins)) = size(wins), 0, {repeats}) AS n_repeat_words)"
     by_word = let(f"filter(split(__text, '{BLANKS}'), w -> w <> '')", "ws", let("transform(ws, w -> xxhash64(w))", "hs", let(windows, "wins", counts)))
-    by_line = let("filter(split(__text, '\\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')", "ls", "struct(size(ls) AS n_lines, size(ls) - size(array_distinct(ls)) AS n_dup_lines)")
+    by_line = let("filter(split(__text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')", "ls", "struct(size(ls) AS n_lines, size(ls) - size(array_distinct(ls)) AS n_dup_lines)")
     counted = raw.selectExpr(*(f"`{c}`" for c in own), f"{by_word} AS __w", f"{by_line} AS __l", f"regexp_count(__text, '{SYMBOLS}') AS __symbols", "regexp_count(__text, '[A-Z]') AS __upper", "regexp_count(__text, '!') AS __bangs")
     base = counted.select(
         *own,
