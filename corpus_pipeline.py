@@ -49,8 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces: number of tokens, checksums of ids and of the text decoded from them."""
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+    """Every document's pieces: ids, number of tokens, checksums of ids and of the text decoded from them."""
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -188,6 +189,31 @@ def test_sentencepiece(spark, docs, rows, empty):
     assert spm.encode_pieces(empty, path).count() == 0
 
 
+def test_wrong_ids_of_equal_length_do_not_come_back(docs, monkeypatch):
+    class Wrong(spm.SpmEncoder):
+        def encode(self, texts):
+            out = []
+            for code in super().encode(texts):
+                ids = np.frombuffer(code, self.kind).copy()
+                if len(ids):
+                    right = self.bytes[ids[-1]]
+                    ids[-1] = next(i for i, b in enumerate(self.bytes) if len(b) == len(right) and b != right)
+                out.append(ids.tobytes())
+            return out
+
+    monkeypatch.setattr(spm, "SpmEncoder", Wrong)
+    got = spm.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert any(r["n_tokens"] for r in got) and all(r["round_trip"] == (r["n_tokens"] == 0) for r in got)
+
+
+def test_registered_pieces_carry_ids(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = collections.Counter((r["doc_id"], r["text"] or "") for r in rows.select("doc_id", "text").collect())
+    for found in (queries.op5_sentencepiece(spark, sf_dir), corpus_pipeline.sentencepiece(spark, rows, sf_dir)):
+        back = spm.decode_pieces(found, public_tokenizers.path("piece_bpe_32k.model")).collect()
+        assert collections.Counter((r["doc_id"], r["text"]) for r in back) == texts
+
+
 def test_unigram_models_are_rebuilt(tmp_path):
     """A hand-made unigram model with byte fallback, as bytes of the protobuf."""
     import struct
