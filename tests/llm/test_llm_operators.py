@@ -363,6 +363,32 @@ def test_passages(docs, rows, empty):
     assert passages.remove_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["hello", None, ""], ["".join(np.random.default_rng(k).choice(list("abcdefgh "), 300)) for k in range(40)], [" \n"], ["x" * 49, "x" * 49]])
+def test_passages_without_repeats(spark, texts):
+    """Short texts, and blocks without a shared trigger, stay as they are."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = passages.remove_passages(df, texts=True).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["text"]) for r in got} == {i: (0, 0, t or "") for i, t in enumerate(texts)}
+
+
+def test_hot_triggers_are_dealt_by_windows(spark, docs, monkeypatch):
+    """The same bytes go where a trigger's phrases are sent window by window, and where windows are sorted in parts."""
+    want = sorted(map(str, passages.remove_passages(docs).collect()))
+    monkeypatch.setattr(passages, "HOT_BLOCKS", 1)
+    monkeypatch.setattr(passages, "SORTED", 500)
+    assert sorted(map(str, passages.remove_passages(docs).collect())) == want
+
+
+def test_equal_rows_survive_hash_collisions(monkeypatch):
+    rng = np.random.default_rng(0)
+    text, count, key = rng.integers(97, 99, (400, passages.ROW), dtype=np.uint8), np.full(400, 5, np.int32), rng.integers(0, 3, 400).astype(np.uint64)
+    text[:, 8:] = 97
+    one, place = passages._equal_rows(key, count, text)
+    monkeypatch.setattr(passages.H, "mix", lambda x: np.zeros_like(x))
+    other, at = passages._equal_rows(key, count, text)
+    assert len(one) == len(other) and (text[one][place] == text).all() and (text[other][at] == text).all() and (np.diff(key[other].astype(int)) >= 0).all()
+
+
 def test_language_model(docs, rows, empty):
     words = [(i, WORD.findall(lower(t or ""))) for i, t, *_ in rows]
     count = collections.Counter(tuple(w[k : k + n]) for _, w in words for n in (1, 2, 3) for k in range(len(w) - n + 1))

@@ -23,6 +23,8 @@ from tracelake.llm.common import get_bytes, long_column, prepare, put_bytes, scr
 BLOCK_BYTES = 4 << 20
 #: Bytes of packed keys that one deal merges, about.
 DEAL_BYTES = 6 << 20
+#: Integers below which a message is not deflated.
+FEW = 64
 PACKED = "block long, ids binary, offsets binary, data binary, n_bytes long, carry array<string>"
 
 
@@ -71,25 +73,33 @@ def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane, deflated: high planes of small values vanish, random ones stay as they are."""
+    """Integers byte plane by byte plane, deflated: high planes of small values vanish, random ones stay as they are.
+
+    Few integers stay plain with a head of five bytes, so that a message of a few keys is not much larger than they are.
+    """
     width = values.dtype.itemsize
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T)
-    out = [struct.pack("<QB", len(values), width)]
+    if len(values) < FEW:
+        return struct.pack("<IB", len(values), width | 128) + np.ascontiguousarray(values).tobytes()
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T)
+    out = [struct.pack("<IB", len(values), width)]
     for plane in planes:
         raw = plane.tobytes()
-        small = zlib.compress(raw, 1) if len(raw) and (int(plane.max()) < 64 or len(np.unique(plane[:512])) < 200) else raw
-        out.append(struct.pack("<BQ", small is not raw, len(small)) + small)
+        small = zlib.compress(raw, 1) if int(plane.max()) < 64 or len(np.unique(plane[:512])) < 200 else raw
+        out.append(struct.pack("<BI", small is not raw, len(small)) + small)
     return b"".join(out)
 
 
 def unsqueeze(data: bytes, kind: str, at: int = 0) -> tuple[np.ndarray, int]:
     """(integers, position behind them)."""
-    n, width = struct.unpack_from("<QB", data, at)
-    at += 9
+    n, width = struct.unpack_from("<IB", data, at)
+    at += 5
+    if width & 128:
+        width &= 127
+        return np.frombuffer(data, kind, n, at), at + n * width
     planes = np.empty((width, n), dtype=np.uint8)
     for p in range(width):
-        deflated, size = struct.unpack_from("<BQ", data, at)
-        at += 9
+        deflated, size = struct.unpack_from("<BI", data, at)
+        at += 5
         raw = data[at : at + size]
         planes[p] = np.frombuffer(zlib.decompress(raw) if deflated else raw, np.uint8)
         at += size

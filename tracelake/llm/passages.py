@@ -12,7 +12,11 @@ A text is thus parsed into overlapping phrases, and no phrase of a trigger can h
    are compared here, not hashes, so matches are exact.
 3. Each block learns, per phrase and window, whether a smaller document has it, marks the bytes, and cuts them out.
 
-Phrases are sent once per block, whatever their frequency; nothing about a document is collected.
+Phrases are sent once per block, whatever their frequency; nothing about a document is collected. A trigger that very many
+blocks have is hot: its phrases are taken apart into single windows, which are dealt by their own bytes, so its surroundings
+spread over all ranges. The general method sorts the parse as well, to order equal dictionary suffixes by what follows
+them; here phrases overlap by PASSAGE - 1 bytes, a window of PASSAGE bytes never leaves its phrase, and equal windows are one
+group whatever follows, so the parse needs no suffix array: it gives each suffix its documents.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ CHUNK = 1 << 16
 KEY_SHIFT = np.uint64(16)
 #: Windows that are sorted at once; more are first parted by a hash of their first bytes.
 SORTED = 400_000
+#: Blocks that have a trigger from which on it is hot: its phrases are dealt window by window.
+HOT_BLOCKS = 256
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0x7FEB352D)
 
 
@@ -94,12 +100,17 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(first), np.concatenate(count), np.concatenate(trigger)
 
 
+def _words(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The eight bytes from each position on as one integer, without a copy; zeros follow the end."""
+    flat = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), dtype=f"{order}u8", buffer=flat.data, strides=(1,))
+
+
 def trigger_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """64-bit hash of the TRIGGER bytes at each position."""
     if not len(at):
         return np.zeros(0, np.uint64)
-    raw = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.ndarray((len(data),), dtype="<u8", buffer=raw.data, strides=(1,))
+    word = _words(data)
     key = H.mix(word[at] + np.uint64(TRIGGER))
     for step in range(8, TRIGGER, 8):
         key = H.mix(key + word[at + step])
@@ -121,14 +132,17 @@ def _flags(data: bytes, n: int) -> np.ndarray:
 
 def _distinct_triggers(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ascending distinct keys, whether each is in more than one row); docs ascend with the positions."""
+    if not len(keys):
+        return keys, np.zeros(0, bool)
     order = np.argsort(keys, kind="stable")
     k, d = keys[order], docs[order]
-    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     tail = np.append(head[1:], len(k)) - 1
     return k[head], d[head] != d[tail]
 
 
 def _merge_triggers(messages: list[bytes]) -> list[bytes]:
+    """For each key of a message, whether more than one document has it, and whether it is hot."""
     parts, flags = [], []
     for m in messages:
         keys, at = unsqueeze_sorted(m)
@@ -137,36 +151,80 @@ def _merge_triggers(messages: list[bytes]) -> list[bytes]:
     unique, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     shared = (count > 1) | (np.bincount(place, np.concatenate(flags), len(unique)) > 0)
     ends = np.cumsum([len(k) for k in parts])[:-1]
-    return [_bits(shared[p]) for p in np.split(place, ends)]
+    return [_bits(shared[p]) + _bits(count[p] >= HOT_BLOCKS) for p in np.split(place, ends)]
+
+
+def _strided(data: np.ndarray, pad: int, width: int) -> np.ndarray:
+    """Row i is the `width` bytes from position i on, without a copy; rows that reach over the end see zeros."""
+    flat = np.concatenate([data, np.zeros(pad, np.uint8)])
+    return np.ndarray((len(flat) - width + 1, width), dtype=np.uint8, buffer=flat.data, strides=(1, 1))
 
 
 def _rows(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Phrases as rows of ROW bytes, padded with zeros."""
-    size = count + PASSAGE - 1
-    at = first[:, None] + np.arange(ROW)
-    out = data[np.minimum(at, len(data) - 1)]
-    out[np.arange(ROW) >= size[:, None]] = 0
+    out = _strided(data, ROW, ROW)[first]
+    out[np.arange(ROW, dtype=np.int16) >= (count + PASSAGE - 1).astype(np.int16)[:, None]] = 0
     return out
 
 
-def _distinct_phrases(data, offsets, ids, shared_keys):
-    """Phrases of shared triggers, and their distinct ones ordered by trigger.
+def _equal_rows(key: np.ndarray, count: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one row of each distinct phrase, ordered by key; place of every row among them).
+
+    Rows are ordered by a hash, and neighbours of one hash are compared byte by byte. Should two different rows have one
+    hash, their bytes order all.
+    """
+    word = text.view("<u8")
+    mark = H.mix(key + H.mix(count.astype(np.uint64) + np.uint64(1)))
+    for c in range(word.shape[1]):
+        mark = H.mix(mark + word[:, c])
+    order = np.argsort(mark)
+    same = mark[order[1:]] == mark[order[:-1]]
+    near = np.flatnonzero(same)
+    a, b = order[near], order[near + 1]
+    if not ((key[a] == key[b]) & (count[a] == count[b]) & (word[a] == word[b]).all(axis=1)).all():
+        order = np.lexsort((*(word[:, c] for c in range(word.shape[1])), count, key))
+        a, b = order[:-1], order[1:]
+        same = (key[a] == key[b]) & (count[a] == count[b]) & (word[a] == word[b]).all(axis=1)
+    head = np.concatenate([np.ones(min(1, len(order)), bool), ~same])
+    one = order[head]
+    rank = np.argsort(key[one], kind="stable")
+    back = np.empty(len(one), dtype=np.int64)
+    back[rank] = np.arange(len(one))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = back[np.cumsum(head) - 1]
+    return one[rank], place
+
+
+def _single(data, first, count, key, hot):
+    """Phrases of hot triggers as single windows, with keys of their own, so that no trigger loads one range alone."""
+    n = count[hot]
+    start = np.repeat(first[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    word = _words(data)
+    own = H.mix(np.repeat(key[hot], n))
+    for step in (*range(0, PASSAGE - 7, 8), PASSAGE - 8):
+        own = H.mix(own + word[start + step])
+    first = np.concatenate([first[~hot], start])
+    order = np.argsort(first, kind="stable")
+    return first[order], np.concatenate([count[~hot], np.ones(len(start), count.dtype)])[order], np.concatenate([key[~hot], own >> KEY_SHIFT])[order]
+
+
+def _distinct_phrases(data, offsets, ids, shared_keys, hot_keys):
+    """Phrases of shared triggers, and their distinct ones ordered by key.
 
     Gives first, count, row, place (of each phrase among the distinct), and key, length, bytes, smallest id per distinct one.
     """
     first, count, trigger = phrases(data, offsets)
     key = trigger_keys(data, trigger) >> KEY_SHIFT
-    use = np.isin(key, shared_keys) if len(shared_keys) else np.zeros(len(key), bool)
+    use = np.isin(key, shared_keys)
     first, count, key = first[use], count[use], key[use]
+    if len(hot_keys) and (hot := np.isin(key, hot_keys)).any():
+        first, count, key = _single(data, first, count, key, hot)
     row = np.searchsorted(offsets, first, side="right") - 1
-    text = _rows(data, first, count) if len(first) else np.zeros((0, ROW), np.uint8)
-    record = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), count.astype(np.uint8)[:, None], text], axis=1)
-    packed = np.ascontiguousarray(record).view(f"V{record.shape[1]}").ravel() if len(first) else np.zeros(0, f"V{record.shape[1]}")
-    unique, place = np.unique(packed, return_inverse=True) if len(first) else (packed, np.zeros(0, np.int64))
-    least = np.full(len(unique), 2**63 - 1, dtype=np.int64)
+    text = _rows(data, first, count)
+    one, place = _equal_rows(key, count, text)
+    least = np.full(len(one), 2**63 - 1, dtype=np.int64)
     np.minimum.at(least, place, ids[row])
-    flat = unique.view(np.uint8).reshape(len(unique), -1)
-    return first, count, row, place, flat[:, :8].copy().view(">u8").ravel().astype(np.uint64), flat[:, 8].astype(np.int64), flat[:, 9:], least
+    return first, count, row, place, key[one], count[one], text[one], least
 
 
 def _phrase_message(count: np.ndarray, text: np.ndarray, least: np.ndarray) -> bytes:
@@ -175,58 +233,61 @@ def _phrase_message(count: np.ndarray, text: np.ndarray, least: np.ndarray) -> b
 
 
 def _suffix_minima(text: np.ndarray, count: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Smallest document of each window of the dictionary's phrases, windows phrase by phrase.
+    """Smallest of `least` for each window of the dictionary's phrases, windows phrase by phrase.
 
-    Windows are sorted by their bytes; a run of equal ones takes the least document of its phrases.
+    The suffix array of the dictionary as far as PASSAGE bytes go: windows are sorted by their bytes, and a run of equal
+    neighbours takes the least document of its phrases.
     """
-    phrase = np.repeat(np.arange(len(count)), count)
-    start = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-    out = np.empty(len(phrase), dtype=np.int64)
-    parts = -(-len(phrase) // SORTED)
-    part = np.zeros(len(phrase), dtype=np.int64)
+    total = int(count.sum())
+    parts = max(1, -(-total // SORTED))
+    out = np.empty(total, dtype=least.dtype)
+    window = _strided(np.ascontiguousarray(text).ravel(), ROW, PASSAGE)
+    phrase = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    place = phrase * np.int32(ROW) + (np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count))
+    part = None
     if parts > 1:
-        raw = np.concatenate([np.ascontiguousarray(text).ravel(), np.zeros(8, np.uint8)])
-        word = np.ndarray((text.size,), dtype="<u8", buffer=raw.data, strides=(1,))
-        place = phrase * ROW + start
-        part = (H.mix(word[place] ^ H.mix(word[place + 24])) % np.uint64(parts)).astype(np.int64)
-    for p in range(max(1, parts)):
-        own = np.flatnonzero(part == p)
+        word = _words(np.ascontiguousarray(text).ravel())
+        part = np.concatenate([(H.mix(word[p] ^ H.mix(word[p + 24])) % np.uint64(parts)).astype(np.int16) for p in np.split(place, range(SORTED, total, SORTED))])
+    for p in range(parts):
+        own = np.flatnonzero(part == p) if part is not None else np.arange(total)
         if not len(own):
             continue
-        window = np.ascontiguousarray(text[phrase[own][:, None], start[own][:, None] + np.arange(PASSAGE)]).view(f"V{PASSAGE}").ravel()
-        order = np.argsort(window, kind="stable")
-        ranked = window[order]
-        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        low = np.minimum.reduceat(least[phrase[own]][order], head)
-        out[own[order]] = np.repeat(low, np.diff(np.append(head, len(order))))
+        rows = window[place[own]].view(f"V{PASSAGE}").ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        own = own[order]
+        low = np.minimum.reduceat(least[phrase[own]], head)
+        out[own] = np.repeat(low, np.diff(np.append(head, len(own))))
     return out
 
 
 def _merge_phrases(messages: list[bytes]) -> list[bytes]:
+    """For each window of a message's phrases, whether a smaller document than the message's smallest one has it."""
     counts, leasts, texts = [], [], []
     for m in messages:
         count, at = unsqueeze(m, "<u1")
         least, at = unsqueeze(m, "<i8", at)
-        count = count.astype(np.int64)
+        count = count.astype(np.int32)
         text = np.zeros((len(count), ROW), np.uint8)
         text[np.arange(ROW) < (count + PASSAGE - 1)[:, None]] = np.frombuffer(zlib.decompress(m[at:]), np.uint8)
         counts.append(count)
         leasts.append(least)
         texts.append(text)
-    count, least, text = np.concatenate(counts), np.concatenate(leasts), np.concatenate(texts)
-    record = np.ascontiguousarray(np.concatenate([count.astype(np.uint8)[:, None], text], axis=1)).view(f"V{ROW + 1}").ravel()
-    unique, place = np.unique(record, return_inverse=True)
-    flat = unique.view(np.uint8).reshape(len(unique), -1)
-    size, low = flat[:, 0].astype(np.int64), np.full(len(unique), 2**63 - 1, dtype=np.int64)
+    count, text = np.concatenate(counts), np.concatenate(texts)
+    least = np.unique(np.concatenate(leasts), return_inverse=True)[1].astype(np.int32)  # ranks serve as well as ids
+    del leasts, texts
+    one, place = _equal_rows(np.zeros(len(count), np.uint64), count, text)
+    low = np.full(len(one), 2**31 - 1, dtype=np.int32)
     np.minimum.at(low, place, least)
-    first = _suffix_minima(flat[:, 1:], size, low)
-    head = np.cumsum(size) - size
+    size = count[one]
+    first = _suffix_minima(text[one], size, low)
+    head = np.cumsum(size, dtype=np.int64) - size
     out, at = [], 0
     for own in counts:
-        mine = place[at : at + len(own)]
+        mine = slice(at, at + len(own))
         inside = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-        windows = np.repeat(head[mine], own) + inside
-        out.append(_bits(first[windows] < np.repeat(least[at : at + len(own)], own)))
+        out.append(_bits(first[np.repeat(head[place[mine]], own) + inside] < np.repeat(least[mine], own)))
         at += len(own)
     return out
 
@@ -265,38 +326,42 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def shared_of(block, data, offsets):
         _, _, trigger = phrases(data, offsets)
         keys = np.unique(trigger_keys(data, trigger) >> KEY_SHIFT)
-        got, out = replies(seen, block), []
+        got, shared, hot = replies(seen, block), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for d, (a, b) in enumerate(zip((cut := _cuts(keys, deals_one)), cut[1:], strict=False)):
             if a < b:
-                out.append(keys[a:b][_flags(got[d], b - a)])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                shared.append(keys[a:b][_flags(got[d], b - a)])
+                hot.append(keys[a:b][_flags(got[d][(b - a + 7) // 8 :], b - a)])
+        return np.concatenate(shared), np.concatenate(hot)
 
     def send_phrases(block, ids, offsets, data, deals):
-        *_, key, count, text, least = _distinct_phrases(data, offsets, ids, shared_of(block, data, offsets))
+        *_, key, count, text, least = _distinct_phrases(data, offsets, ids, *shared_of(block, data, offsets))
         for d, (a, b) in enumerate(zip((cut := _cuts(key, deals)), cut[1:], strict=False)):
             if a < b:
                 yield d, _phrase_message(count[a:b], text[a:b], least[a:b])
 
-    deals_two = deals_of(packed, 0.6)
+    deals_two = deals_of(packed, 1.0)
     known = exchange(packed, deals_two, send_phrases, _merge_phrases, "phrases")
     kind = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("text", pa.string())] if texts else []), *([("carry", pa.string())] if carry else [])])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, (block, ids, offsets, data) in enumerate(unpack(batch)):
-                first, count, row, place, key, size, _, least = _distinct_phrases(data, offsets, ids, shared_of(block, data, offsets))
-                got, flags = replies(known, block), []
+                first, count, row, place, key, size, _, least = _distinct_phrases(data, offsets, ids, *shared_of(block, data, offsets))
+                got, flags = replies(known, block), [np.zeros(0, bool)]
                 for d, (a, b) in enumerate(zip((cut := _cuts(key, deals_two)), cut[1:], strict=False)):
                     if a < b:
                         flags.append(_flags(got[d], int(size[a:b].sum())))
-                flag = np.concatenate(flags) if flags else np.zeros(0, bool)
+                flag = np.concatenate(flags)
                 head = np.cumsum(size) - size
-                inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                gone = flag[np.repeat(head[place], count) + inside] | np.repeat(ids[row] > least[place], count)
-                start = (np.repeat(first, count) + inside)[gone]
+                own = ids[row] > least[place]
                 edge = np.zeros(len(data) + 1, dtype=np.int32)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + PASSAGE, -1)
+                for c in range(0, len(first), CHUNK):  # some phrases at a time: a position each takes eight bytes
+                    each = count[c : c + CHUNK]
+                    inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+                    gone = flag[np.repeat(head[place[c : c + CHUNK]], each) + inside] | np.repeat(own[c : c + CHUNK], each)
+                    start = (np.repeat(first[c : c + CHUNK], each) + inside)[gone]
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + PASSAGE, -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 sums = np.concatenate([[0], np.cumsum(covered)])
                 opens = covered.copy()
