@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import get_bytes, long_column, prepare, put_bytes, scratch, text_bytes, written
+from tracelake.llm.common import get_bytes, long_column, prepare, put_bytes, scratch, text_bytes, trim, written
 
 BLOCK_BYTES = 4 << 20
 #: Bytes of packed keys that one deal merges, about.
@@ -143,6 +143,8 @@ def exchange(
                 found = list(send(block, ids, offsets, data, deals))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], names=["deal", "block", "message"])
+                    del found
+                trim()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks, messages = None, [], []
@@ -152,6 +154,7 @@ def exchange(
                 out = merge(messages)
                 for i in range(0, len(out), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(blocks[i : i + 64], pa.int64()), pa.array([now] * len(out[i : i + 64]), pa.int32()), pa.array(out[i : i + 64], pa.binary())], names=["block", "deal", "reply"])
+                trim()
 
         for batch in batches:
             for deal, block, message in zip(*(batch.column(c).to_pylist() for c in ("deal", "block", "message")), strict=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import time
@@ -91,6 +92,15 @@ def get_bytes(uri: str, name: str) -> bytes | None:
         return src.read()
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Spark keeps idle Python workers, and their heaps would stay as large as ever."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes of all rows one after the other, offsets of n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import hashing as H
 from tracelake.llm.blocks import deals_of, exchange, pack, replies, squeeze, squeeze_sorted, unpack, unsqueeze, unsqueeze_sorted
-from tracelake.llm.common import prepare
+from tracelake.llm.common import prepare, trim
 
 PASSAGE = 50
 TRIGGER = 24
@@ -44,7 +44,7 @@ ROW = 80
 CHUNK = 1 << 16
 KEY_SHIFT = np.uint64(16)
 #: Windows that are sorted at once; more are first parted by a hash of their first bytes.
-SORTED = 400_000
+SORTED = 1 << 17
 #: Blocks that have a trigger from which on it is hot: its phrases are dealt window by window.
 HOT_BLOCKS = 256
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0x7FEB352D)
@@ -70,11 +70,11 @@ def _rolling(data: np.ndarray) -> np.ndarray:
 def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window start, number of window starts, trigger position) of each phrase of all rows, in order."""
     length = np.diff(offsets)
-    usable = np.zeros(len(data) + 1, dtype=np.int32)
+    usable = np.zeros(len(data) + 1, dtype=np.int8)
     long = length >= PASSAGE
     np.add.at(usable, offsets[:-1][long], 1)
     np.add.at(usable, offsets[1:][long] - PASSAGE + 1, -1)
-    valid = np.cumsum(usable[:-1]) > 0
+    valid = np.cumsum(usable[:-1], dtype=np.int8) > 0  # rows do not overlap: 0 or 1
     first, count, trigger = [], [], []
     for c in range(0, len(data) - PASSAGE + 1, CHUNK):
         seg = data[c : c + CHUNK + PASSAGE - 1]
@@ -354,7 +354,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 flag = np.concatenate(flags)
                 head = np.cumsum(size) - size
                 own = ids[row] > least[place]
-                edge = np.zeros(len(data) + 1, dtype=np.int32)
+                edge = np.zeros(len(data) + 1, dtype=np.int8)  # a byte lies in PASSAGE windows at most
                 for c in range(0, len(first), CHUNK):  # some phrases at a time: a position each takes eight bytes
                     each = count[c : c + CHUNK]
                     inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
@@ -362,22 +362,31 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     start = (np.repeat(first[c : c + CHUNK], each) + inside)[gone]
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + PASSAGE, -1)
-                covered = np.cumsum(edge[:-1]) > 0
-                sums = np.concatenate([[0], np.cumsum(covered)])
+                del key, size, flag, head, flags
+                covered = np.cumsum(edge[:-1], dtype=np.int8) > 0
+                sums = np.concatenate([[0], np.cumsum(covered, dtype=np.int32)])
                 opens = covered.copy()
                 opens[1:] &= ~covered[:-1]
                 heads = offsets[:-1][np.diff(offsets) > 0]
                 opens[heads] = covered[heads]
-                spans = np.concatenate([[0], np.cumsum(opens)])
-                removed = sums[offsets[1:]] - sums[offsets[:-1]]
-                kept = [data[a:b] if not r else data[a:b][~covered[a:b]] for a, b, r in zip(offsets, offsets[1:], removed, strict=False)]
-                columns = [pa.array(ids, mask=ids == -(2**63)), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                spans = np.concatenate([[0], np.cumsum(opens, dtype=np.int32)])
+                removed = (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.int64)
+                n_spans = (spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)
+                del sums, spans, opens, edge
+                marks, left = [], []
+                for a, b, r in zip(offsets.tolist(), offsets[1:].tolist(), removed.tolist(), strict=False):
+                    text, gone = data[a:b], covered[a:b]
+                    marks.append(hashlib.sha256(text[~gone] if r else text).hexdigest())
+                    if texts:
+                        left.append((text[~_whole_characters(text, gone)] if r else text).tobytes().decode())
+                columns = [pa.array(ids, mask=ids == -(2**63)), pa.array(np.diff(offsets)), pa.array(removed), pa.array(n_spans), pa.array(marks, pa.string())]
                 if texts:
-                    stay = ~_whole_characters(data, covered)
-                    columns.append(pa.array([data[a:b][stay[a:b]].tobytes().decode() for a, b in zip(offsets, offsets[1:], strict=False)], pa.string()))
+                    columns.append(pa.array(left, pa.string()))
                 if carry:
                     columns.append(batch.column("carry")[n].values)
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
+                del columns, left, marks
+                trim()
 
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if texts else "") + (", carry string" if carry else "")
     out = packed.mapInArrow(cut_out, fields)
