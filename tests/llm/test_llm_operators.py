@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import fingerprint, fm, lm, mixing, neardup, passages, queries, records, rules, spm, warc
+from tracelake.llm import fingerprint, fm, lm, mixing, neardup, passages, queries, records, rules, spm, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, id string, band long, n_words string"
@@ -151,7 +151,7 @@ def test_mixing(spark, docs, rows, empty):
     assert kept.count() == len(rows) and "text" in kept.columns
 
 
-def test_records(spark, docs, rows, empty):
+def test_records(spark, docs, rows, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -171,6 +171,9 @@ def test_records(spark, docs, rows, empty):
         doc, ids = records.read_at(part, int(index["offset"][k]), int(index["length"][k]))
         text = next(t for i, t, *_ in rows if i == doc)
         assert ids.tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+    monkeypatch.setattr(records, "STRETCH", 300)
+    many = records.write_records(docs, path, records.scratch(spark, "records"))
+    assert many.count() > 3 and sorted(tuple(r) for r in records.read_records(records.written(many, "manifest")).collect()) == want
     broken = bytearray(records.frame(b"payload"))
     broken[14] ^= 1
     with pytest.raises(ValueError):
@@ -183,6 +186,12 @@ def test_sentencepiece(spark, docs, rows, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     theirs = sentencepiece.SentencePieceProcessor(model_file=path)
     encoded = spm.encode_pieces(docs, path)
+    kinds = [theirs.is_byte(i) for i in range(theirs.get_piece_size())]
+    for r in encoded.collect():
+        text = next(t for i, t, *_ in rows if i == r["doc_id"]) or ""
+        ids = theirs.encode(text)
+        want = (len(ids), sum(kinds[i] for i in ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(text.encode()), True)
+        assert (r["n_tokens"], r["n_fallback"], r["ids_crc32"], r["back_crc32"], r["round_trip"]) == want
     for r in spm.decode_pieces(encoded, path).collect():
         text = next(t for i, t, *_ in rows if i == r["doc_id"]) or ""
         assert r["ids"] == theirs.encode(text) and r["round_trip"] and r["text"] == text
@@ -202,8 +211,55 @@ def test_wrong_ids_of_equal_length_do_not_come_back(docs, monkeypatch):
             return out
 
     monkeypatch.setattr(spm, "SpmEncoder", Wrong)
-    got = spm.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = spm.encode_pieces(docs, path, parity=0).collect()
     assert any(r["n_tokens"] for r in got) and all(r["round_trip"] == (r["n_tokens"] == 0) for r in got)
+    with pytest.raises(Exception, match="parity is lost"):
+        spm.encode_pieces(docs, path, parity=1).collect()
+
+
+def _proto(n, value):
+    """One field of a protobuf message."""
+    import struct
+
+    if isinstance(value, bytes):
+        return bytes([n << 3 | 2, len(value)]) + value
+    if isinstance(value, float):
+        return bytes([n << 3 | 5]) + struct.pack("<f", value)
+    return (bytes([n << 3]) if n < 16 else bytes([(n << 3) & 127 | 128, n >> 4])) + bytes([value])
+
+
+def test_models_without_byte_fallback(spark, tmp_path):
+    """What a BPE model does not know becomes its unknown piece, and the row says that it does not come back."""
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("▁ab", -2.0, 1), ("▁", -3.0, 1), ("a", -4.0, 1), ("b", -5.0, 1)]
+    data = b"".join(_proto(1, _proto(1, p.encode()) + _proto(2, s) + _proto(3, k)) for p, s, k in pieces)
+    data += _proto(2, _proto(3, 2) + _proto(35, 0)) + _proto(3, _proto(1, b"identity") + _proto(3, 1) + _proto(4, 0) + _proto(5, 1))
+    path = tmp_path / "plain.model"
+    path.write_bytes(data)
+    theirs = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["ab a", "abc ab", "ccc", "", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in spm.encode_pieces(df, str(path), parity=1).collect():
+        text = texts[r["doc_id"]]
+        assert r["ids"] == theirs.encode(text) and r["round_trip"] == ("c" not in text)
+
+
+@pytest.mark.parametrize("as_text", [True, False])
+def test_byte_level_agrees_with_the_library(rows, as_text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
+    theirs.encode_special_tokens = as_text
+    ours = tokens.byte_level(path, special_as_text=as_text)
+    texts = [t or "" for _, t, *_ in rows] + ["x <|endoftext|> y", "a\n\nb", "\ta b\t c", "a\u00a0b c\u2003", " a", "a\n b", "\n", "x" * 5000 + " y", "it's we'll  they've"]
+    for lot in (texts, texts[::-1], []):
+        for text, code in zip(lot, ours.encode(lot), strict=True):
+            assert np.frombuffer(code, ours.kind).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    ours.held = tokens.REMEMBERED_BYTES + 1
+    assert ours.encode(["a b"]) == ours.encode(["a b"])
 
 
 def test_registered_pieces_carry_ids(spark, sf_dir):
@@ -216,18 +272,9 @@ def test_registered_pieces_carry_ids(spark, sf_dir):
 
 def test_unigram_models_are_rebuilt(tmp_path):
     """A hand-made unigram model with byte fallback, as bytes of the protobuf."""
-    import struct
-
-    def field(n, value):
-        if isinstance(value, bytes):
-            return bytes([n << 3 | 2, len(value)]) + value
-        if isinstance(value, float):
-            return bytes([n << 3 | 5]) + struct.pack("<f", value)
-        return (bytes([n << 3]) if n < 16 else bytes([(n << 3) & 127 | 128, n >> 4])) + bytes([value])
-
     pieces = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", -20.0, 6) for b in range(256)), ("▁", -2.0, 1), ("▁ab", -1.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("ba", -2.5, 1)]
-    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in pieces)
-    data += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 1) + field(5, 1))
+    data = b"".join(_proto(1, _proto(1, p.encode()) + _proto(2, s) + _proto(3, k)) for p, s, k in pieces)
+    data += _proto(2, _proto(3, 1) + _proto(35, 1)) + _proto(3, _proto(1, b"identity") + _proto(3, 1) + _proto(4, 1) + _proto(5, 1))
     path = tmp_path / "tiny.model"
     path.write_bytes(data)
     import sentencepiece

@@ -2,8 +2,9 @@
 
 The model's protobuf is parsed here, field by field. From it are rebuilt: the normaliser (the model's character map if it
 has one, removal of extra blanks, the dummy blank in front), the metaspace marker, the model (unigram scores, or for BPE
-models the merges in the order of their scores), byte fallback, and the decoder. Every new word a worker meets is decoded
-again and compared, and the first texts of each worker are compared with the sentencepiece library where it is installed.
+models the merges in the order of their scores), byte fallback, and the decoder. Batches are encoded by the library's threads,
+the ids of every text are decoded again and compared with it, and in every batch a hash-drawn share of the texts is
+encoded by the sentencepiece library too and has to get the same ids.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import prepare, text_bytes
-from tracelake.llm.tokens import WordEncoder
+from tracelake.llm.common import prepare, row_slices, text_bytes, trim
+from tracelake.llm.tokens import WordEncoder, gather, kept
 
 MARK = "▁"
 #: Kinds of a piece and of a model in the protobuf; fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-SLICE_ROWS = 256
-PARITY_ROWS = 16
+SLICE = 2 << 20
+#: One text in so many, drawn by its checksum, is compared with the sentencepiece library.
+PARITY = 32
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -135,101 +137,110 @@ class SpmEncoder:
     """Batches of texts to ids, as the sentencepiece library gives them, and back."""
 
     def __init__(self, path: str, threads: int = 1):
-        self.path = path
+        self.path, self.threads, self.theirs = path, threads, None
         self.model = SpmModel(path)
         self.bytes = self.model.piece_bytes()
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.single = np.array([kind == BYTE for _, _, kind in self.model.pieces])
         self.kind = "<u2" if len(self.bytes) <= 1 << 16 else "<u4"
-        self.trusted = False
         m = self.model
         alone = [p for p, _, kind in m.pieces if kind == NORMAL and (MARK in p.lstrip(MARK) or "\n" in p)]
         #: Words may be taken alone if no piece runs over a marker or a line break, and blanks stay as they are.
-        self.by_word = m.kind == BPE and not m.charsmap and not m.trim and m.escape and m.dummy_prefix and not alone
-        if self.by_word:
+        by_word = m.kind == BPE and not m.charsmap and not m.trim and m.escape and m.dummy_prefix and not alone
+        if by_word:
             starts = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
-            self.words = WordEncoder(m.tokenizer(whole=False), MARK, starts, self.kind, prefix=True, threads=threads, checked=self._same)
+            self.words = WordEncoder(m.tokenizer(whole=False), MARK, starts, self.kind, prefix=True, threads=threads)
         else:
-            self.full = m.tokenizer()
+            self.words = WordEncoder(m.tokenizer(), " ", np.zeros(len(self.bytes), bool), self.kind, prefix=False, threads=threads, by_word=False)
 
-    def _same(self, words: list[str], packed: list[bytes], mark: str) -> None:
-        front = b" " if mark else b""
-        for word, code in zip(words, packed, strict=True):
-            if front + word.encode() != self.decode_bytes(code):
-                raise ValueError(f"{word!r} does not come back from its ids")
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        return [code if text else b"" for text, code in zip(texts if isinstance(texts, list) else texts.to_pylist(), self.words.encode(texts), strict=True)]
 
-    def decode_bytes(self, code: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(code, self.kind).tolist()))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.by_word:
-            out = [code if text else b"" for text, code in zip(texts, self.words.encode(texts), strict=True)]
-        else:
-            out = [np.asarray(e.ids, self.kind).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
-        if not self.trusted:
-            self.trusted = True
-            self.check_parity(texts[:PARITY_ROWS], out)
-        return out
+    def decode_batch(self, codes: list[bytes]) -> list[bytes]:
+        """What the ids of each text stand for, as bytes, without the blank that the model puts in front."""
+        ids = np.frombuffer(b"".join(codes), self.kind)
+        size = self.sizes[ids]
+        raw = gather(self.flat, self.starts[ids], size).tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *(len(c) // int(self.kind[-1]) for c in codes)])].tolist()
+        out = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return [o[1:] if o[:1] == b" " else o for o in out] if self.model.dummy_prefix else out
 
     def decode(self, code: bytes) -> str:
-        text = self.decode_bytes(code).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return self.decode_batch([code])[0].decode("utf-8", "replace")
 
-    def check_parity(self, texts: list[str], out: list[bytes]) -> None:
-        """Raise if the sentencepiece library, where installed, gives other ids."""
-        try:
+    def check_parity(self, texts: list[str], codes: list[bytes]) -> None:
+        """Raise if the sentencepiece library gives other ids."""
+        if self.theirs is None:
             import sentencepiece
-        except ModuleNotFoundError:
-            return
-        theirs = sentencepiece.SentencePieceProcessor(model_file=self.path).encode(texts, num_threads=1)
-        for text, ids, code in zip(texts, theirs, out, strict=False):
+
+            self.theirs = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        for text, ids, code in zip(texts, self.theirs.encode(texts, num_threads=self.threads), codes, strict=True):
             if ids != np.frombuffer(code, self.kind).tolist():
                 raise ValueError(f"parity is lost at {text[:80]!r}")
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, threads: int = 1) -> DataFrame:
+def _encoder(model: str, threads: int, kind: type) -> SpmEncoder:
+    return kept(("pieces", kind.__module__, kind.__qualname__, model, threads), lambda: kind(model, threads))
+
+
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, threads: int = 2, parity: int = PARITY) -> DataFrame:
     """Per document: id, n_tokens, n_fallback (tokens that stand for one byte), ids_crc32 (over the ids as little-endian
     unsigned 32 bits), back_crc32 (over the UTF-8 bytes of the decoded text), round_trip, and ids unless that is False.
 
-    Null and empty texts give no tokens; null ids and repeated rows stay as they are; an empty table gives no rows; other
-    columns are ignored.
+    threads: those of the library for a batch. parity: one text in so many is compared with the sentencepiece library, and
+    the job fails if an id differs or the library is missing; 0 leaves that out.
+    Null and empty texts give no tokens; what a model without byte fallback does not know becomes its unknown piece, and
+    round_trip is false there; texts of any length are encoded whole; null ids and repeated rows stay as they are; an empty
+    table gives no rows; other columns are ignored.
     """
     prepare(docs.sparkSession)
     kind = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_fallback", pa.int64()), ("ids_crc32", pa.int64()), ("back_crc32", pa.int64()), ("round_trip", pa.bool_()), *([("ids", pa.list_(pa.int32()))] if ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = _encoder(model, threads, SpmEncoder)
         for batch in batches:
-            if encoder is None:
-                encoder = SpmEncoder(model, threads)
-                single = np.array([kind == BYTE for _, _, kind in encoder.model.pieces])
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                texts = [t or "" for t in batch.column(1).slice(i, SLICE_ROWS).to_pylist()]
-                codes = encoder.encode(texts)
-                arrays = [np.frombuffer(c, encoder.kind) for c in codes]
-                whole = [t.encode() for t in texts]
-                back = [encoder.decode(c).encode() for c in codes]
+            column = batch.column(1).fill_null("")
+            data, offsets = text_bytes(column)
+            for i, j in row_slices(offsets, SLICE):
+                part = column.slice(i, j - i)
+                codes = encoder.encode(part)
+                whole = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
+                if parity and (drawn := [k for k, w in enumerate(whole) if zlib.crc32(w) % parity == 0]):
+                    encoder.check_parity([whole[k].decode() for k in drawn], [codes[k] for k in drawn])
+                back = [b if b == w else b.decode("utf-8", "replace").encode() for b, w in zip(encoder.decode_batch(codes), whole, strict=True)]
+                flat = np.frombuffer(b"".join(codes), encoder.kind).astype("<i4")
+                ends = np.cumsum([0, *(len(c) // int(encoder.kind[-1]) for c in codes)])
+                fallback = np.concatenate([[0], np.cumsum(encoder.single[flat])])
                 columns = [
-                    batch.column(0).slice(i, SLICE_ROWS).cast(pa.int64()),
-                    pa.array([len(a) for a in arrays], pa.int64()),
-                    pa.array([int(single[a].sum()) for a in arrays], pa.int64()),
-                    pa.array([zlib.crc32(a.astype("<u4")) for a in arrays], pa.int64()),
+                    batch.column(0).slice(i, j - i).cast(pa.int64()),
+                    pa.array(np.diff(ends), pa.int64()),
+                    pa.array(np.diff(fallback[ends]), pa.int64()),
+                    pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.int64()),
                     pa.array([zlib.crc32(b) for b in back], pa.int64()),
-                    pa.array([a == b for a, b in zip(back, whole, strict=True)], pa.bool_()),
+                    pa.array([b == w for b, w in zip(back, whole, strict=True)], pa.bool_()),
                 ]
                 if ids:
-                    columns.append(pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
+        trim()
 
     spark_type = "id long, n_tokens long, n_fallback long, ids_crc32 long, back_crc32 long, round_trip boolean" + (", ids array<int>" if ids else "")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, spark_type).withColumnRenamed("id", id_col)
 
 
 def decode_pieces(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """rows with a further column text: what the ids stand for; null ids give null."""
+    """rows with a further column text: what the ids stand for, whatever their number.
+
+    Null ids give null, no ids the empty text; other columns, repeated rows and an empty table stay as they are, but a
+    column of the name text_col gives way.
+    """
     prepare(rows.sparkSession)
 
     @F.pandas_udf("string")
     def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = SpmEncoder(model)
+        encoder = _encoder(model, 1, SpmEncoder)
         for ids in parts:
             yield pd.Series([None if x is None else encoder.decode(np.asarray(x, encoder.kind).tobytes()) for x in ids])
 

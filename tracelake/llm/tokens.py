@@ -3,102 +3,155 @@
 A space between two characters that are no whitespace always starts a new piece, for byte-level pre-tokenizers as for the
 metaspace marker, and so does a line break between two such characters. So the ids of a text are those of its words one
 after the other, and a worker only asks the library for words that it has not met. Texts where that does not hold (runs of
-whitespace, whitespace at an end) are encoded as they are.
+whitespace, whitespace at an end, strings of added tokens) are encoded as they are.
+
+Texts are split and their words numbered by Arrow, ids are gathered by NumPy: Python looks at distinct words only.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable
 
 import numpy as np
-
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 900_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of words and ids that a worker remembers, about, before it starts anew; longer words are not remembered.
+REMEMBERED_BYTES = 128 << 20
+LONG_WORD = 64
+#: What an entry of the memory takes beside its word and ids.
+ENTRY = 120
 TOGETHER = 100
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gives, once per Python worker: workers are used again for later tasks."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """ids[start : start + size] of all rows, one after the other."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size)
+    at += np.arange(len(at))
+    return ids[at]
+
 
 class WordEncoder:
     """encode(texts) gives, for each text, its ids as little-endian bytes of `kind`.
 
     model: the library's tokenizer for strings as they are; space: what stands for a leading blank in its input; starts:
     for each id, whether its token starts with that blank; newline: the ids of a lone line break; prefix: whether a text
-    starts with the blank.
+    starts with the blank; by_word: False if words may not be taken alone; added: strings that the model takes whole.
     """
 
-    def __init__(self, model, space: str, starts: np.ndarray, kind: str, prefix: bool, threads: int = 1, checked=None):
+    def __init__(self, model, space: str, starts: np.ndarray, kind: str, prefix: bool, threads: int = 1, checked=None, by_word: bool = True, added: tuple[str, ...] = ()):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        self.model, self.space, self.starts, self.kind, self.prefix, self.checked = model, space, starts, kind, prefix, checked
-        self.after: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
-        self.newline = self._direct(["\n"])[0]
-
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.kind).tobytes()
+        self.model, self.space, self.starts, self.kind, self.prefix, self.checked, self.by_word, self.added = model, space, starts, kind, prefix, checked, by_word, added
+        self.newline = np.frombuffer(self._direct(["\n"])[0], kind)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Per way (0: after a blank, 1: at the start of a line) the remembered words' places in `known`."""
+        self.place: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.sizes: list[int] = []
+        self.parts: list[bytes] = []
+        self.held = 0
+        self._table()
+
+    def _table(self) -> None:
+        self.known = np.frombuffer(b"".join(self.parts), self.kind)
+        self.parts = [self.known.tobytes()]
+        self.size = np.array(self.sizes, dtype=np.int64)
+        self.start = np.cumsum(np.abs(self.size)) - np.abs(self.size)
+        self.start[self.size < 0] = 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _odd(self, word: str) -> bool:
         return not word or word[0].isspace() or word[-1].isspace() or (self.space != " " and self.space in word)
 
-    def _learn(self, after: set[str], first: set[str]) -> None:
-        if len(self.after) + len(after) > REMEMBERED:
-            self.after.clear()
-        if len(self.first) + len(first) > REMEMBERED // 8:
-            self.first.clear()
-        new = [w for w in after if w not in self.after]
-        odd = [w for w in new if self._odd(w)]
-        self.after.update(dict.fromkeys(odd))
-        if odd:
-            new = [w for w in new if w not in self.after]
-        lots = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+    def _after(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a blank: many of them in one string, cut where tokens start with the blank."""
+        lots, out = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)], []
         for lot, e in zip(lots, self.model.encode_batch_fast([self.space + self.space.join(lot) for lot in lots], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.kind)
             cut = np.flatnonzero(self.starts[ids])
             if len(cut) != len(lot):  # a token that starts with a blank inside a word: then one by one
-                packed = self._direct([self.space + w for w in lot])
-            else:
-                raw, size = ids.tobytes(), ids.itemsize
-                ends = np.append(cut[1:], len(ids)) * size
-                packed = [raw[a:b] for a, b in zip((cut * size).tolist(), ends.tolist(), strict=True)]
-            self.after.update(zip(lot, packed, strict=True))
+                out += self._direct([self.space + w for w in lot])
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            ends = np.append(cut[1:], len(ids)) * size
+            out += [raw[a:b] for a, b in zip((cut * size).tolist(), ends.tolist(), strict=True)]
+        return out
+
+    def _places(self, words: list[str], way: int) -> np.ndarray:
+        """Place of each distinct word among the known ones; odd words have a negative size there."""
+        have = self.place[way]
+        new = [w for w in words if w not in have]
+        if new:
+            plain = [w for w in new if not self._odd(w)]
+            packed = self._direct(plain) if way else self._after(plain)
             if self.checked:
-                self.checked(lot, packed, self.space)
-        new = [w for w in first if w not in self.first]
-        self.first.update({w: None for w in new if self._odd(w)})
-        new = [w for w in new if w not in self.first]
-        packed = self._direct(new)
-        self.first.update(zip(new, packed, strict=True))
-        if self.checked:
-            self.checked(new, packed, "")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        after: set[str] = set()
-        first: set[str] = set()
-        for lines in cut:
-            for n, words in enumerate(lines):
-                if n or not self.prefix:
-                    first.add(words[0])
-                    after.update(words[1:])
-                else:
-                    after.update(words)
-        self._learn(after, first)
-        get, start, out = self.after.__getitem__, self.first.__getitem__, []
-        for text, lines in zip(texts, cut, strict=True):
-            try:
-                parts = []
-                for n, words in enumerate(lines):
-                    if n or not self.prefix:
-                        parts.append(start(words[0]))
-                        del words[0]
-                    parts.extend(map(get, words))
-                    parts.append(self.newline)
-                parts.pop()
-                out.append(b"".join(parts))
-            except TypeError:  # a word that is not to be taken alone
-                out.append(self._direct([self.whole(text)])[0])
+                self.checked(plain, packed, "" if way else self.space)
+            width, at = int(self.kind[-1]), len(self.sizes)
+            odd = [w for w in new if self._odd(w)]
+            have.update(zip((*plain, *odd), range(at, at + len(new)), strict=True))
+            self.sizes += [len(p) // width for p in packed] + [-1] * len(odd)
+            self.parts += [*packed, b"\0" * (width * len(odd))]
+            self.held += sum(map(len, new)) + sum(map(len, packed)) + ENTRY * len(new)
+        return np.fromiter(map(have.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        if not self.by_word:
+            return self._direct([self.whole(t) for t in column.to_pylist()])
+        lines = pc.split_pattern(column, "\n")
+        words = pc.split_pattern(lines.values, " ")
+        # the first word of a line has no blank before it, but for a text's first one where the model puts one there
+        line_at, text_at = words.offsets.to_numpy(), lines.offsets.to_numpy()
+        way = np.zeros(line_at[-1], dtype=np.int8)
+        way[line_at[:-1]] = 1
+        opens = np.zeros(len(way), dtype=bool)
+        opens[line_at[:-1]] = True
+        opens[line_at[text_at[:-1]]] = False
+        if self.prefix:
+            way[line_at[text_at[:-1]]] = 0
+        coded = words.values.dictionary_encode()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary
+        place = np.empty(len(way), dtype=np.int64)
+        for w in (0, 1):
+            mine = np.flatnonzero(way == w)
+            used, inverse = np.unique(number[mine], return_inverse=True)
+            place[mine] = self._places(distinct.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist(), w)[inverse]
+        self._table()
+        size = self.size[place]
+        start, known = self.start[place], self.known
+        breaks = np.where(opens, len(self.newline), 0)
+        first = line_at[text_at]  # first word of each text
+        odd = np.add.reduceat(np.append(size < 0, False), first)[:-1] > 0 if len(column) else np.zeros(0, bool)
+        for string in self.added:
+            odd |= pc.match_substring(column, string).to_numpy(zero_copy_only=False)
+        # line breaks stand before their line's first word
+        both = np.column_stack([breaks, np.maximum(size, 0)]).ravel()
+        ids = gather(np.concatenate([self.newline, known]), np.column_stack([np.zeros(len(size), np.int64), start + len(self.newline)]).ravel(), both)
+        ends = np.concatenate([[0], np.cumsum(both)])[2 * first] * ids.itemsize
+        raw = ids.tobytes()
+        out = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        if odd.any():
+            which = np.flatnonzero(odd)
+            for i, code in zip(which.tolist(), self._direct([self.whole(column[i].as_py()) for i in which.tolist()]), strict=True):
+                out[i] = code
+        if self.held > REMEMBERED_BYTES:
+            self._forget()
         return out
 
     def whole(self, text: str) -> str:
@@ -107,13 +160,27 @@ class WordEncoder:
         return (self.space if self.prefix and text else "") + text.replace(" ", self.space)
 
 
-def byte_level(path: str, threads: int = 1) -> WordEncoder:
-    """Encoder of a byte-level BPE file; strings of special tokens in a text are ordinary text."""
-    from tokenizers import Tokenizer
+def byte_level(path: str, threads: int = 1, special_as_text: bool = True) -> WordEncoder:
+    """Encoder of a tokenizer file of the library; one per worker.
+
+    With special_as_text, strings of special tokens in a text are ordinary text, so no document can forge a token; without,
+    they become the special ids. Words are taken alone only where the file says byte-level pieces cut at blanks, with
+    no normaliser; other files encode whole texts.
+    """
 
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    size = model.get_vocab_size()
-    starts = np.zeros(size, dtype=bool)
-    starts[[i for token, i in model.get_vocab().items() if token.startswith("Ġ")]] = True
-    return WordEncoder(model, " ", starts, "<u2" if size <= 1 << 16 else "<u4", prefix=False, threads=threads)
+    def make() -> WordEncoder:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = special_as_text
+        size = model.get_vocab_size()
+        starts = np.zeros(size, dtype=bool)
+        starts[[i for token, i in model.get_vocab().items() if token.startswith("Ġ")]] = True
+        with open(path, encoding="utf-8") as src:
+            said = json.load(src)
+        cut = said.get("pre_tokenizer") or {}
+        by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and said.get("normalizer") is None
+        added = tuple(t.content for t in model.get_added_tokens_decoder().values() if not (special_as_text and t.special))
+        return WordEncoder(model, " ", starts, "<u2" if size <= 1 << 16 else "<u4", prefix=False, threads=threads, by_word=by_word, added=added)
+
+    return kept(("byte level", path, threads, special_as_text), make)
