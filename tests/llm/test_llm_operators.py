@@ -147,10 +147,35 @@ def test_mixing(spark, docs, rows, empty):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, got)) == sorted(map(key, again))
     assert mixing.mix_sources(empty).count() == 0
+    # shards: each has its quota of blocks of every source, and together they are what is taken
+    blocks = mixing.mix_blocks(docs, block_words=8, shards=5).collect()
+    words = collections.Counter()
+    used = collections.defaultdict(collections.Counter)
+    for b in blocks:
+        words[b["doc_id"]] += b["n_words"]
+        used[b["shard"], b["source"]][b["block"]] += b["n_words"]
+    assert words == {k: v for k, v in collections.Counter({r["doc_id"]: 0 for r in got}).items() if v} | {k: sum(r["taken"] for r in got if r["doc_id"] == k) for k in words}
+    assert sum(words.values()) == sum(taken.values())
+    seats = round(sum(goal) / 8)
+    quotas = mixing.shard_quotas(goal, seats, 5, [int(2.0 * -(-size[s] // 8)) for s in order])
+    for n, quota in enumerate(quotas):
+        for s, q in zip(order, quota, strict=True):
+            full = -(-sum(used[n, s].values()) // 8)
+            assert full <= q and len(used[n, s]) <= q
+    assert all(0 <= b["first_word"] and b["n_words"] <= 8 for b in blocks)
+    assert [r for r in got if r["taken"]] and all((r["n_shards"] > 0) == (r["taken"] > 0) for r in got)
     kept = mixing.mix_sources(docs, block_words=8, keep=("text",))
     assert kept.count() == len(rows) and "text" in kept.columns
 
 
+def test_mixing_numbers_repeated_rows_and_survives_clashes(spark):
+    six = spark.createDataFrame([(1, "a b c d e f g h i " * 2, "s", 5, "k", 0, 9)] * 6 + [(None, None, None, 1, "k", 0, 9)] * 2, "doc_id long, text string, source string, size long, taken string, tie int, id int").repartition(3)
+    plain = sorted(r["taken"] for r in mixing.mix_sources(six, block_words=8).collect())
+    kept = mixing.mix_sources(six, block_words=8, keep=("text", "size", "taken", "tie", "id")).collect()
+    assert sorted(r["taken"] for r in kept) == plain and len(plain) == 8 and len(set(plain)) > 2
+    assert all(r["tie"] == 0 and r["id"] == 9 and r["size"] == len((r["text"] or "").split()) for r in kept)
+
+
 def test_records(spark, docs, rows, empty, monkeypatch):
     from tokenizers import Tokenizer
 
