@@ -403,6 +403,34 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprint.edited_fingerprints(distinct.where("doc_id = 3")).first()["near_next"] == 1.0
 
 
+def test_fingerprints_are_told_by_plain_counts():
+    """Digest and likeness against a version with dictionaries."""
+    for text in ("", "ab", "abcabc" * 9, "é🙂 and more words " * 30):
+        raw = text.encode()
+        counts = [0] * 128
+        for i in range(len(raw) - 2):
+            counts[((int.from_bytes(raw[i : i + 3], "little") * 0x9E3779B1) % 2**32) >> 25] += 1
+        ranked = sorted(counts)
+        codes = [sum(c > ranked[q] for q in (31, 63, 95)) for c in counts]
+        length = min(255, round(4 * math.log2(len(raw) + 1)))
+        mark = fingerprint.digest(raw)
+        assert bytes.fromhex(mark)[0] == length and [(bytes.fromhex(mark)[1 + i // 4] >> 2 * (i % 4)) & 3 for i in range(128)] == codes
+        other = fingerprint.digest(raw[: len(raw) // 2])
+        b = bytes.fromhex(other)
+        steps = sum([0, 1, 2, 6][abs(c - ((b[1 + i // 4] >> 2 * (i % 4)) & 3))] for i, c in enumerate(codes))
+        assert fingerprint.likeness(mark, other) == pytest.approx(1 - (steps + 4 * min(16, abs(length - b[0]))) / (6 * 128 + 64))
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark, monkeypatch):
+    """Rows of one id are dealt to several ranges and still form one round, each once."""
+    rows = [(i // 40 if i < 120 else None, f"text {i % 90} " * 7) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = sorted(map(str, fingerprint.edited_fingerprints(df).collect()))
+    monkeypatch.setattr(fingerprint, "PART_BYTES", 700)
+    assert sorted(map(str, fingerprint.edited_fingerprints(df).collect())) == one and len(one) == 160
+    assert fingerprint.fingerprint_column(df).where("fingerprint is null").count() == 0
+
+
 def test_fingerprint_ranges(spark, monkeypatch):
     """Many ranges give the same neighbours as one."""
     df = spark.createDataFrame([(i * 7, f"text number {i} " * 9) for i in range(200)], "doc_id long, text string")

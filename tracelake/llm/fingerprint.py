@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,11 @@ LENGTH_WEIGHT, LENGTH_CAP, FAR = 4, 16, 6
 BOUND = FAR * BUCKETS + LENGTH_WEIGHT * LENGTH_CAP
 STEP = np.array([0, 1, 2, FAR])
 CHUNK = 1 << 16
+#: Bytes of a range of ids, about; beyond PARTS ranges they grow instead, as rows stream through a range.
 PART_BYTES = 12 << 20
+PARTS = 20_000
+#: Drawn keys per range, from which the ranges' bounds are taken.
+DRAWN = 32
 
 
 def bucket_counts(data: bytes) -> np.ndarray:
@@ -69,49 +74,75 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprint_column(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint of each text; null counts as empty."""
+    """docs with the fingerprint of each text, whatever its length; null counts as empty, repeated rows stay, an empty table
+    gives no rows, and a column of the name out_col gives way."""
     prepare(docs.sparkSession)
 
-    @F.udf("string", useArrow=True)
-    def run(text):
-        return digest((text or "").encode())
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([digest((t or "").encode()) for t in texts], dtype=object)
 
     return docs.withColumn(out_col, run(F.col(text_col).cast("string")))
 
 
+def _range_of(edge_k: np.ndarray, edge_tie: np.ndarray, k: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Number of bounds (ascending pairs) below each pair (k, tie)."""
+    part, stop = np.searchsorted(edge_k, k, side="left"), np.searchsorted(edge_k, k, side="right")
+    for v in np.unique(k[part < stop]):  # ids that are a bound
+        own = np.flatnonzero(k == v)
+        a, b = part[own[0]], stop[own[0]]
+        part[own] = a + np.searchsorted(edge_tie[a:b], tie[own], side="left")
+    return part
+
+
+def _bounds(rows: DataFrame) -> list[tuple[int, int]]:
+    """Ascending keys (k, tie) that occur and cut the rows into ranges of about equal size; the last one is the largest.
+
+    They come from a hash-drawn share of the distinct keys, DRAWN a range, so what is collected is bounded by PARTS * DRAWN
+    pairs or so. They decide what a task does, never what comes out.
+    """
+    total, n, top = rows.agg(F.sum(F.octet_length("text")), F.count("*"), F.max(F.struct("k", "tie"))).first()
+    if not n:
+        return []
+    parts = max(1, min(n, PARTS, -(-(total or 0) // PART_BYTES)))
+    found = [(r["k"], r["tie"]) for r in rows.where(F.pmod(F.xxhash64("k", "tie", F.lit(17)), F.lit(max(1, n // (DRAWN * parts)))) == 0).select("k", "tie").distinct().collect()] if parts > 1 else []
+    found.sort()
+    return sorted({*(found[i * len(found) // parts] for i in range(1, parts) if found), (top["k"], top["tie"])})
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, with the next document in descending id order.
 
     The edited text has its last floor(n_chars / 3) code points replaced by as many first ones (or all) of the next
-    document's; the last document's next is the first. Ids are cut into ranges at ids that occur, so the first document of
+    document's; the last document's next is the first. Rows are cut into ranges at keys that occur, so the first document of
     a range is known beforehand and is dealt to the range above as well: one shuffle, no single-task window.
-    Null texts are empty; null ids come last; rows of equal id follow each other by their text; a single document is its own
-    next; an empty table gives no rows; other columns are ignored.
+    Null texts are empty; texts of any length are taken whole; null ids come last; rows of equal id follow each other by a
+    hash of their text, so that they can be in several ranges; a single document is its own next; an empty table gives no
+    rows; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     low = -(2**63)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     out = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    if not n:
+    bounds = _bounds(rows)
+    if not bounds:
         return spark.createDataFrame([], out).withColumnRenamed("id", id_col)
-    parts = max(1, int(min(n, -(-(total or 0) // PART_BYTES))))
-    cuts = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts + 1)], 10 * parts + 1000)).first()[0]
-    least = rows.agg(F.min("k"), F.max("k")).first()
-    cuts = sorted({*cuts, least[1]})  # ids that occur; range p holds the ids above cut p - 1, up to cut p
+    sent = spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64))  # PARTS pairs at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge = np.array(cuts, dtype=np.int64)
+        edge_k, edge_tie = np.ascontiguousarray(sent.value[:, 0]), np.ascontiguousarray(sent.value[:, 1])
+        last = len(edge_k) - 1
         for batch in batches:
-            key = batch.column("k").to_numpy()
-            part = np.searchsorted(edge, key, side="left")
-            heads = np.flatnonzero((edge[np.minimum(part, len(edge) - 1)] == key) & (part + 1 < len(edge)))
-            tops = np.flatnonzero(key == edge[-1])
-            take = np.concatenate([np.arange(len(key)), heads, tops])
+            k, tie = batch.column("k").to_numpy(), batch.column("tie").to_numpy()
+            part = _range_of(edge_k, edge_tie, k, tie)
+            bound = (edge_k[part] == k) & (edge_tie[part] == tie)
+            heads, tops = np.flatnonzero(bound & (part < last)), np.flatnonzero(bound & (part == last))
+            take = np.concatenate([np.arange(len(k)), heads, tops])
             to = np.concatenate([part, part[heads] + 1, np.zeros(len(tops), np.int64)])
-            role = np.repeat(np.array([0, 1, 2], np.int32), [len(key), len(heads), len(tops)])
+            role = np.repeat(np.array([0, 1, 2], np.int32), [len(k), len(heads), len(tops)])
             got = batch.take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(role), *(got.column(c) for c in ("id", "k", "text"))], names=["part", "role", "id", "k", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(role), *(got.column(c) for c in ("id", "k", "tie", "text"))], names=["part", "role", "id", "k", "tie", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows_out = None, []
@@ -138,6 +169,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 rows_out = []
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=[f.split()[0] for f in out.split(", ")])
 
-    dealt = rows.mapInArrow(deal, "part long, role int, id long, k long, text string")
-    ordered = dealt.repartition(len(cuts), "part").sortWithinPartitions("part", "role", F.col("k").desc(), "text")
+    dealt = rows.select("id", "k", "tie", "text").mapInArrow(deal, "part long, role int, id long, k long, tie long, text string")
+    ordered = dealt.repartition(len(bounds), "part").sortWithinPartitions("part", "role", F.col("k").desc(), F.col("tie").desc(), "text")
     return ordered.mapInArrow(run, out).withColumnRenamed("id", id_col)
