@@ -109,6 +109,10 @@ def test_warc_round_trip(spark):
     some = warc.read_warc(index.where("page_id IN (0, 6)"), payloads=True).collect()
     assert sorted(bytes(r["body"]).decode() for r in some) == sorted(h for p, _, h in pages if p in (0, 6))
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    clash = df.select("*", *(F.lit("x").alias(c) for c in ("body", "size", "digest", "original", "refers_to", "file", "n")))
+    assert sorted(map(str, warc.archive_round_trip(clash).collect())) == sorted(map(str, warc.archive_round_trip(df).collect()))
+    twice = warc.read_warc(index.where("page_id = 1").unionByName(index.where("page_id = 1"))).collect()
+    assert len(twice) == 2
 
 
 def test_ranges_coalesce(spark):

@@ -28,8 +28,8 @@ BLANK = b"\r\n"
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response with the payload as its block, or a revisit of an identical payload."""
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record: a response with the payload as its block, or a revisit of an identical payload of `size` bytes."""
     revisit = refers_to is not None
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
     head = [
@@ -39,7 +39,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         "WARC-Date: 1970-01-01T00:00:00Z",
         *([] if url is None else ["WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "%%%02X" % ord(c) for c in url)]),
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
         *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
     ]
     if revisit:
@@ -65,15 +65,22 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = 100, level: int = 6, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Write one record per page; the index, written as a table.
 
+    Which pages are revisits is worked out without bodies, by (id, digest); bodies are then joined to that on the same two
+    columns, so a popular payload does not gather in one task, and revisits send none.
     A null body is empty; null URLs have no target field; repeated ids give as many records; an id of null is kept and never
-    the one that others refer to, except where all ids of a payload are null: then all are responses.
+    the one that others refer to, except where all ids of a payload are null: then all are responses. Bodies of any length
+    are one record; an empty table gives an empty index; other columns, whatever their names, are ignored.
     """
     spark = prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).cast("binary").alias("body"))
     hashed = rows.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body"))
-    again = hashed.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").select("digest", "original")
+    long = hashed.where(F.col("size") >= revisit_bytes).select("page_id", "digest")
+    again = long.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").select("digest", "original")
     again = written(again, "repeated")
-    typed = hashed.join(again, "digest", "left").select("page_id", "url", "body", "digest", F.when(F.coalesce(F.col("original") != F.col("page_id"), F.col("original").isNotNull()), F.col("original")).alias("refers_to"))
+    other = ~F.col("page_id").eqNullSafe(F.col("original"))
+    refs = written(long.join(again, "digest").where(other).distinct(), "revisits").alias("r")
+    typed = hashed.alias("h").join(refs, F.col("h.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("h.digest") == F.col("r.digest")), "left")
+    typed = typed.select("h.page_id", "url", F.when(F.col("original").isNull(), F.col("body")).alias("body"), "size", "h.digest", F.col("original").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_store(folder)
@@ -91,13 +98,13 @@ def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = 100, level: i
                 sink, rows = None, []
 
         for batch in batches:
-            for i, page, url, body, digest, refers in zip(range(batch.num_rows), *(batch.column(c).to_pylist() for c in ("page_id", "url")), batch.column("body"), batch.column("digest").to_pylist(), batch.column("refers_to").to_pylist(), strict=True):
+            for page, url, body, size, digest, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url")), batch.column("body"), *(batch.column(c).to_pylist() for c in ("size", "digest", "refers_to")), strict=True):
                 if sink is None:
                     fs.create_dir(base, recursive=True)
                     name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
                     sink = fs.open_output_stream(f"{base}/.{name}", compression=None)
                 squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
-                data = squeeze.compress(record(page, url, body.as_py(), digest, refers)) + squeeze.flush()
+                data = squeeze.compress(record(page, url, body.as_py(), size, digest, refers)) + squeeze.flush()
                 sink.write(data)
                 rows.append((page, url, digest, "response" if refers is None else "revisit", refers, f"{folder}/{name}", at, len(data)))
                 at += len(data)
@@ -122,7 +129,11 @@ def ranges(index: DataFrame, most: int = RANGE, gap: int = GAP) -> DataFrame:
 
 def read_warc(index: DataFrame, most: int = RANGE, gap: int = GAP, payloads: bool = False) -> DataFrame:
     """Records that an index (or a part of it) names: page_id, payload_bytes, payload_digest, record_type, refers_to, and
-    with `payloads` the body (null for revisits)."""
+    with `payloads` the body (null for revisits).
+
+    An empty index gives no rows; a row that occurs twice gives its record twice; records of any length are read whole;
+    other columns of the index are ignored; a record that does not fit its digest fails the job.
+    """
     spark = prepare(index.sparkSession)
     wanted = ranges(index, most, gap).repartition(max(1, spark.sparkContext.defaultParallelism * 4), "file", "start")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["body"] if payloads else [])]
