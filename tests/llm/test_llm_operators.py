@@ -493,22 +493,30 @@ def test_equal_rows_survive_hash_collisions(monkeypatch):
     assert len(one) == len(other) and (text[one][place] == text).all() and (text[other][at] == text).all() and (np.diff(key[other].astype(int)) >= 0).all()
 
 
-def test_language_model(docs, rows, empty):
+@pytest.mark.parametrize(("order", "least", "broadcast"), [(3, 2, 10), (3, 1, 10), (2, 1, 0), (2, 1, 10**6), (2, 3, 10), (1, 1, 10), (4, 1, 0), (4, 2, 0)])
+def test_language_model(docs, rows, empty, order, least, broadcast, monkeypatch):
+    monkeypatch.setattr(lm, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(lm, "HOT_SHARE", 1 / 300)
     words = [(i, WORD.findall(lower(t or ""))) for i, t, *_ in rows]
-    count = collections.Counter(tuple(w[k : k + n]) for _, w in words for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    count = collections.Counter(tuple(w[k : k + n]) for _, w in words for n in range(1, order + 1) for k in range(len(w) - n + 1))
     total = sum(len(w) for _, w in words)
 
     def score(g):
         if len(g) == 1:
             return count[g] / total
-        return count[g] / count[g[:-1]] if count[g] >= 2 else 0.4 * score(g[1:])
+        return count[g] / count[g[:-1]] if count[g] >= least else 0.4 * score(g[1:])
 
-    got = {r["doc_id"]: r for r in lm.backoff_scores(docs, order=3).collect()}
+    found = lm.backoff_scores(docs, order=order, least=least).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(i for i, _ in words)
+    got = {r["doc_id"]: r for r in found}
     for i, w in words:
-        want = sum(math.log10(score(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
-        assert got[i]["n_words"] == len(w) and got[i]["log10_score"] == pytest.approx(want)
+        want = sum(math.log10(score(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(len(w)))
+        assert got[i]["n_words"] == len(w) and got[i]["log10_score"] == pytest.approx(want, abs=1e-6)
         assert (got[i]["mean_log10"] is None) == (not w)
-    assert lm.backoff_scores(empty).count() == 0
+    if order == 3:
+        assert lm.backoff_scores(empty, order=order, least=least).count() == 0
+        blank = docs.where("doc_id in (4, 5, 6)")
+        assert [r["log10_score"] for r in lm.backoff_scores(blank, order=order, least=least).collect()] == [0.0] * 3
 
 
 def test_registered_language_model_counts_all_trigrams(spark, tmp_path):

@@ -1,128 +1,207 @@
-"""Stupid-backoff scores from n-gram counts of the whole corpus.
+"""Stupid-backoff scores from n-gram counts of the whole corpus, as joins of tables.
 
-Every block of texts sends its distinct n-gram hashes with their counts to the count table's hash ranges; there the counts
-are summed over all blocks, and each block gets them back, aligned with what it sent. The block then joins them to its exploded n-grams
-and sums per document. So the table grows with the corpus, is never in one place, and a frequent n-gram costs one entry a block.
+Every text is exploded to rows (text, n-gram, occurrences); an n-gram is a 64-bit hash of its words. The rows of one length
+are partitioned by that hash once, and in its partition each n-gram's count meets the rows that need it: the count table
+of a hash range and its join to the exploded n-grams are one pass over sorted rows (a window over the hash), as both
+sides would be dealt alike. So counting and looking up share one shuffle and no table is ever in one place. What a text
+gets from a range is summed before it leaves it, and summed per document at the end. Where a count table is small (its rows
+are counted first), it is sent to all tasks and no row moves.
 
-Score of a word after its context: count(n-gram) / count(context), if the n-gram is in the table (unigrams always; longer ones
-from `least` occurrences on, as is usual for tables of this size); otherwise `backoff` times the score with the first context
-word dropped. Unigrams: count / number of words in the corpus.
+Score of a word after its context: count(n-gram) / count(context), if the n-gram occurs `least` times; otherwise `backoff` times
+the score with the first context word dropped. Unigrams: count / number of words in the corpus.
+
+With least = 1 an n-gram of the corpus itself is always found, and a document's sum needs two lengths only: contexts of
+one word are n-grams of the word before, so below the longest two lengths they cancel. With more, each n-gram that is
+found adds what it changes against the next shorter one, a number of its own; a text's sum is then a join with that table.
+
+An n-gram that very many documents have (found in a sample of documents, which only decides where rows go) has its rows dealt
+to SALTS tasks, summed there and then over them.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import hashing as H
-from tracelake.llm.blocks import deals_of, exchange, pack, replies, squeeze, squeeze_sorted, unpack, unsqueeze, unsqueeze_sorted
-from tracelake.llm.common import prepare
+from tracelake.llm.common import prepare, row_slices, text_bytes, trim, written
 
 SPREAD = np.uint64(0x9FB21C651E98DF25)
-
-
-def _grams(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(for n = 1.. the key of the n-gram that ends at each word, document of each word, how many words precede it there).
-
-    Keys of words with fewer than n - 1 words before them have no meaning.
-    """
-    words, first = H.words_of(data, offsets)
-    size = np.diff(first)
-    doc = np.repeat(np.arange(len(size)), size)
-    back = np.arange(len(words)) - first[doc]
-    keys = [H.mix(words + np.uint64(1))]
-    run = words.copy()
+SLICE = 2 << 20
+#: N-grams with this share of the rows of sampled documents are hot; so there are at most as many as its inverse.
+HOT_SHARE = 1 / 1000
+SAMPLED_ROWS = 20_000
+SALTS = 64
+#: Rows of a count table that is sent to all tasks at most (16 bytes each); a larger one is met by a shuffle.
+BROADCAST_ROWS = 1_000_000
+GRAM = "k long, g long, n int, w int"
+WIDE = GRAM + ", pre long, suf long, mid long"
+
+
+def _keys(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 1.. the key of the n-gram that ends at each word; without n - 1 words before it that has no meaning."""
+    keys, run = [H.mix(words + np.uint64(1))], words.copy()
     for n in range(2, order + 1):
         shifted = np.zeros_like(run)
         shifted[1:] = run[:-1]
         run = shifted * SPREAD + words
         keys.append(H.mix(run + np.uint64(n)))
-    return keys, doc, back
-
+    return keys
 
-def _deal(keys: np.ndarray, deals: int) -> np.ndarray:
-    """Range of each ascending key; ranges are equal parts of the key space."""
-    edges = np.array([(d << 64) // deals for d in range(1, deals)], dtype=np.uint64)
-    return np.searchsorted(keys, edges)
 
+def _summed(doc: np.ndarray, key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of values per (row, key)."""
+    order = np.argsort(key, kind="stable")
+    order = order[np.argsort(doc[order], kind="stable")]
+    d, g = doc[order], key[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (g[1:] != g[:-1])]))
+    return (d[head], g[head], *(np.add.reduceat(v[order], head).astype(v.dtype) if len(head) else v for v in values))
 
-def _sent(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, _, back = _grams(offsets, data, order)
-    return np.unique(np.concatenate([k[back >= n] for n, k in enumerate(keys)]), return_counts=True)
 
+def exploded(texts: DataFrame, level: int, order: int, least: int) -> DataFrame:
+    """(k, g, n, w) of texts (k, text): n occurrences of the n-gram g of `level` words in the text with key k, and its weight w in
+    the text's score where least = 1. Rows without weight are summed over a batch and have a null k.
 
-def backoff_scores(docs: DataFrame, order: int = 2, least: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_words, log10_score (sum over its words), mean_log10 (per word; null without words).
-
-    Words are runs of anything but blanks, A-Z lower-cased. Null or blank texts have no words and score 0; null ids come back as
-    null; repeated rows count and are scored each; an empty table gives no rows; other columns are ignored.
+    With least > 1 the weight is n, and pre, suf, mid are the keys of the n-gram without its last, first, and both words.
     """
-    spark = prepare(docs.sparkSession)
-    packed = pack(docs, id_col, text_col)
-    deals = deals_of(packed, 0.15 * order * 8)
-
-    def send(block, ids, offsets, data, deals):
-        keys, counts = _sent(offsets, data, order)
-        cut = [0, *_deal(keys, deals).tolist(), len(keys)]
-        for d, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-            if a < b:
-                yield d, squeeze_sorted(keys[a:b]) + squeeze(counts[a:b].astype("<u4"))
-
-    def merge(messages):
-        parts = []
-        for m in messages:
-            keys, at = unsqueeze_sorted(m)
-            parts.append((keys, unsqueeze(m, "<u4", at)[0]))
-        every = np.concatenate([k for k, _ in parts])
-        unique, place = np.unique(every, return_inverse=True)
-        total = np.bincount(place, np.concatenate([c for _, c in parts]), len(unique)).astype("<u8")
-        ends = np.cumsum([len(k) for k, _ in parts])[:-1]
-        return [squeeze(total[p]) for p in np.split(place, ends)]
-
-    folder = exchange(packed, deals, send, merge, "ngram-counts")
-    log_back, n_order = np.log10(backoff), order
-
-    def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in row_slices(offsets, SLICE):
+                words, first = H.words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                size = np.diff(first)
+                doc = np.repeat(np.arange(j - i), size)
+                at = np.arange(len(words)) - first[doc]
+                keys = _keys(words, level)
+                ends = np.flatnonzero(at >= level - 1)
+                doc, at, m = doc[ends], at[ends], size[doc[ends]]
+                n = np.ones(len(ends), np.int32)
+                if least > 1:
+                    more = [keys[level - 2][ends - 1], keys[level - 2][ends]] if level > 1 else []
+                    more += [keys[level - 3][ends - 1]] if level > 2 else []
+                    more += [np.zeros(len(ends), np.uint64)] * (3 - len(more))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc]), pa.array(keys[level - 1][ends].view(np.int64)), pa.array(n), pa.array(n), *(pa.array(c.view(np.int64)) for c in more)], names=[f.split()[0] for f in WIDE.split(", ")])
+                    continue
+                if level == order:
+                    w = n
+                elif level == order - 1:
+                    w = np.where(m <= level, 1, np.where((at >= level) & (at <= m - 2), -1, 0)).astype(np.int32)
+                else:
+                    w = (m == level).astype(np.int32)
+                doc, g, n, w = _summed(doc, keys[level - 1][ends], n, w)
+                some = w != 0
+                k = pa.array(ids[i:j][doc[some]])
+                yield pa.RecordBatch.from_arrays([k, pa.array(g[some].view(np.int64)), pa.array(n[some]), pa.array(w[some])], names=["k", "g", "n", "w"])
+                if not some.all():
+                    _, g, n = _summed(np.zeros(int((~some).sum()), np.int8), g[~some], n[~some])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.int64()), pa.array(g.view(np.int64)), pa.array(n), pa.array(np.zeros(len(g), np.int32))], names=["k", "g", "n", "w"])
+        trim()
+
+    return texts.mapInArrow(run, WIDE if least > 1 else GRAM)
+
+
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(id, k, n_words) of texts (k, text, id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = sum(len(H.words_of(data, offsets, lower=False)[0]) for _, _, offsets, data in unpack(batch))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+            data, offsets = text_bytes(batch.column(1))
+            count = [np.zeros(0, np.int64)]
+            for i, j in row_slices(offsets, SLICE):
+                flat, starts = H.joined(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                count.append(np.diff(np.append(np.searchsorted(first := H.word_spans(flat)[0], starts), len(first))))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(np.concatenate(count), pa.int64())], names=["id", "k", "n_words"])
+
+    return texts.mapInArrow(run, "id long, k long, n_words long")
+
+
+def _hot(rows: DataFrame) -> list[int]:
+    """N-grams with HOT_SHARE of the rows or more: at most 1 / HOT_SHARE of them."""
+    held = rows.groupBy("g").agg(F.count("*").alias("rows"))
+    total = held.agg(F.sum("rows")).first()[0] or 0
+    return [r["g"] for r in held.where(F.col("rows") >= max(2.0, total * HOT_SHARE)).select("g").collect()]
+
+
+def _counted(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """rows with c, the sum of n over all rows of their g: one shuffle by g, in which hot n-grams are dealt by k as well."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not hot:
+        return rows.repartition(parts, "g").withColumn("c", F.sum("n").over(Window.partitionBy("g")))
+    is_hot = F.col("g").isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    dealt = rows.withColumn("salt", salt).repartition(parts, "g", "salt").withColumn("c", F.sum("n").over(Window.partitionBy("g", "salt")))
+    whole = rows.where(is_hot).groupBy("g").agg(F.sum("n").alias("all"))
+    return dealt.join(F.broadcast(whole), "g", "left").withColumn("c", F.coalesce("all", "c"))  # a row per hot n-gram
+
+
+def _scored(texts: DataFrame, level: int, order: int, sample: DataFrame) -> DataFrame:
+    """(k, s): parts of each text's score from the n-grams of one length, where least = 1."""
+    rows = exploded(texts, level, order, 1)
+    logs = (F.col("w") * F.log10("c")).alias("s")
+    if level < order:  # few distinct ones: then no row has to move
+        table = written(rows.groupBy("g").agg(F.sum("n").alias("c")).where("c > 1"), "counts") if level == 1 else None
+        if table is not None and table.count() <= BROADCAST_ROWS:
+            return rows.where("w <> 0").join(F.broadcast(table), "g").select("k", logs)
+    return _counted(rows, _hot(exploded(sample, level, order, 1).where("k is not null"))).where("w <> 0 and c > 1").select("k", logs)
+
+
+def _changes(texts: DataFrame, order: int, least: int, backoff: float, total: int) -> DataFrame:
+    """(k, s): parts of each text's score, where longer n-grams count from `least` occurrences on.
+
+    The unigram score of each word, and for each longer n-gram that is found, what it adds to the score that the n-gram
+    without its first word gives.
+    """
+    every = [written(exploded(texts, n, order, least), "grams") for n in range(1, order + 1)]
+    counts = [written(e.groupBy("g").agg(F.sum("n").alias("c"), *(F.first(x).alias(x) for x in ("pre", "suf", "mid"))), "counts") for e in every]
+    lone = F.lit(float(total)).alias("c")
+    parts = every[0].join(counts[0].select("g", "c"), "g").select("k", (F.col("w") * (F.log10("c") - float(np.log10(max(total, 1))))).alias("s"))
+    for n in range(2, order + 1):
+        short = [counts[n - 2].select(F.col("g").alias(x), F.log10("c").alias(f"{x}_c")) for x in ("pre", "suf")]
+        found = counts[n - 1].where(F.col("c") >= least).join(short[0], "pre").join(short[1], "suf")
+        found = found.join(counts[n - 3].select(F.col("g").alias("mid"), F.log10("c").alias("mid_c")), "mid") if n > 2 else found.withColumn("mid_c", F.log10(lone))
+        change = found.select("g", (F.log10("c") - F.col("pre_c") - F.col("suf_c") + F.col("mid_c") - float(np.log10(backoff))).alias("d"))
+        parts = parts.unionByName(every[n - 1].join(change, "g").select("k", (F.col("w") * F.col("d")).alias("s")))
+    return parts
 
-    total = packed.mapInArrow(words_in, "n long").agg(F.sum("n")).first()[0] or 0
-    log_total = float(np.log10(max(total, 1)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, ids, offsets, data in unpack(batch):
-                keys, doc, back = _grams(offsets, data, n_order)
-                sent = np.unique(np.concatenate([k[back >= n] for n, k in enumerate(keys)]))
-                got = replies(folder, block)
-                counts = np.concatenate([unsqueeze(got[d], "<u8")[0] for d in sorted(got)]) if got else np.zeros(0, np.uint64)
-                if len(counts) != len(sent):
-                    raise ValueError(f"block {block} sent {len(sent)} keys and got {len(counts)} replies")
-                logs = np.log10(np.maximum(counts, 1).astype(float))
-                at = np.searchsorted(sent, keys[0])
-                low = logs[at] - log_total if len(at) else np.zeros(0)
-                context = logs[at] if len(at) else np.zeros(0)
-                for n in range(1, n_order):
-                    ok = back >= n
-                    place = np.searchsorted(sent, keys[n][ok])
-                    seen = counts[place] >= least if len(place) else np.zeros(0, bool)
-                    here = logs[place] if len(place) else np.zeros(0)
-                    before = np.flatnonzero(ok) - 1  # the context ends one word earlier
-                    low[ok] = np.where(seen, here - context[before], low[ok] + log_back)
-                    full = np.zeros(len(low))
-                    full[ok] = here
-                    context = full
-                size = np.bincount(doc, minlength=len(ids))
-                sums = np.bincount(doc, low, len(ids)).astype(float)  # integers where a block has no words
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == -(2**63)), pa.array(size, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(size, 1), mask=size == 0)],
-                    names=["id", "n_words", "log10_score", "mean_log10"],
-                )
-
-    return packed.mapInArrow(score, "id long, n_words long, log10_score double, mean_log10 double").withColumnRenamed("id", id_col)
+def backoff_scores(docs: DataFrame, order: int = 3, least: int = 1, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_words, log10_score (sum over its words), mean_log10 (per word; null without words).
+
+    Words are runs of anything but blanks, A-Z lower-cased. Null or blank texts have no words and score 0; texts of any length
+    are scored whole; null ids come back as null; repeated rows count and are scored each; an empty table gives no rows;
+    other columns are ignored. Texts are told apart by a 64-bit hash of id and text, n-grams by one of their words.
+    """
+    if order < 1 or least < 1:
+        raise ValueError("order and least start at 1")
+    prepare(docs.sparkSession)
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(F.coalesce(id_.cast("string"), F.lit("null")), text).alias("k"), text.alias("text"), id_.alias("id"))
+    base = written(_word_counts(texts), "word-counts")
+    total, n_rows = base.agg(F.sum("n_words"), F.count("*")).first()
+    log_total, log_back = float(np.log10(max(total or 0, 1))), float(np.log10(backoff))
+    own = base.groupBy("id", "k", "n_words").agg(F.count("*").alias("times"))
+    if least == 1:
+        sample = texts.where(F.pmod(F.xxhash64("k"), F.lit(max(1, n_rows // SAMPLED_ROWS))) == 0).select("k", "text")
+        levels = sorted({order, *((order - 1,) if order > 1 else ())})
+        short = {r["n_words"] for r in own.where((F.col("n_words") > 0) & (F.col("n_words") < order - 1)).select("n_words").distinct().collect()}  # fewer than order of them
+        parts = [_scored(texts.select("k", "text"), n, order, sample) for n in sorted({*levels, *short})]
+        missing: Column = F.lit(log_total) * (F.col("n_words") if order == 1 else F.lit(1))  # the first word is no n-gram's end but its own
+    else:
+        parts = [_changes(texts.select("k", "text"), order, least, backoff, total or 0)]
+        m = F.col("n_words")  # what every word has lost that is found as a unigram only
+        steps = sum((F.greatest(m - n, F.lit(0)) for n in range(1, order)), F.lit(0))
+        missing = -steps * log_back
+    sums = parts[0]
+    for p in parts[1:]:
+        sums = sums.unionByName(p)
+    sums = sums.groupBy("k").agg(F.sum("s").alias("s"))
+    # rows of one id and text have one key: their sum is of all of them
+    score = F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.coalesce(F.col("s") / F.col("times"), F.lit(0.0)) - missing)
+    out = own.join(sums, "k", "left").withColumn("score", score).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select(F.col("id").alias(id_col), "n_words", F.col("score").alias("log10_score"), F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_log10"))

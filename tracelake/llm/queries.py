@@ -75,8 +75,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff scores of all documents from the counts of the whole corpus."""
-    scores = backoff_scores(_table(spark, sf_dir, "documents"), order=2, least=2)
+    """Stupid-backoff scores of all documents from all uni- and bigrams of the whole corpus, once-seen ones too."""
+    scores = backoff_scores(_table(spark, sf_dir, "documents"), order=2, least=1)
     return scores.select("doc_id", "n_words", F.round("log10_score", 3).alias("log10_score"), F.round("mean_log10", 5).alias("mean_log10"))
 
 

@@ -44,6 +44,7 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM o
 """
 
+#: All counts are in the table, once-seen ones too, so every bigram of the corpus is found.
 LM_SQL = f"""
 WITH words AS ({_WORDS}),
 tokens AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM words),
@@ -52,8 +53,7 @@ one AS (SELECT t, count(*) AS n FROM tokens GROUP BY t),
 two AS (SELECT p, t, count(*) AS n FROM pairs WHERE p IS NOT NULL GROUP BY p, t),
 total AS (SELECT count(*) AS n FROM tokens),
 scored AS (
-    SELECT pairs.doc_id, CASE WHEN two.n >= 2 THEN log10(two.n) - log10(c.n)
-        ELSE log10(u.n) - log10(total.n) + CASE WHEN pairs.p IS NULL THEN 0 ELSE log10(0.4) END END AS s
+    SELECT pairs.doc_id, CASE WHEN pairs.p IS NULL THEN log10(u.n) - log10(total.n) ELSE log10(two.n) - log10(c.n) END AS s
     FROM pairs CROSS JOIN total JOIN one u ON u.t = pairs.t LEFT JOIN one c ON c.t = pairs.p LEFT JOIN two ON two.p = pairs.p AND two.t = pairs.t),
 sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(s, 0), 3) AS log10_score, round(s / n, 5) AS mean_log10
