@@ -376,6 +376,57 @@ def test_classifier(spark, sf_dir, docs, empty):
     assert fm.classify(docs, fm.train(docs, labels.limit(0))).count() == len(rest)
 
 
+def test_classifier_against_a_plain_scorer(spark, docs, rows):
+    """Scores from dictionaries and a double sum over all pairs of inputs."""
+    from tracelake.llm import hashing as H
+
+    rng = np.random.default_rng(2)
+    words, wide = 1 << fm.WORD_BITS, fm.DENSE + 1
+    m = fm.Machine(-0.2, rng.normal(0, 0.3, words + wide), rng.normal(0, 0.2, (words + wide, 3)), rng.random(wide), rng.random(wide) + 0.5)
+    df = docs.withColumn("n_chars", F.when(F.col("doc_id") % 3 > 0, F.col("n_chars")))
+    got = {r["doc_id"]: r["score"] for r in fm.classify(df, m, metadata=("n_chars",)).collect()}
+    for i, text, _, _, n_chars, *_ in rows:
+        raw = (text or "").encode()
+        w = WORD.findall(lower(text or ""))
+        if len(w) > 200:
+            continue
+        bucket = [int(H.words_of(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0] >> np.uint64(64 - fm.WORD_BITS)) for x in w]
+        weight = {b: 1 + math.log(c) for b, c in collections.Counter(bucket).items()}
+        norm = math.sqrt(sum(v * v for v in weight.values()))
+        x = {b: v / norm for b, v in weight.items()}
+        one = max(len(w), 1)
+        dense = [sum(b in members for b in raw) / max(len(raw), 1) for members in fm.CLASSES.values()]
+        dense += [math.log1p(len(raw)), math.log1p(len(w)), len(raw) / one / 10, sum(a == b for a, b in zip(w, w[1:], strict=False)) / one, len(weight) / min(one, words), math.log1p(n_chars) if i % 3 else None]
+        for k, v in enumerate(dense):
+            x[words + k] = 0.0 if v is None else min(4, max(-4, (v - m.mean[k]) / m.scale[k])) / 4
+        on = sorted(x)
+        plain = m.bias + sum(m.linear[a] * x[a] for a in on) + sum(float(m.factors[a] @ m.factors[b]) * x[a] * x[b] for k, a in enumerate(on) for b in on[k + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, plain)))))
+
+
+def test_fits_do_not_depend_on_repeated_rows_or_clashes(spark, sf_dir):
+    d, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    more = d.union(d.where("doc_id % 3 = 0")).withColumn("quality", F.lit(5)).withColumn("__label", F.lit("x")).withColumn("y", F.lit("x")).repartition(5)
+    marks = labels.union(labels).withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(0))
+    assert rules.fit_rules(d, labels) == rules.fit_rules(more, marks)
+    one, two = fm.train(d, labels, metadata=("n_chars",)), fm.train(more, marks, metadata=("n_chars",))
+    assert np.array_equal(one.linear, two.linear) and np.array_equal(one.factors, two.factors)
+    assert rules.fit_rules(d, labels.limit(0)) == [] and rules.fit_rules(d.limit(0), labels) == []
+    clash = d.limit(20).withColumn("__text", F.lit(1)).withColumn("kept", F.lit(1)).withColumn("__w", F.lit(1))
+    assert rules.judge(clash, []).count() == 20
+
+
+def test_decision_list_column_is_the_list(spark, sf_dir):
+    """What the CASE expression keeps is what the rules, read one after the other, keep."""
+    d, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    found = rules.fit_rules(d, labels)
+    assert found
+    for r in rules.judge(d, found).collect():
+        row = r.asDict()
+        want = not r["base_failed"] and not any(all(row[c.name] >= c.cut if c.above else row[c.name] <= c.cut for c in rule) for rule in found)
+        assert r["kept"] == want
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     size = (1 << fm.WORD_BITS) + fm.DENSE

@@ -58,13 +58,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Machine:
-    """Weights over word buckets followed by dense statistics; dense ones are standardised and clipped."""
+    """Weights over word buckets followed by dense statistics and metadata; those are standardised and clipped, and what is
+    missing counts as the mean."""
 
     def __init__(self, bias: float, linear: np.ndarray, factors: np.ndarray, mean: np.ndarray, scale: np.ndarray):
         self.bias, self.linear, self.factors, self.mean, self.scale = bias, linear, factors, mean, scale
 
     def standard(self, dense: np.ndarray) -> np.ndarray:
-        return np.clip((dense - self.mean) / self.scale, -4, 4) / 4
+        return np.nan_to_num(np.clip((dense - self.mean) / self.scale, -4, 4) / 4)
 
     def score(self, at: np.ndarray, bucket: np.ndarray, weight: np.ndarray, dense: np.ndarray) -> np.ndarray:
         rows, words = len(dense), 1 << WORD_BITS
@@ -81,12 +82,15 @@ class Machine:
 def fit_machine(x_words: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray, y: np.ndarray, rank: int = 6, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, batch: int = 128, seed: int = 5) -> Machine:
     """Adam on the log loss in seeded mini-batches, both labels weighing the same in sum; without rows of both labels the scores are the share of label 1."""
     words = 1 << WORD_BITS
-    size = words + DENSE
+    wide = dense.shape[1]
+    size = words + wide
     rng = np.random.default_rng(seed)
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
-        return Machine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, rank)), np.zeros(DENSE), np.ones(DENSE))
-    mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
+        return Machine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, rank)), np.zeros(wide), np.ones(wide))
+    some = np.maximum(np.isfinite(dense).sum(axis=0), 1)
+    mean = np.nansum(dense, axis=0) / some
+    scale = np.sqrt(np.nansum((dense - mean) ** 2, axis=0) / some) + 1e-6
     even = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     epochs = max(epochs, -(-LEAST_STEPS * batch // len(y)))
     m = Machine(0.0, np.zeros(size), rng.normal(0, 0.02, (size, rank)), mean, scale)
@@ -117,20 +121,38 @@ def fit_machine(x_words: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray,
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, **settings) -> Machine:
+def _inputs(docs: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...]) -> DataFrame:
+    """(id, text, metadata as an array of doubles)."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.array(*(F.col(c).cast("double") for c in metadata)).cast("array<double>").alias("metadata"))
+
+
+def _extra(column: pa.ListArray, n: int) -> np.ndarray:
+    """Logarithms of the metadata of each row; what is missing or below 0 is not a number."""
+    flat = np.array(column.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), n)
+    return np.log1p(np.where(flat >= 0, flat, np.nan))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, metadata: tuple[str, ...] = (), **settings) -> Machine:
     """Fit on at most `sample` labelled rows with the smallest seeded hashes; ids whose crc32 leaves 0 modulo `held_out` stay
-    out. Null labels are ignored; of repeated labels of an id the smallest counts."""
+    out. metadata: numeric columns of docs that are inputs as well, by their logarithm; a null there counts as the mean.
+
+    Null labels and ids are ignored; of repeated labels of an id the smallest counts, of repeated documents of an id the one
+    with the smallest hash; texts of any length are taken whole; without labels every score is one half; other columns
+    are ignored.
+    """
     prepare(docs.sparkSession)
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold % held_out != 0)).groupBy(id_col).agg(F.min(label_col).alias("y"))
-    drawn = known.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(sample)  # at most `sample` rows
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), id_col).select(F.col(id_col).cast("long").alias("id"), F.col("y").cast("int"), "text")
+    fold = F.crc32(F.col("id").cast("string").cast("binary"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("mark")).where(F.col("mark").isNotNull() & F.col("id").isNotNull() & (fold % held_out != 0)).groupBy("id").agg(F.min("mark").alias("y"))
+    drawn = known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)  # at most `sample` rows
+    own = _inputs(docs, id_col, text_col, metadata).join(F.broadcast(drawn), "id")
+    rows = own.groupBy("id", "y").agg(F.min_by(F.struct("text", "metadata"), F.xxhash64("text", "metadata")).alias("d")).select("id", F.col("y").cast("int").alias("y"), "d.text", "d.metadata")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for i, j in row_slices(offsets, SLICE):
                 at, bucket, weight, dense = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                dense = np.column_stack([dense, _extra(batch.column("metadata").slice(i, j - i), len(metadata))])
                 cut = np.searchsorted(at, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(i, j - i), batch.column("y").slice(i, j - i)]
@@ -139,18 +161,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, seed: int = 5,
                     names=["id", "y", "bucket", "weight", "dense"],
                 )
 
-    got = rows.mapInArrow(run, "id long, y int, bucket binary, weight binary, dense binary").limit(2 * sample).collect()
+    got = rows.mapInArrow(run, "id long, y int, bucket binary, weight binary, dense binary").collect()
     got.sort(key=lambda r: (r["id"], r["bucket"]))
     words = [(np.frombuffer(r["bucket"], "<u2").astype(np.int64), np.frombuffer(r["weight"], "<f4").astype(float)) for r in got]
-    dense = np.array([np.frombuffer(r["dense"], "<f8") for r in got]).reshape(len(got), DENSE)
+    dense = np.array([np.frombuffer(r["dense"], "<f8") for r in got]).reshape(len(got), DENSE + len(metadata))
     return fit_machine(words, dense, np.array([float(r["y"] == 1) for r in got]), seed=seed, **settings)
 
 
-def classify(docs: DataFrame, machine: Machine, threshold: float = 0.3, held_out: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, machine: Machine, threshold: float = 0.3, held_out: int = 5, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
     """id, held_out, score (0 to 1), predicted (1 if score >= threshold) for every document.
 
-    Null texts are scored as empty; null ids are kept (held_out null); repeated rows are scored each; an empty table gives no
-    rows; no other column is an input.
+    Null texts are scored as empty; texts of any length are scored whole; null ids are kept (held_out null); repeated rows
+    are scored each; an empty table gives no rows; no column but the text and those of `metadata` (as in train) is an input.
     """
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(machine)  # (2**WORD_BITS + DENSE) * (rank + 1) numbers, whatever the corpus
@@ -158,10 +180,12 @@ def classify(docs: DataFrame, machine: Machine, threshold: float = 0.3, held_out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            score = [sent.value.score(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in row_slices(offsets, SLICE)]
+            score = []
+            for i, j in row_slices(offsets, SLICE):
+                at, bucket, weight, dense = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                score.append(sent.value.score(at, bucket, weight, np.column_stack([dense, _extra(batch.column(2).slice(i, j - i), len(metadata))])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "id long, score double")
+    out = _inputs(docs, id_col, text_col, metadata).mapInArrow(run, "id long, score double")
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % held_out == 0
     return out.select(F.col("id").alias(id_col), fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

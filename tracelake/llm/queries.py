@@ -43,8 +43,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a factorisation machine."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classify(docs, train(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = train(docs, _table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    return classify(docs, machine, threshold=0.3, metadata=("n_chars",))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ SEPARATE = (
 )
 #: Names that the operator gives; the base statistics come first.
 TAKEN = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *SEPARATE}
+#: Columns in between.
+HELPERS = {"__text", "__w", "__l", "__symbols", "__upper", "__bangs", "__distinct", "__n_lines"}
 
 
 @dataclass(frozen=True)
@@ -53,11 +55,11 @@ class Condition:
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the statistics n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those that rules use.
 
-    Every row is worked on by itself: no shuffle. A null text has no words and zeros throughout; columns of docs that have the
-    name of a statistic give way to it.
+    Every row is worked on by itself: no shuffle. A null text has no words and zeros throughout; a text of any length is
+    taken whole; columns of docs that have the name of a statistic or of a column in between (HELPERS) give way.
     """
-    own = [c for c in docs.columns if c.lower() not in TAKEN]
-    raw = docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    own = [c for c in docs.columns if c.lower() not in TAKEN and c.lower() not in HELPERS]
+    raw = docs.select(*(F.col(f"`{c}`") for c in own), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
 
     def let(value: str, name: str, body: str) -> str:
         """body with value under a name, worked out once: a lambda's own variable is never computed again."""
@@ -197,20 +199,28 @@ def list_column(rules: list[list[Condition]]) -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = 8000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 5, **settings) -> list[list[Condition]]:
     """Learn a decision list from at most `sample` labelled rows (those with the smallest seeded hashes), label 0 being bad.
 
-    Rows whose crc32 of the id as text leaves 0 modulo `held_out` are never learned from. Null labels are ignored; of
-    repeated labels of an id the smallest counts.
+    Rows whose crc32 of the id as text leaves 0 modulo `held_out` are never learned from. Null labels and ids are ignored; of
+    repeated labels of an id the smallest counts, of repeated documents of an id the text with the smallest hash; columns of
+    docs other than id and text, whatever their names, are ignored, and so are those of labels; texts of any length are
+    taken whole. Empty tables give no rules.
     """
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold % held_out != 0)).groupBy(id_col).agg(F.min(label_col).alias("__label"))
-    drawn = known.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(sample)  # at most `sample` rows
-    texts = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col)
-    stats = with_statistics(texts, text_col).where(~base_failed()).select(id_col, "__label", *SEPARATE).limit(4 * sample)
-    rows = [{**{n: float(r[n]) for n in SEPARATE}, "bad": r["__label"] == 0, "fold": zlib.crc32(f"{seed}:{r[id_col]}".encode()) % 3} for r in stats.collect()]
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__own"))
+    fold = F.crc32(F.col("__id").cast("string").cast("binary"))
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__mark")).where(F.col("__mark").isNotNull() & F.col("__id").isNotNull() & (fold % held_out != 0)).groupBy("__id").agg(F.min("__mark").alias("__label"))
+    drawn = known.orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(sample)  # at most `sample` rows
+    # one text per id: bounded by the sample, and statistics are worked out for these texts only
+    texts = own.join(F.broadcast(drawn), "__id").groupBy("__id", "__label").agg(F.min_by("__own", F.xxhash64("__own")).alias("__own"))
+    stats = with_statistics(texts, "__own").where(~base_failed()).select("__id", "__label", *SEPARATE)
+    rows = [{**{n: float(r[n]) for n in SEPARATE}, "bad": r["__label"] == 0, "fold": zlib.crc32(f"{seed}:{r['__id']}".encode()) % 3} for r in stats.collect()]
     rows.sort(key=lambda r: tuple(r.values()))
     return learn_list(rows, **settings)
 
 
 def judge(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text") -> DataFrame:
-    """docs with statistics, base_failed and kept: False where the base rules fail, else what the list says."""
+    """docs with statistics, base_failed and kept: False where the base rules fail, else what the list says.
+
+    Null, empty and blank texts have no words and fail; texts of any length are judged whole, by themselves; repeated rows
+    and rows without an id stay; columns with the name of an output give way; an empty table gives no rows.
+    """
     stats = with_statistics(docs, text_col).withColumn("base_failed", base_failed())
     return stats.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(list_column(rules)))
