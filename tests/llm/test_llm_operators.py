@@ -547,10 +547,10 @@ def test_equal_rows_survive_hash_collisions(monkeypatch):
     assert len(one) == len(other) and (text[one][place] == text).all() and (text[other][at] == text).all() and (np.diff(key[other].astype(int)) >= 0).all()
 
 
-@pytest.mark.parametrize(("order", "least", "broadcast"), [(3, 2, 10), (3, 1, 10), (2, 1, 0), (2, 1, 10**6), (2, 3, 10), (1, 1, 10), (4, 1, 0), (4, 2, 0)])
-def test_language_model(docs, rows, empty, order, least, broadcast, monkeypatch):
-    monkeypatch.setattr(lm, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(lm, "HOT_SHARE", 1 / 300)
+@pytest.mark.parametrize(("order", "least", "heavy"), [(3, 2, 10), (3, 1, 60), (2, 1, 0), (2, 1, 10**6), (2, 3, 10), (1, 1, 60), (4, 1, 0), (4, 2, 0)])
+def test_language_model(docs, rows, empty, order, least, heavy, monkeypatch):
+    monkeypatch.setattr(lm, "HEAVY", heavy)
+    monkeypatch.setattr(lm, "SAMPLED_ROWS", 9)
     words = [(i, WORD.findall(lower(t or ""))) for i, t, *_ in rows]
     count = collections.Counter(tuple(w[k : k + n]) for _, w in words for n in range(1, order + 1) for k in range(len(w) - n + 1))
     total = sum(len(w) for _, w in words)

@@ -4,8 +4,7 @@ Every text is exploded to rows (text, n-gram, occurrences); an n-gram is a 64-bi
 are partitioned by that hash once, and in its partition each n-gram's count meets the rows that need it: the count table
 of a hash range and its join to the exploded n-grams are one pass over sorted rows (a window over the hash), as both
 sides would be dealt alike. So counting and looking up share one shuffle and no table is ever in one place. What a text
-gets from a range is summed before it leaves it, and summed per document at the end. Where a count table is small (its rows
-are counted first), it is sent to all tasks and no row moves.
+gets from a range is summed before it leaves it, and summed per document at the end.
 
 Score of a word after its context: count(n-gram) / count(context), if the n-gram occurs `least` times; otherwise `backoff` times
 the score with the first context word dropped. Unigrams: count / number of words in the corpus.
@@ -14,8 +13,9 @@ With least = 1 an n-gram of the corpus itself is always found, and a document's
 one word are n-grams of the word before, so below the longest two lengths they cancel. With more, each n-gram that is
 found adds what it changes against the next shorter one, a number of its own; a text's sum is then a join with that table.
 
-An n-gram that very many documents have (found in a sample of documents, which only decides where rows go) has its rows dealt
-to SALTS tasks, summed there and then over them.
+The most frequent n-grams of a sample of documents (HEAVY of them at most; the sample only decides where rows go) are
+counted over all texts first and sent to all tasks, which score them in place. So no row of a frequent n-gram moves, no
+hash range is loaded by one, and what is shuffled are the rows of rare n-grams, some hundred in one array.
 """
 
 from __future__ import annotations
@@ -32,14 +32,13 @@ from tracelake.llm.common import prepare, row_slices, text_bytes, trim, written
 
 SPREAD = np.uint64(0x9FB21C651E98DF25)
 SLICE = 2 << 20
-#: N-grams with this share of the rows of sampled documents are hot; so there are at most as many as its inverse.
-HOT_SHARE = 1 / 1000
-SAMPLED_ROWS = 20_000
-SALTS = 64
-#: Rows of a count table that is sent to all tasks at most (16 bytes each); a larger one is met by a shuffle.
-BROADCAST_ROWS = 1_000_000
-GRAM = "k long, g long, n int, w int"
-WIDE = GRAM + ", pre long, suf long, mid long"
+#: N-grams whose counts are sent to all tasks, at most (16 bytes each), and documents that they are found in, about.
+HEAVY = 1 << 19
+SAMPLED_ROWS = 8_000
+#: Ranges of hashes per shuffle partition.
+SPREADING = 8
+WIDE = "k long, g long, n int, w int, pre long, suf long, mid long"
+LIGHT = "bucket int, k array<long>, g array<long>, n array<int>, w array<int>, own_k long, own_s double"
 
 
 def _keys(words: np.ndarray, order: int) -> list[np.ndarray]:
@@ -53,57 +52,167 @@ def _keys(words: np.ndarray, order: int) -> list[np.ndarray]:
     return keys
 
 
-def _summed(doc: np.ndarray, key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of values per (row, key)."""
-    order = np.argsort(key, kind="stable")
-    order = order[np.argsort(doc[order], kind="stable")]
-    d, g = doc[order], key[order]
-    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (g[1:] != g[:-1])]))
-    return (d[head], g[head], *(np.add.reduceat(v[order], head).astype(v.dtype) if len(head) else v for v in values))
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(k of each text, word hashes, first word of each text with the total at the end) of some texts (k, text) at a time."""
+    data, offsets = text_bytes(batch.column(1))
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    for i, j in row_slices(offsets, SLICE):
+        yield ids[i:j], *H.words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def exploded(texts: DataFrame, level: int, order: int, least: int) -> DataFrame:
-    """(k, g, n, w) of texts (k, text): n occurrences of the n-gram g of `level` words in the text with key k, and its weight w in
-    the text's score where least = 1. Rows without weight are summed over a batch and have a null k.
+def wide_grams(texts: DataFrame, level: int) -> DataFrame:
+    """(k, g, n, w, pre, suf, mid) of every occurrence of an n-gram of `level` words in texts (k, text): its key, one, one, and
+    the keys of the n-gram without its last, first, and both words."""
 
-    With least > 1 the weight is n, and pre, suf, mid are the keys of the n-gram without its last, first, and both words.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, words, first in _slices(batch):
+                doc = np.repeat(np.arange(len(ids)), np.diff(first))
+                keys = _keys(words, level)
+                ends = np.flatnonzero(np.arange(len(words)) - first[doc] >= level - 1)
+                more = [keys[level - 2][ends - 1], keys[level - 2][ends]] if level > 1 else []
+                more += [keys[level - 3][ends - 1]] if level > 2 else []
+                more += [np.zeros(len(ends), np.uint64)] * (3 - len(more))
+                one = np.ones(len(ends), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[ends]]), pa.array(keys[level - 1][ends].view(np.int64)), pa.array(one), pa.array(one), *(pa.array(c.view(np.int64)) for c in more)], names=[f.split()[0] for f in WIDE.split(", ")])
+        trim()
+
+    return texts.mapInArrow(run, WIDE)
+
+
+def _weighted(words: np.ndarray, first: np.ndarray, level: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, weight) of every occurrence of an n-gram of `level` words, where least = 1.
+
+    An n-gram of `order` words is scored and counts once; one of order - 1 words is the context of the word after it and
+    counts once less, unless it begins the text (then it is scored as well) or ends it; a shorter one is scored, but not
+    needed as a context, only where it is the whole text.
     """
+    size = np.diff(first)
+    doc = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(words)) - first[doc]
+    ends = np.flatnonzero(at >= level - 1)
+    doc, at = doc[ends], at[ends]
+    m = size[doc]
+    if level == order:
+        w = np.ones(len(ends), np.int32)
+    elif level == order - 1:
+        w = np.where(m <= level, 1, np.where((at >= level) & (at <= m - 2), -1, 0)).astype(np.int32)
+    else:
+        w = (m == level).astype(np.int32)
+    return doc, _keys(words, level)[level - 1][ends], w
+
+
+class _Heavy:
+    """Sorted keys with a value each, looked up for many keys at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - 22)
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in keys, places among the heavy ones) of those that are heavy."""
+        some = np.flatnonzero(self.maybe[(keys >> self.shift).astype(np.int64)])
+        if not len(some) or not len(self.keys):
+            return some[:0], some[:0]
+        place = np.searchsorted(self.keys, keys[some])
+        place[place == len(self.keys)] = 0
+        hit = self.keys[place] == keys[some]
+        return some[hit], place[hit]
+
+
+def _heavy_counts(texts: DataFrame, sample: DataFrame, levels: list[int], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts over all texts of the n-grams that are most frequent in the sample: HEAVY at most reach the driver."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, words, first in _slices(batch):
+                g, n = np.unique(np.concatenate([_weighted(words, first, level, order)[1] for level in levels]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["g", "n"])
+
+    held = written(sample.mapInArrow(keys, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1"), "frequent")
+    least, sofar = None, 0
+    for r in sorted(held.groupBy("n").count().collect(), key=lambda r: -r["n"]):  # a row per frequency of the sample
+        if sofar + r["count"] > HEAVY:
+            break
+        least, sofar = r["n"], sofar + r["count"]
+    none = np.zeros(0, np.int64)
+    if least is None:
+        return none.view(np.uint64), none
+    found = held.where(F.col("n") >= least).select("g").toArrow().column("g").to_numpy().view(np.uint64)
+    sent = texts.sparkSession.sparkContext.broadcast(found)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = _Heavy(sent.value, np.zeros(len(sent.value)))
+        total = np.zeros(len(heavy.keys), dtype=np.int64)
+        for batch in batches:
+            for _, words, first in _slices(batch):
+                for level in levels:
+                    total += np.bincount(heavy.find(_weighted(words, first, level, order)[1])[1], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(heavy.keys[some].view(np.int64)), pa.array(total[some])], names=["g", "c"])
+        trim()
+
+    table = texts.mapInArrow(counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).toArrow()
+    return table.column("g").to_numpy().view(np.uint64), table.column("c").to_numpy()
+
+
+def _light(texts: DataFrame, levels: list[int], order: int, heavy: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """Rows of LIGHT: a range's rare n-grams of some texts, with arrays of text, key, occurrences and weight; and per text what
+    it gets from heavy n-grams."""
+    sent = texts.sparkSession.sparkContext.broadcast((heavy[0], np.log10(np.maximum(heavy[1], 1))))
+
+    def arrays(bucket, ids, g, n, w) -> pa.RecordBatch:
+        head = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), bucket[1:] != bucket[:-1]]))
+        ends = pa.array(np.append(head, len(g)).astype(np.int32))
+        none = pa.nulls(len(head))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in (ids, g.view(np.int64), n, w)), none.cast(pa.int64()), none.cast(pa.float64())], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Heavy(*sent.value)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in row_slices(offsets, SLICE):
-                words, first = H.words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                size = np.diff(first)
-                doc = np.repeat(np.arange(j - i), size)
-                at = np.arange(len(words)) - first[doc]
-                keys = _keys(words, level)
-                ends = np.flatnonzero(at >= level - 1)
-                doc, at, m = doc[ends], at[ends], size[doc[ends]]
-                n = np.ones(len(ends), np.int32)
-                if least > 1:
-                    more = [keys[level - 2][ends - 1], keys[level - 2][ends]] if level > 1 else []
-                    more += [keys[level - 3][ends - 1]] if level > 2 else []
-                    more += [np.zeros(len(ends), np.uint64)] * (3 - len(more))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc]), pa.array(keys[level - 1][ends].view(np.int64)), pa.array(n), pa.array(n), *(pa.array(c.view(np.int64)) for c in more)], names=[f.split()[0] for f in WIDE.split(", ")])
-                    continue
-                if level == order:
-                    w = n
-                elif level == order - 1:
-                    w = np.where(m <= level, 1, np.where((at >= level) & (at <= m - 2), -1, 0)).astype(np.int32)
-                else:
-                    w = (m == level).astype(np.int32)
-                doc, g, n, w = _summed(doc, keys[level - 1][ends], n, w)
-                some = w != 0
-                k = pa.array(ids[i:j][doc[some]])
-                yield pa.RecordBatch.from_arrays([k, pa.array(g[some].view(np.int64)), pa.array(n[some]), pa.array(w[some])], names=["k", "g", "n", "w"])
-                if not some.all():
-                    _, g, n = _summed(np.zeros(int((~some).sum()), np.int8), g[~some], n[~some])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.int64()), pa.array(g.view(np.int64)), pa.array(n), pa.array(np.zeros(len(g), np.int32))], names=["k", "g", "n", "w"])
+            for ids, words, first in _slices(batch):
+                own = np.zeros(len(ids))
+                docs, keys, weights = [], [], []
+                for level in levels:
+                    doc, g, w = _weighted(words, first, level, order)
+                    at, place = table.find(g)
+                    own += np.bincount(doc[at], w[at] * table.values[place], len(ids))
+                    rest = np.ones(len(g), bool)
+                    rest[at] = False
+                    docs.append(doc[rest])
+                    keys.append(g[rest])
+                    weights.append(w[rest])
+                doc, g, w = np.concatenate(docs), np.concatenate(keys), np.concatenate(weights)
+                # occurrences in one text are one entry; should a hash part equal ones, they are two, which changes nothing
+                order_ = np.argsort(H.mix(g + doc.astype(np.uint64) * SPREAD))
+                d, k = doc[order_], g[order_]
+                head = np.flatnonzero(np.concatenate([np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
+                doc, g = d[head], k[head]
+                n = np.diff(np.append(head, len(d))).astype(np.int32)
+                w = (np.add.reduceat(w[order_], head) if len(head) else w).astype(np.int32)
+                bucket = (g % np.uint64(buckets)).astype(np.int64)
+                order_ = np.argsort(bucket * len(ids) + doc)
+                yield arrays(bucket[order_], ids[doc[order_]], g[order_], n[order_], w[order_])
+                some = np.flatnonzero(own)
+                none = [pa.nulls(len(some), t) for t in (kind.field(c).type for c in range(1, 5))]
+                yield pa.RecordBatch.from_arrays([pa.array(((ids[some] + some) % buckets).astype(np.int32)), *none, pa.array(ids[some]), pa.array(own[some])], schema=kind)
         trim()
 
-    return texts.mapInArrow(run, WIDE if least > 1 else GRAM)
+    kind = pa.schema([("bucket", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("k", "g")), *((c, pa.list_(pa.int32())) for c in ("n", "w")), ("own_k", pa.int64()), ("own_s", pa.float64())])
+    return texts.mapInArrow(run, LIGHT)
+
+
+def _sums(texts: DataFrame, sample: DataFrame, levels: list[int], order: int) -> DataFrame:
+    """(k, s) of each text where least = 1: weights times the logarithms of counts, summed."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _light(texts, levels, order, _heavy_counts(texts, sample, levels, order), SPREADING * parts).repartition(parts, "bucket")
+    rows = dealt.select("bucket", "own_k", "own_s", F.inline_outer(F.arrays_zip("k", "g", "n", "w")))
+    counted = rows.withColumn("c", F.sum("n").over(Window.partitionBy("bucket", "g")))
+    part = F.when(F.col("own_k").isNotNull(), F.col("own_s")).otherwise(F.col("w") * F.log10("c"))
+    return counted.where("own_k is not null or c > 1").select(F.coalesce("own_k", "k").alias("k"), part.alias("s")).groupBy("k").agg(F.sum("s").alias("s"))
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -121,43 +230,13 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, k long, n_words long")
 
 
-def _hot(rows: DataFrame) -> list[int]:
-    """N-grams with HOT_SHARE of the rows or more: at most 1 / HOT_SHARE of them."""
-    held = rows.groupBy("g").agg(F.count("*").alias("rows"))
-    total = held.agg(F.sum("rows")).first()[0] or 0
-    return [r["g"] for r in held.where(F.col("rows") >= max(2.0, total * HOT_SHARE)).select("g").collect()]
-
-
-def _counted(rows: DataFrame, hot: list[int]) -> DataFrame:
-    """rows with c, the sum of n over all rows of their g: one shuffle by g, in which hot n-grams are dealt by k as well."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not hot:
-        return rows.repartition(parts, "g").withColumn("c", F.sum("n").over(Window.partitionBy("g")))
-    is_hot = F.col("g").isin(hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    dealt = rows.withColumn("salt", salt).repartition(parts, "g", "salt").withColumn("c", F.sum("n").over(Window.partitionBy("g", "salt")))
-    whole = rows.where(is_hot).groupBy("g").agg(F.sum("n").alias("all"))
-    return dealt.join(F.broadcast(whole), "g", "left").withColumn("c", F.coalesce("all", "c"))  # a row per hot n-gram
-
-
-def _scored(texts: DataFrame, level: int, order: int, sample: DataFrame) -> DataFrame:
-    """(k, s): parts of each text's score from the n-grams of one length, where least = 1."""
-    rows = exploded(texts, level, order, 1)
-    logs = (F.col("w") * F.log10("c")).alias("s")
-    if level < order:  # few distinct ones: then no row has to move
-        table = written(rows.groupBy("g").agg(F.sum("n").alias("c")).where("c > 1"), "counts") if level == 1 else None
-        if table is not None and table.count() <= BROADCAST_ROWS:
-            return rows.where("w <> 0").join(F.broadcast(table), "g").select("k", logs)
-    return _counted(rows, _hot(exploded(sample, level, order, 1).where("k is not null"))).where("w <> 0 and c > 1").select("k", logs)
-
-
 def _changes(texts: DataFrame, order: int, least: int, backoff: float, total: int) -> DataFrame:
     """(k, s): parts of each text's score, where longer n-grams count from `least` occurrences on.
 
     The unigram score of each word, and for each longer n-gram that is found, what it adds to the score that the n-gram
     without its first word gives.
     """
-    every = [written(exploded(texts, n, order, least), "grams") for n in range(1, order + 1)]
+    every = [written(wide_grams(texts, n), "grams") for n in range(1, order + 1)]
     counts = [written(e.groupBy("g").agg(F.sum("n").alias("c"), *(F.first(x).alias(x) for x in ("pre", "suf", "mid"))), "counts") for e in every]
     lone = F.lit(float(total)).alias("c")
     parts = every[0].join(counts[0].select("g", "c"), "g").select("k", (F.col("w") * (F.log10("c") - float(np.log10(max(total, 1))))).alias("s"))
@@ -187,20 +266,16 @@ def backoff_scores(docs: DataFrame, order: int = 3, least: int = 1, backoff: flo
     log_total, log_back = float(np.log10(max(total or 0, 1))), float(np.log10(backoff))
     own = base.groupBy("id", "k", "n_words").agg(F.count("*").alias("times"))
     if least == 1:
-        sample = texts.where(F.pmod(F.xxhash64("k"), F.lit(max(1, n_rows // SAMPLED_ROWS))) == 0).select("k", "text")
-        levels = sorted({order, *((order - 1,) if order > 1 else ())})
+        sample = texts.select("k", "text").sample(fraction=min(1.0, SAMPLED_ROWS / max(n_rows, 1)), seed=7)  # by rows: equal texts count each
         short = {r["n_words"] for r in own.where((F.col("n_words") > 0) & (F.col("n_words") < order - 1)).select("n_words").distinct().collect()}  # fewer than order of them
-        parts = [_scored(texts.select("k", "text"), n, order, sample) for n in sorted({*levels, *short})]
+        levels = sorted({order, *((order - 1,) if order > 1 else ()), *short})
+        sums = _sums(texts.select("k", "text"), sample, levels, order)
         missing: Column = F.lit(log_total) * (F.col("n_words") if order == 1 else F.lit(1))  # the first word is no n-gram's end but its own
     else:
-        parts = [_changes(texts.select("k", "text"), order, least, backoff, total or 0)]
+        sums = _changes(texts.select("k", "text"), order, least, backoff, total or 0).groupBy("k").agg(F.sum("s").alias("s"))
         m = F.col("n_words")  # what every word has lost that is found as a unigram only
         steps = sum((F.greatest(m - n, F.lit(0)) for n in range(1, order)), F.lit(0))
         missing = -steps * log_back
-    sums = parts[0]
-    for p in parts[1:]:
-        sums = sums.unionByName(p)
-    sums = sums.groupBy("k").agg(F.sum("s").alias("s"))
     # rows of one id and text have one key: their sum is of all of them
     score = F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.coalesce(F.col("s") / F.col("times"), F.lit(0.0)) - missing)
     out = own.join(sums, "k", "left").withColumn("score", score).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
