@@ -26,7 +26,7 @@ MARK = "▁"
 #: Kinds of a piece and of a model in the protobuf; fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: One text in so many, drawn by its checksum, is compared with the sentencepiece library.
 PARITY = 32
 

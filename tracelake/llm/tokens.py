@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of words and ids that a worker remembers, about, before it starts anew; longer words are not remembered.
+#: Bytes of words and ids that a worker remembers, about, before it starts anew.
 REMEMBERED_BYTES = 128 << 20
-LONG_WORD = 64
 #: What an entry of the memory takes beside its word and ids.
 ENTRY = 120
 TOGETHER = 100
@@ -51,10 +50,10 @@ class WordEncoder:
     starts with the blank; by_word: False if words may not be taken alone; added: strings that the model takes whole.
     """
 
-    def __init__(self, model, space: str, starts: np.ndarray, kind: str, prefix: bool, threads: int = 1, checked=None, by_word: bool = True, added: tuple[str, ...] = ()):
+    def __init__(self, model, space: str, starts: np.ndarray, kind: str, prefix: bool, threads: int = 1, by_word: bool = True, added: tuple[str, ...] = ()):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        self.model, self.space, self.starts, self.kind, self.prefix, self.checked, self.by_word, self.added = model, space, starts, kind, prefix, checked, by_word, added
+        self.model, self.space, self.starts, self.kind, self.prefix, self.by_word, self.added = model, space, starts, kind, prefix, by_word, added
         self.newline = np.frombuffer(self._direct(["\n"])[0], kind)
         self._forget()
 
@@ -76,38 +75,43 @@ class WordEncoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _odd(self, word: str) -> bool:
-        return not word or word[0].isspace() or word[-1].isspace() or (self.space != " " and self.space in word)
-
-    def _after(self, words: list[str]) -> list[bytes]:
-        """Ids of words that follow a blank: many of them in one string, cut where tokens start with the blank."""
-        lots, out = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)], []
+    def _after(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of each word's) of words that follow a blank: many of them in one string, cut where
+        tokens start with the blank."""
+        lots = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        flat, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
         for lot, e in zip(lots, self.model.encode_batch_fast([self.space + self.space.join(lot) for lot in lots], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.kind)
             cut = np.flatnonzero(self.starts[ids])
-            if len(cut) != len(lot):  # a token that starts with a blank inside a word: then one by one
-                out += self._direct([self.space + w for w in lot])
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            ends = np.append(cut[1:], len(ids)) * size
-            out += [raw[a:b] for a, b in zip((cut * size).tolist(), ends.tolist(), strict=True)]
-        return out
+            if len(cut) == len(lot):
+                flat.append(ids)
+                sizes.append(np.diff(np.append(cut, len(ids))))
+            else:  # a token that starts with a blank inside a word: then one by one
+                one = [np.frombuffer(c, self.kind) for c in self._direct([self.space + w for w in lot])]
+                flat += one
+                sizes.append(np.array([len(c) for c in one], dtype=np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _places(self, words: list[str], way: int) -> np.ndarray:
-        """Place of each distinct word among the known ones; odd words have a negative size there."""
+        """Place of each distinct word among the known ones; words that are not to be taken alone have a negative size there."""
         have = self.place[way]
         new = [w for w in words if w not in have]
         if new:
-            plain = [w for w in new if not self._odd(w)]
-            packed = self._direct(plain) if way else self._after(plain)
-            if self.checked:
-                self.checked(plain, packed, "" if way else self.space)
-            width, at = int(self.kind[-1]), len(self.sizes)
-            odd = [w for w in new if self._odd(w)]
+            odd = [w for w in new if not w or w.strip() != w or (self.space != " " and self.space in w)]
+            plain = new
+            if odd:
+                left_out = set(odd)
+                plain = [w for w in new if w not in left_out]
+            if way:
+                codes = self._direct(plain)
+                ids, sizes = np.frombuffer(b"".join(codes), self.kind), np.array([len(c) // int(self.kind[-1]) for c in codes], dtype=np.int64)
+            else:
+                ids, sizes = self._after(plain)
+            at = len(self.sizes)
             have.update(zip((*plain, *odd), range(at, at + len(new)), strict=True))
-            self.sizes += [len(p) // width for p in packed] + [-1] * len(odd)
-            self.parts += [*packed, b"\0" * (width * len(odd))]
-            self.held += sum(map(len, new)) + sum(map(len, packed)) + ENTRY * len(new)
+            self.sizes += [*sizes.tolist(), *([-1] * len(odd))]
+            self.parts += [ids.tobytes(), b"\0" * (int(self.kind[-1]) * len(odd))]
+            self.held += sum(map(len, new)) + len(self.parts[-2]) + ENTRY * len(new)
         return np.fromiter(map(have.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
