@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tracelake.config import DetectionConfig, suggest_config
-from tracelake.functions import bayes, changepoints, hmm, mixtures, special
+from tracelake.functions import bayes, changepoints, hmm, mixtures, special, sticky
 from tracelake.functions.filters import zero_phase_kernel
 from tracelake.functions.sublevels import absorb_short, find_sublevels, join_same
 
@@ -85,7 +85,7 @@ def test_hidden_states():
     assert len(s.means) == 2 and np.allclose(s.transitions.sum(axis=1), 1)
     assert hmm.states_by_criterion(np.zeros(5)) is None
     x = np.concatenate([rng(k).normal(-10.0 * (k % 2), 1, 250) for k in range(8)])
-    s = hmm.states_sticky(x, 10_000, most=5, draws=120, burn=60)
+    s = sticky.states_sticky(x, 10_000, most=5, draws=120, burn=60)
     assert len(s.means) == 2 and np.allclose(s.means, [-10, 0], atol=0.5)
     assert np.mean([d.mean() for d in s.dwell_times(10_000)]) == pytest.approx(0.025, rel=0.1)
 

@@ -139,7 +139,10 @@ def test_spectrum_of_white_noise(spark):
     assert rms == pytest.approx(3, rel=0.05)
     runs = spectrum.clean_runs(spark.createDataFrame([("a", 300)], "recording_id string, n long"), spark.createDataFrame([("a", 150, 160), ("a", 155, 170)], "recording_id string, start_idx long, end_idx long"))
     assert pairs(runs) == [(0, 150), (170, 300)]
-    assert spectrum.mains_label(100.0, 1.0) == "mains 50 Hz × 2"
+    rows = spark.createDataFrame([(100.0, 1.0), (60.4, 0.1), (58.9, 0.5), (650.0, 1.0), (20.0, 1.0)], "f double, r double")
+    assert [r[0] for r in rows.select(spectrum.mains_label(F.col("f"), F.col("r"))).collect()] == ["mains 50 Hz × 2", "mains 60 Hz", "", "", ""]
+    with pytest.raises(ValueError):
+        spectrum.ratio(psd, psd.where("bin < 9"))
 
 
 def test_plan_finds_planted_events(spark):

@@ -45,7 +45,8 @@ def hidden_states(samples: DataFrame, events: DataFrame, rate: float, method: st
     """One row per hidden state of each event of ten samples or more."""
 
     def kernel(rec, start, x):
-        from tracelake.functions.hmm import states_by_criterion, states_sticky
+        from tracelake.functions.hmm import states_by_criterion
+        from tracelake.functions.sticky import states_sticky
 
         got = states_by_criterion(x, most) if method == "bic" else states_sticky(x, rate, step, most=most)
         if got is None:

@@ -100,6 +100,18 @@ o AS (SELECT lt, rt, CASE WHEN x1 BETWEEN least(m1, m2) AND greatest(m1, m2) AND
     UNION ALL SELECT lt, rt, mid FROM q WHERE b * b - 4 * a * c < 0)
 SELECT lt AS left_type, rt AS right_type, round(x, 6) AS crossing FROM o"""
 
+PEAKS = f"""{PSD}, o AS (SELECT unnest(range(-12, 13)) AS o), w AS (SELECT a.rec, a.k, median(b.p) AS ref FROM psd a CROSS JOIN o JOIN psd b ON b.rec = a.rec AND b.k = least(greatest(a.k + o, 0), 16) GROUP BY a.rec, a.k),
+    l AS (SELECT rec, k, f, p, lag(p) OVER (PARTITION BY rec ORDER BY k) AS x, lead(p) OVER (PARTITION BY rec ORDER BY k) AS y FROM psd),
+    pk AS (SELECT l.rec, l.k, f, p, ref FROM l JOIN w ON w.rec = l.rec AND w.k = l.k WHERE l.k >= 2 AND l.k < 16 AND p >= x AND p >= y AND p > 0 AND ref > 0)"""
+MAINS_LABEL = "CASE WHEN abs(f - 50) <= 3.125 THEN 'mains 50 Hz' WHEN abs(f - 60) <= 3.125 THEN 'mains 60 Hz' ELSE '' END"
+#: Segments per recording: 25 rows are a quarter of a second; the length is that of a quarter of the signal, 64 at least.
+NOISE_SPECTRUM = f"""WITH {USR}, sz AS (SELECT rec, max(i) + 1 AS n FROM usr GROUP BY rec), hi AS (SELECT rec, i FROM usr WHERE v > 110.0),
+    ed AS (SELECT rec, i AS e FROM hi UNION ALL SELECT rec, n FROM sz), rn AS (SELECT rec, coalesce(lag(e) OVER (PARTITION BY rec ORDER BY e) + 1, 0) AS a, e AS b FROM ed), cr AS (SELECT * FROM rn WHERE a < b),
+    sg AS (SELECT rec, a, unnest(range(0, (b - a - 64) // 32 + 1)) AS sgm FROM cr WHERE b - a >= 64),
+    xs AS (SELECT u.rec, a, sgm, u.i - a - sgm * 32 AS t, (v - avg(v) OVER (PARTITION BY u.rec, a, sgm)) * (0.5 - 0.5 * cos(2 * pi() * (u.i - a - sgm * 32) / 64)) AS x FROM usr u JOIN sg ON u.rec = sg.rec AND u.i >= a + sgm * 32 AND u.i < a + sgm * 32 + 64),
+    ft AS (SELECT rec, a, sgm, k, sum(x * cos(2 * pi() * k * t / 64)) AS c, sum(x * sin(2 * pi() * k * t / 64)) AS s FROM xs CROSS JOIN (SELECT unnest(range(0, 33)) AS k) GROUP BY rec, a, sgm, k)
+    SELECT rec AS recording_id, k AS bin, round(k * 100.0 / 64, 5) AS freq, round(avg((c * c + s * s) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) / (100.0 * 24.0), 5) AS psd FROM ft GROUP BY rec, k"""
+
 ORACLES: dict[str, str] = {
     "noise_mad": f"WITH {USR}, c AS (SELECT rec, median(v) AS m FROM usr GROUP BY rec) SELECT rec AS recording_id, round(1.4826 * median(abs(v - m)), 6) AS noise FROM usr JOIN c USING (rec) GROUP BY rec",
     "noise_std": f"WITH {USR} SELECT rec AS recording_id, round(stddev_pop(v), 6) AS noise FROM usr GROUP BY rec",
@@ -166,9 +178,13 @@ ORACLES: dict[str, str] = {
     "f3db": f"""WITH {PSD}, b AS (SELECT rec, median(p) AS b FROM psd WHERE k >= 1 AND k < 2 GROUP BY rec), m AS (SELECT rec, min(f) AS f FROM psd JOIN b USING (rec) WHERE b > 0 AND k >= 2 AND p < b / 2 GROUP BY rec)
         SELECT r.rec AS recording_id, round(CASE WHEN f < 0.95 * 50 THEN f END, 6) AS f3db FROM (SELECT DISTINCT rec FROM psd) r LEFT JOIN m USING (rec)""",
     "psd_ratio": f"WITH {PSD}, c AS (SELECT k, median(p) AS c FROM psd GROUP BY k) SELECT rec AS recording_id, k AS bin, round(CASE WHEN c > 0 THEN p / c END, 5) AS ratio FROM psd JOIN c USING (k)",
-    "spectral_peaks": f"""WITH {PSD}, o AS (SELECT unnest(range(-12, 13)) AS o), w AS (SELECT a.rec, a.k, median(b.p) AS ref FROM psd a CROSS JOIN o JOIN psd b ON b.rec = a.rec AND b.k = least(greatest(a.k + o, 0), 16) GROUP BY a.rec, a.k),
-        l AS (SELECT rec, k, f, p, lag(p) OVER (PARTITION BY rec ORDER BY k) AS x, lead(p) OVER (PARTITION BY rec ORDER BY k) AS y FROM psd)
-        SELECT l.rec AS recording_id, l.k AS bin, f AS freq, round(p / ref, 5) AS ratio FROM l JOIN w ON w.rec = l.rec AND w.k = l.k WHERE l.k >= 2 AND l.k < 16 AND p >= x AND p >= y AND p > 0 AND ref > 0 AND p / ref >= 2.5""",
+    "spectral_peaks": f"WITH {PEAKS} SELECT rec AS recording_id, k AS bin, f AS freq, round(p / ref, 5) AS ratio, {MAINS_LABEL} AS label FROM pk WHERE p / ref >= 2.5",
+    "spectral_top_peaks": f"""WITH RECURSIVE {PEAKS}, c AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY p / ref DESC, k) AS o FROM pk WHERE p / ref >= 1.2),
+        t(rec, o, kept) AS (SELECT DISTINCT rec, 0::BIGINT, []::BIGINT[] FROM c UNION ALL
+            SELECT t.rec, c.o, CASE WHEN len(kept) < 2 AND len(list_filter(kept, lambda x: abs(x - k) <= 2)) = 0 THEN list_append(kept, k) ELSE kept END FROM t JOIN c ON c.rec = t.rec AND c.o = t.o + 1),
+        z AS (SELECT rec, arg_max(kept, o) AS kept FROM t GROUP BY rec)
+        SELECT c.rec AS recording_id, list_position(kept, k) AS rank, k AS bin, f AS freq, round(p / ref, 5) AS ratio, {MAINS_LABEL} AS label FROM c JOIN z ON z.rec = c.rec WHERE list_contains(kept, k)""",
+    "noise_spectrum": NOISE_SPECTRUM,
     "gaussian_crossing": CROSS,
     "baseline_component": """WITH g AS (SELECT user_id, event_type, avg(value) - 50 AS m, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS w FROM g),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(m), event_type) AS k FROM s WHERE w >= 0.05) SELECT user_id, event_type AS component FROM r WHERE k = 1""",

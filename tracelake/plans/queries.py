@@ -303,6 +303,17 @@ def spectral_peaks(spark, d):
     return rounded(spectrum.peaks(_psd(spark, d), 2.5), 5)
 
 
+def spectral_top_peaks(spark, d):
+    return rounded(spectrum.top_peaks(spectrum.peaks(_psd(spark, d), 1.2), 2), 5)
+
+
+def noise_spectrum(spark, d):
+    """Spectrum of each user's signal between its high samples."""
+    s = user_signals(spark, d)
+    high = E.merge_runs(E.find_runs(s, E.above("value", 110.0)), 0)
+    return rounded(spectrum.noise_spectrum(s, high, 100.0, 1.0, 0), 5)
+
+
 # model rules
 
 
@@ -500,7 +511,7 @@ QUERIES: dict[str, Query] = {
         normalise_ranges, concat_ranges, nan_gaps, restore_mapped, lowpass_bessel, lowpass_butter, minmax_downsample,
         residual_histogram, dwell_log_histogram, events_table, stride_preview, thin_samples, iou_pairs, any_overlap,
         greedy_match, metrics_prf, nearest_start_asof, clean_runs, event_waveforms, welch_psd, cumulative_rms, band_rms, f3db,
-        psd_ratio, spectral_peaks, gaussian_crossing, baseline_component, effective_threshold, event_features, zscore_features,
+        psd_ratio, spectral_peaks, spectral_top_peaks, noise_spectrum, gaussian_crossing, baseline_component, effective_threshold, event_features, zscore_features,
         capture_rate_mean, rle_labels, merge_same_label, dwell_times, transition_matrix, segment_stats, array_runs,
         array_changepoint_1, array_dft_power, seed_mean_std, best_config, sensitivity, pelt_changepoints, bocpd_changepoints,
         hmm_bic, hmm_sticky_hdp, cluster_events, capture_rate, dwell_mixture, pipeline_full,
