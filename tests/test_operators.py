@@ -257,3 +257,49 @@ def test_wide_means_equal_narrow_ones(spark, monkeypatch):
     monkeypatch.setattr(baseline, "NARROW", 0)
     b = baseline.smooth(s, 310, chunk=128).orderBy("sample_idx").toPandas()["baseline"]
     assert np.allclose(a, b)
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "two", "heavy"])
+def test_medians_of_large_groups_are_exact(spark, monkeypatch, kind):
+    from tracelake.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL", 0)
+    rng = np.random.default_rng(12)
+    made = {"normal": lambda n: rng.normal(size=n), "ties": lambda n: rng.integers(0, 4, n).astype(float), "two": lambda n: np.where(rng.random(n) < 0.5, -1e300, 1e300), "heavy": lambda n: rng.standard_cauchy(n)}[kind]
+    parts = {"a": made(3000), "b": made(1501), "c": made(1), "d": made(2)}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"recording_id": k, "value": v}) for k, v in parts.items()]))
+    monkeypatch.setattr(quantiles.order_statistics, "__defaults__", (8, 20))
+    got = {r["recording_id"]: r["median"] for r in quantiles.medians(df, F.col("value")).collect()}
+    assert got == {k: 0.5 * np.sort(v)[(len(v) - 1) // 2] + 0.5 * np.sort(v)[len(v) // 2] for k, v in parts.items()}
+    upper = {r["recording_id"]: r["u"] for r in quantiles.upper_medians(df, F.col("value"), "u").collect()}
+    assert upper == {k: np.sort(v)[len(v) // 2] for k, v in parts.items()}
+
+
+def test_baseline_of_a_recording_does_not_depend_on_others(spark, monkeypatch):
+    monkeypatch.setattr(baseline, "DIRECT", 100_000)
+    x = 100 + np.random.default_rng(13).normal(0, 5, 5000)
+    short, long = samples(spark, x[:900], "short"), samples(spark, x, "long")
+    alone = baseline.local_baseline(short, 101, 90.0).orderBy("sample_idx").toPandas()["baseline"]
+    both = baseline.local_baseline(short.union(long), 101, 90.0)
+    assert np.allclose(both.where("recording_id = 'short'").orderBy("sample_idx").toPandas()["baseline"], alone)
+    sparse = baseline.local_baseline(long, 101, 90.0).orderBy("sample_idx").toPandas()["baseline"]
+    assert np.allclose(both.where("recording_id = 'long'").orderBy("sample_idx").toPandas()["baseline"], sparse)
+
+
+def test_recordings_go_in_one_plan(spark):
+    """Each recording's events are those that it has alone, with a threshold of its own."""
+    config = DetectionConfig(baseline_window_sec=0.3, baseline_iterations=1, gmm_max_components=4)
+    made = [generate(1.8, 10_000.0, white=w, pink=0.0, events=[Planted(0.3 + 0.5 * k, [(0.02, d)]) for k in range(3)], seed=n) for n, (w, d) in enumerate([(2.0, 140.0), (1.0, 60.0)])]
+    alone = [run(samples(spark, m.values, f"r{n}"), 10_000.0, config) for n, m in enumerate(made)]
+    both = run(samples(spark, made[0].values, "r0").union(samples(spark, made[1].values, "r1")), 10_000.0, config)
+    for n, one in enumerate(alone):
+        assert pairs(both.events.where(f"recording_id = 'r{n}'")) == pairs(one.events) and one.events.count() == 3
+    assert both.thresholds.where("is_base").select("threshold").distinct().count() == 2
+
+
+def test_hysteresis_in_both_directions(spark):
+    x = np.zeros(60)
+    x[10:14], x[20:26], x[22] = 3.0, 3.0, 9.0
+    s = samples(spark, x)
+    assert pairs(events.hysteresis_events(s, 5.0, 2.0, 2, 1)) == [(20, 26)]
+    assert pairs(events.hysteresis_events(samples(spark, -x), -5.0, -2.0, 2, 1, "down")) == [(20, 26)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.deploy import ship
 from tracelake.operators import layout
 from tracelake.operators.noise import MAD_SCALE
+from tracelake.operators.quantiles import medians, upper_medians
 
 #: Samples times window beyond which only every window/4-th centre is worked out; fixed value.
 DIRECT = 10_000_000
@@ -28,8 +29,7 @@ def _usable(mask: str | None) -> Column:
 
 def fallback(samples: DataFrame, mask: str | None) -> DataFrame:
     """Upper median of all usable samples, for windows without any (0 if there are none): one row per recording."""
-    ranks = samples.select("recording_id", _usable(mask).alias("v")).where("v IS NOT NULL")
-    upper = ranks.groupBy("recording_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC)").alias("spare"))
+    upper = upper_medians(samples, _usable(mask), "spare")
     return samples.select("recording_id").distinct().join(upper, "recording_id", "left").select("recording_id", F.coalesce("spare", F.lit(0.0)).alias("spare"))
 
 
@@ -106,11 +106,19 @@ def _running_mean(samples: DataFrame, h: int, column: str, chunk: int) -> DataFr
     return layout.own_rows(sums.withColumn("__mean", (high - low) / count).drop("__s", "__k"), chunk)
 
 
-def local_baseline(samples: DataFrame, window: int, percentile: float, mask: str | None = None, n: int | None = None) -> DataFrame:
-    """Adds the smoothed `baseline`, directly or at sparse centres as the size asks."""
-    most = n if n is not None else samples.groupBy("recording_id").count().agg(F.max("count")).first()[0] or 0
-    way = percentile_sparse if most * window > DIRECT else percentile_direct
-    return smooth(way(samples, window, percentile, mask), window)
+def local_baseline(samples: DataFrame, window: int, percentile: float, mask: str | None = None) -> DataFrame:
+    """Adds the smoothed `baseline`, directly or at sparse centres: each recording as its own size asks."""
+    size = samples.groupBy("recording_id").agg(F.count("*").alias("__size"))
+    least, most = size.agg(F.min("__size"), F.max("__size")).first()
+    if (most or 0) * window <= DIRECT:
+        got = percentile_direct(samples, window, percentile, mask)
+    elif least * window > DIRECT:
+        got = percentile_sparse(samples, window, percentile, mask)
+    else:
+        sized, long = samples.join(size, "recording_id"), F.col("__size") * window > DIRECT
+        short = percentile_direct(sized.where(~long).drop("__size"), window, percentile, mask)
+        got = short.unionByName(percentile_sparse(sized.where(long).drop("__size"), window, percentile, mask))
+    return smooth(got, window)
 
 
 def within(column: str, limit: Column) -> Column:
@@ -125,8 +133,9 @@ def _noise(samples: DataFrame, method: str) -> DataFrame:
     own = samples.join(count, "recording_id").where((F.col("m") <= 10) | F.col("mask"))
     if method == "std":
         return own.groupBy("recording_id").agg(F.coalesce(F.stddev_pop("residual"), F.lit(1.0)).alias("noise"))
-    center = own.groupBy("recording_id").agg(F.median("residual").alias("center"))
-    return own.join(center, "recording_id").groupBy("recording_id").agg(F.coalesce(MAD_SCALE * F.median(F.abs(F.col("residual") - F.col("center"))), F.lit(1.0)).alias("noise"))
+    off = own.join(medians(own, F.col("residual"), name="center"), "recording_id")
+    mad = medians(off, F.abs(F.col("residual") - F.col("center")), name="mad")
+    return count.join(mad, "recording_id", "left").select("recording_id", F.coalesce(MAD_SCALE * F.col("mad"), F.lit(1.0)).alias("noise"))
 
 
 def _guarded(samples: DataFrame, limit: Column, share: float) -> DataFrame:
@@ -139,15 +148,14 @@ def _guarded(samples: DataFrame, limit: Column, share: float) -> DataFrame:
 def estimate_baseline(samples: DataFrame, rate: float, window_sec: float = 5.0, iterations: int = 3, percentile: float = 90.0, n_sigma: float = 5.0, noise_estimation: str = "mad") -> DataFrame:
     """samples with baseline, residual, mask and noise: provisional round, `iterations` rounds, then the median.
 
-    Each round is written, so that a plan never holds more than one; nothing is collected but the largest sample count.
+    Each round is written, so that a plan never holds more than one; nothing is collected but sample counts' extremes.
     """
     window = max(1, int(window_sec * rate))
     window += 1 - window % 2
-    n = samples.groupBy("recording_id").count().agg(F.max("count")).first()[0] or 0
     own = samples.columns
 
     def round_(df: DataFrame, p: float, mask: str | None) -> DataFrame:
-        got = local_baseline(df, window, p, mask, n)
+        got = local_baseline(df, window, p, mask)
         return layout.settled(got.withColumn("residual", F.col("value") - F.col("baseline")))
 
     first = round_(samples, percentile, None).withColumn("mask", F.lit(True))

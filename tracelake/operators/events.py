@@ -76,15 +76,20 @@ def event_stats(samples: DataFrame, intervals: DataFrame, rate: float) -> DataFr
     )
 
 
-def effective_thresholds(threshold: float, pore_mean: float | None = None, pore_std: float | None = None) -> dict[str, float]:
+def effective_thresholds(threshold: float | Column, pore_mean: float | Column | None = None, pore_std: float | Column | None = None) -> dict[str, Column]:
     """Thresholds in force per direction: never within five deviations of the open level, where that is known."""
+    cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     if pore_mean is None:
-        return {DOWN: threshold, UP: abs(threshold)}
-    return {DOWN: min(threshold, pore_mean - 5.0 * pore_std), UP: max(abs(threshold), pore_mean + 5.0 * pore_std)}
+        return {DOWN: cut, UP: F.abs(cut)}
+    mean, std = (x if isinstance(x, Column) else F.lit(float(x)) for x in (pore_mean, pore_std))
+    return {DOWN: F.least(cut, mean - 5.0 * std), UP: F.greatest(F.abs(cut), mean + 5.0 * std)}
 
 
-def detect_events(samples: DataFrame, rate: float, threshold: float, direction: str, least: int, gap: int, pore: tuple[float, float] | None = None) -> DataFrame:
-    """Events of one or both directions with statistics; samples within one deviation of the open level never count."""
+def detect_events(samples: DataFrame, rate: float, threshold: float | Column, direction: str, least: int, gap: int, pore: tuple[float | Column, float | Column] | None = None) -> DataFrame:
+    """Events of one or both directions with statistics; samples within one deviation of the open level never count.
+
+    Threshold and open level are numbers, or columns of samples where every recording has its own.
+    """
     cuts = effective_thresholds(threshold, *(pore or (None, None)))
     found = None
     for way in (DOWN, UP) if direction == BOTH else (direction,):
@@ -97,8 +102,10 @@ def detect_events(samples: DataFrame, rate: float, threshold: float, direction:
     return found
 
 
-def hysteresis_events(samples: DataFrame, enter: float, leave: float, least: int, gap: int) -> DataFrame:
-    """Runs above `leave` that hold a sample above `enter`, merged over short gaps, long enough (upward)."""
-    runs = find_runs(samples, above("value", leave), (F.max(F.col("value")).alias("peak"),))
-    whole = merge_runs(runs, 0, ("peak",)).where(F.col("peak") > enter)
+def hysteresis_events(samples: DataFrame, enter: float, leave: float, least: int, gap: int, direction: str = UP) -> DataFrame:
+    """Runs beyond `leave` that hold a sample beyond `enter`, merged over short gaps, long enough; downward for DOWN."""
+    sign = -1 if direction == DOWN else 1
+    signed = samples.withColumn("value", F.col("value") * sign)
+    runs = find_runs(signed, above("value", sign * leave), (F.max(F.col("value")).alias("peak"),))
+    whole = merge_runs(runs, 0, ("peak",)).where(F.col("peak") > sign * enter)
     return merge_runs(whole, gap).where(F.col("end_idx") - F.col("start_idx") >= least)

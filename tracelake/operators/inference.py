@@ -70,6 +70,28 @@ def change_points(samples: DataFrame, events: DataFrame, method: str = "exact",
     return _per_event(samples, events, column, kernel, schema)
 
 
+def thresholds(samples: DataFrame, method: str, most: int, sign: float = 1.0, components: int = 10, criterion: str = "bic", concentration: float | None = None, seed: int = 0) -> DataFrame:
+    """(recording_id, component, mean, std, weight, is_base, threshold) of the mixture of each recording's residuals.
+
+    A recording is fitted on at most `most` samples, those with the smallest seeded hashes, in one task; recordings go in
+    parallel. Residuals are multiplied by `sign` first.
+    """
+    from tracelake.operators.views import residual_samples
+
+    ship(samples.sparkSession)
+    schema = "recording_id string, component int, mean double, std double, weight double, is_base boolean, threshold double"
+    drawn = residual_samples(samples, most, seed).where(~F.isnan("residual")).select("recording_id", "sample_idx", "draw", F.col("residual").cast("double").alias("residual"))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        from tracelake.functions.mixtures import determine_threshold
+
+        part = part.sort_values(["draw", "sample_idx"]).head(most)
+        t = determine_threshold(sign * part["residual"].to_numpy(), method, components, criterion, concentration, seed)
+        return _frame(schema, [(part["recording_id"].iloc[0], i, float(m), float(s), float(w), i == t.base, float(t.value)) for i, (m, s, w) in enumerate(zip(t.means, t.stds, t.weights, strict=True))])
+
+    return drawn.groupBy("recording_id").applyInPandas(fit, schema)
+
+
 def dwell_posteriors(durations: DataFrame, by: str, draws: int = 3000, burn: int = 1000) -> DataFrame:
     """Mixture of dwell times per group of a table (by, duration); groups under five durations are left out."""
     ship(durations.sparkSession)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -55,18 +54,13 @@ def prefix_sums(samples: DataFrame, column: str, name: str, chunk: int = CHUNK)
     return cut.withColumn("__in", F.sum(column).over(inside)).join(heads, ["recording_id", "chunk"]).withColumn(name, F.col("__head") + F.col("__in")).drop("__head", "__in", "chunk")
 
 
-_own_folders: dict[str, str] = {}
-
-
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the folder in spark.checkpoint.dir and read again. Iterations stay short plans that way.
+    """Cut the lineage: write to the shared folder and read again. Iterations stay short plans that way.
 
-    Where that setting is missing, as in tests, a temporary folder of the application serves.
+    The folder is that of spark.checkpoint.dir. Where it is unset, a folder in the warehouse serves: executors reach both.
     """
     spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tracelake-"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.tracelake"
     path = f"{base}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

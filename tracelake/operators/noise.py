@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.operators.layout import lagged
+from tracelake.operators.quantiles import medians
 
 #: Scale of the median absolute deviation to a standard deviation of normal noise, both ways round; fixed values.
 MAD_SCALE = 1.4826
@@ -20,8 +21,9 @@ def finite(column: str):
 def deviation(samples: DataFrame, column: str = "value", by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """(by, center, mad): median, and median of the absolute deviations from it."""
     own = samples.where(finite(column))
-    center = own.groupBy(*by).agg(F.median(column).alias("center"))
-    return own.join(center, list(by)).groupBy(*by).agg(F.first("center").alias("center"), F.median(F.abs(F.col(column) - F.col("center"))).alias("mad"))
+    center = medians(own, F.col(column), by, "center")
+    off = own.join(center, list(by))
+    return center.join(medians(off, F.abs(F.col(column) - F.col("center")), by, "mad"), list(by))
 
 
 def noise_mad(samples: DataFrame, column: str = "value") -> DataFrame:
@@ -39,7 +41,7 @@ def noise_std(samples: DataFrame, column: str = "value") -> DataFrame:
 def noise_floor_diff(samples: DataFrame, first: int = 100_000) -> DataFrame:
     """From first differences of the first samples: slow drifts cancel."""
     steps = lagged(samples.where(F.col("sample_idx") < first)).where("previous IS NOT NULL")
-    return steps.groupBy("recording_id").agg((F.median(F.abs(F.col("value") - F.col("previous"))) * MAD_SCALE / 2**0.5).alias("noise"))
+    return medians(steps, F.abs(F.col("value") - F.col("previous"))).select("recording_id", (F.col("median") * MAD_SCALE / 2**0.5).alias("noise"))
 
 
 def robust_noise_std(samples: DataFrame) -> DataFrame:

@@ -7,20 +7,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.config import BOTH, UP, DetectionConfig
-from tracelake.functions.mixtures import Threshold, determine_threshold
+from tracelake.config import UP, DetectionConfig
 from tracelake.operators import baseline as B
 from tracelake.operators import events as E
-from tracelake.operators import filtering, inference, ranges, scalars, views
+from tracelake.operators import filtering, inference, layout, ranges, scalars, views
 
 
 @dataclass
 class Result:
-    """Lazy tables and a few numbers."""
+    """Lazy tables and a few numbers; thresholds: the fitted components of each recording."""
 
     samples: DataFrame
     events: DataFrame
-    thresholds: dict[str, Threshold]
+    thresholds: DataFrame
     config: DetectionConfig
     states: DataFrame | None = None
     clusters: list[dict] = field(default_factory=list)
@@ -34,7 +33,7 @@ class Result:
 def run(samples: DataFrame, rate: float, config: DetectionConfig | None = None, analysis_range: tuple[float, float] | None = None, exclude_ranges: list[tuple[float, float]] | None = None) -> Result:
     """Events of every recording in samples (recording_id, sample_idx, value), all of one sampling rate.
 
-    Thresholds are fitted per recording on bounded, seeded samples on the driver; all else stays distributed.
+    Thresholds are fitted per recording on bounded, seeded samples, one task a recording; all recordings share one plan.
     """
     config = config or DetectionConfig()
     if analysis_range and exclude_ranges:
@@ -64,19 +63,13 @@ def run(samples: DataFrame, rate: float, config: DetectionConfig | None = None,
     level = base.withColumn("value", F.col("value") + F.col("trend")).withColumn("baseline", F.col("baseline") + F.col("trend"))
     least, gap = config.durations(rate)
     most = min(config.gmm_max_samples, 20_000) if config.threshold_method == "dpgmm" else config.gmm_max_samples
-    found, thresholds = None, {}
     sign = -1.0 if config.event_direction == UP else 1.0
-    for r in level.select("recording_id").distinct().collect():  # recordings, not samples
-        rec = r["recording_id"]
-        own = level.where(F.col("recording_id") == rec)
-        x = views.residual_sample(own, most, config.random_seed or 0).select("residual").toPandas()["residual"].to_numpy(float)
-        t = determine_threshold(sign * x, config.threshold_method, config.gmm_max_components, config.bic_criterion, config.dp_concentration, config.random_seed or 0)
-        thresholds[rec] = t
-        pore = (sign * float(t.means[t.base]), float(t.stds[t.base]))
-        ev = E.detect_events(own, rate, float(t.value), config.event_direction, least, gap, pore)
-        found = ev if found is None else found.unionByName(ev)
-    if found is None:
+    fitted = layout.settled(inference.thresholds(level, config.threshold_method, most, sign, config.gmm_max_components, config.bic_criterion, config.dp_concentration, config.random_seed or 0))
+    base_level = fitted.where("is_base").select("recording_id", F.col("threshold").alias("__cut"), (sign * F.col("mean")).alias("__mean"), F.col("std").alias("__std"))
+    if base_level.isEmpty():
         raise ValueError("no samples")
+    found = E.detect_events(level.join(base_level, "recording_id"), rate, F.col("__cut"), config.event_direction, least, gap, (F.col("__mean"), F.col("__std")))
+    found = layout.settled(found)  # events are few and read by every step that follows
     levels = inference.sublevels(level, found, rate, cutoff, config.sublevel_method, config.max_sublevel_depth, config.min_segment_samples, config.dp_concentration)
     nested = levels.groupBy("recording_id", F.col("event_start").alias("start_idx")).agg(F.sort_array(F.collect_list(F.struct("sublevel_idx", "level_index", F.col("start_idx").alias("from_idx"), F.col("end_idx").alias("to_idx"), "mean_current", "std_current"))).alias("sublevels"))
     events = found.drop("n_levels", "event_type").join(nested, ["recording_id", "start_idx"], "left")
@@ -91,4 +84,4 @@ def run(samples: DataFrame, rate: float, config: DetectionConfig | None = None,
     if config.cluster_events:
         labelled, clusters = inference.cluster(scalars.event_features(events, ("relative_depth", "log_duration")), config.max_clusters, config.dp_concentration)
         events = events.join(labelled.select("recording_id", "start_idx", "cluster_id", "cluster_prob"), ["recording_id", "start_idx"])
-    return Result(level, events, thresholds, config, hidden, clusters)
+    return Result(level, events, fitted, config, hidden, clusters)
