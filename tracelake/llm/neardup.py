@@ -5,11 +5,10 @@
 2. Class representatives that share a band value are candidates. First each bucket has a leader, and each member
    is paired with the leaders of a few of its buckets; XOR population counts of the sketches estimate the similarity and
    drop hopeless pairs; the rest is checked exactly.
-3. Buckets that still hold more than one component form families (members that buckets connect). A family is cut into
-   blocks, and every two blocks meet in one task, with sketches only: of the pairs of two components whose sketches allow
-   it, the FEW most alike are checked exactly first, and once those links have joined components, all that are left. So no
-   candidate pair is lost: a pair that is never compared lies within one component already. Texts are fetched for pairs
-   that the sketches have let through.
+3. A bucket that still holds more than one component is cut into blocks, and every two blocks meet in one task, with sketches
+   only: of the pairs of two components whose sketches allow it, the FEW most alike are checked exactly first, and once
+   those links have joined components, all that are left. So no candidate pair is lost: a pair that is never compared lies
+   within one component already. Texts are fetched for pairs that the sketches have let through.
 4. Links become components; copies of a class take over its component.
 
 Buckets are joined on their key, so Spark can split a large one; the texts of a popular leader go to salted groups.
@@ -40,7 +39,7 @@ SKETCH_WORDS = 16
 SKETCH_SAMPLES = 256
 #: Leaders that a member is paired with in a star round.
 PICKS = 3
-#: Members of a block of a family; two blocks meet in one task, at some 150 bytes a member.
+#: Members of a block of a bucket; two blocks meet in one task, at some 150 bytes a member.
 BLOCK = 2048
 #: Pairs of two components that are checked before all others are.
 FEW = 4
@@ -178,20 +177,17 @@ def _exact(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def _likely_pairs(rest: DataFrame, side: DataFrame, floor: float, samples: int, most: int | None) -> DataFrame:
-    """(a, b) of different components of a family whose sketches reach `floor`; with `most`, for two components that meet in
+    """(a, b) of different components of a bucket whose sketches reach `floor`; with `most`, for two components that meet in
     two blocks only the so many most alike.
 
     rest: band, id, component of open buckets; side: id, sketch.
     """
-    low = rest.groupBy("band").agg(F.min("id").alias("a"))
-    family = components(rest.join(low, "band").where("id <> a").select("a", F.col("id").alias("b"))).withColumnRenamed("component", "family")
-    members = written(rest.select("id", "component").distinct().join(family, "id").join(side, "id"), "families")
-    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    own = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    columns = ["family", "i", "j", "block", "id", "component", *(f"s{w}" for w in range(SKETCH_WORDS))]
-    groups = meet.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", *(F.col(f"sketch.s{w}").alias(f"s{w}") for w in range(SKETCH_WORDS)))
-    groups = groups.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "id")
+    blocks = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    own = rest.join(written(blocks, "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(side, "id")
+    columns = ["band", "i", "j", "block", "id", "component", *(f"s{w}" for w in range(SKETCH_WORDS))]
+    groups = meet.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", *(F.col(f"sketch.s{w}").alias(f"s{w}") for w in range(SKETCH_WORDS)))
+    groups = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "id")
     bits = 64.0 * SKETCH_WORDS
 
     def pairs(block: np.ndarray, ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -304,11 +300,14 @@ def near_duplicates(
         return pairs.select(F.col("leader").alias("a"), F.col("id").alias("b"))
 
     links = checked(star(buckets, 0))
+    labels = None
     for most in (FEW, None):
-        rest = open_only(written(components(links), "components"))
+        labels = written(components(links), "components")
+        rest = open_only(labels)
+        links = labels.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))  # stars say the same in fewer edges
         if rest.isEmpty():
             break
-        likely = _likely_pairs(rest, reps.select("id", "sketch"), floor, samples, most)
+        likely = _likely_pairs(rest, side, floor, samples, most)
         links = links.union(written(_exact(likely, texts.where("id is not null"), shingle_words, percent), "links"))
     same = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = components(links.union(same).distinct())
