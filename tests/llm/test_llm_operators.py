@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import fingerprint, fm, lm, mixing, neardup, passages, queries, records, rules, spm, tokens, warc
+from tracelake.llm import fingerprint, fm, graph, lm, mixing, neardup, passages, queries, records, rules, spm, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, id string, band long, n_words string"
@@ -97,6 +97,21 @@ def test_near_duplicate_families_lose_no_link(spark, block, few, monkeypatch):
     assert got == group
 
 
+def test_components_in_steps_and_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-50, 900, (600, 2))] + [(k, k + 1) for k in range(2000, 2060)] + [(5, 5)]
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(80):
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert dict(graph.components(df).collect()) == root
+    monkeypatch.setattr(graph, "IN_TASK", 10)
+    assert dict(graph.components(df).collect()) == root
+    assert graph.components(df.limit(0)).count() == 0
+
+
 def test_warc_round_trip(spark):
     pages = [(0, "http://a.b/ü c", "x" * 120), (1, None, "x" * 120), (2, "u", None), (3, "u", ""), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 60 + "\r\n\r\nWARC/1.1\r\n"), (6, "u", "é" * 60 + "\r\n\r\nWARC/1.1\r\n"), (None, "u", "x" * 120)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

@@ -170,5 +170,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=[f.split()[0] for f in out.split(", ")])
 
     dealt = rows.select("id", "k", "tie", "text").mapInArrow(deal, "part long, role int, id long, k long, tie long, text string")
-    ordered = dealt.repartition(len(bounds), "part").sortWithinPartitions("part", "role", F.col("k").desc(), F.col("tie").desc(), "text")
+    ordered = dealt.repartitionById(len(bounds), F.col("part").cast("int")).sortWithinPartitions("part", "role", F.col("k").desc(), F.col("tie").desc(), "text")
     return ordered.mapInArrow(run, out).withColumnRenamed("id", id_col)
