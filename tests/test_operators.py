@@ -303,3 +303,42 @@ def test_hysteresis_in_both_directions(spark):
     s = samples(spark, x)
     assert pairs(events.hysteresis_events(s, 5.0, 2.0, 2, 1)) == [(20, 26)]
     assert pairs(events.hysteresis_events(samples(spark, -x), -5.0, -2.0, 2, 1, "down")) == [(20, 26)]
+
+
+@pytest.mark.parametrize(("direct", "noise_way"), [(10_000_000, "mad"), (1000, "mad"), (1000, "std")])
+def test_chunked_baseline_is_the_one_of_rows(spark, monkeypatch, direct, noise_way):
+    """Small chunks with borrowed borders give the rows' baseline, noise and residual, exactly selected."""
+    from tracelake.operators import chunked
+
+    for m in (baseline, chunked):
+        monkeypatch.setattr(m, "DIRECT", direct)
+    monkeypatch.setattr(chunked, "PARTS", 16)
+    monkeypatch.setattr(chunked, "FEW", 20)
+    x = 100 + np.linspace(0, 5, 3000) + np.random.default_rng(14).normal(0, 2, 3000)
+    x[1000:1100] -= 40
+    x[1700:1705] = np.nan
+    both = samples(spark, x, "a").union(samples(spark, x[:311], "b"))
+    rows = baseline.estimate_baseline(both, 1.0, 201.0, 1, noise_estimation=noise_way)
+    layout = chunked.Layout(401, 100)
+    level = chunked.estimate_baseline(chunked.to_chunks(both, layout.size, layout.halo), layout, 201, 1, noise_estimation=noise_way)
+    got = chunked.rows_of(level, layout, 201).orderBy("recording_id", "sample_idx").toPandas()
+    want = rows.orderBy("recording_id", "sample_idx").toPandas()
+    assert len(got) == len(want) == 3311 and np.allclose(got["baseline"], want["baseline"], rtol=0, atol=1e-9)
+    ours = dict(level.select("recording_id", "noise").distinct().collect())
+    assert ours == pytest.approx(want.groupby("recording_id")["noise"].first().to_dict(), rel=1e-9)
+
+
+def test_chunked_filter_is_the_one_of_rows(spark):
+    from tracelake.functions.filters import zero_phase_kernel
+    from tracelake.operators import chunked
+
+    x = np.random.default_rng(15).normal(size=1000)
+    both = samples(spark, x, "a").union(samples(spark, x[:7], "b"))
+    kernel = zero_phase_kernel("bessel", 4, 0.05, 1.0)
+    layout = chunked.Layout(300, 20)
+    got = chunked.filtered(chunked.to_chunks(both, 300, 20 + len(kernel) // 2), layout, kernel).collect()
+    want = filtering.lowpass(both, 1.0, 0.05).toPandas().sort_values(["recording_id", "sample_idx"])
+    for r in got:
+        own = want[want["recording_id"] == r["recording_id"]]["filtered"].to_numpy()
+        y = np.frombuffer(r["data"])
+        assert np.allclose(y, own[r["first"] : r["first"] + len(y)], atol=1e-9) and r["first"] == max(0, r["chunk"] * 300 - 20)

@@ -39,7 +39,6 @@ class DetectionConfig:
     cluster_events: bool = False
     max_clusters: int = 10
     noise_estimation: str = "mad"
-    n_jobs: int = 1
     random_seed: int | None = 0
 
     def cutoff(self, rate: float) -> float:
@@ -48,6 +47,11 @@ class DetectionConfig:
             return self.pre_applied_filter_cutoff or rate / 10.0
         return self.filter_cutoff or rate / 10.0
 
+    def baseline_window(self, rate: float) -> int:
+        """Samples of the baseline's window, an odd number."""
+        window = max(1, int(self.baseline_window_sec * rate))
+        return window + 1 - window % 2
+
     def durations(self, rate: float) -> tuple[int, int]:
         """(least samples of an event, largest gap in samples that is merged)."""
         fc = self.cutoff(rate)

@@ -132,7 +132,7 @@ def _noise(samples: DataFrame, method: str) -> DataFrame:
     count = samples.groupBy("recording_id").agg(F.count_if("mask").alias("m"))
     own = samples.join(count, "recording_id").where((F.col("m") <= 10) | F.col("mask"))
     if method == "std":
-        return own.groupBy("recording_id").agg(F.coalesce(F.stddev_pop("residual"), F.lit(1.0)).alias("noise"))
+        return own.groupBy("recording_id").agg(F.coalesce(F.stddev_pop(F.when(~F.isnan("residual"), F.col("residual"))), F.lit(1.0)).alias("noise"))
     off = own.join(medians(own, F.col("residual"), name="center"), "recording_id")
     mad = medians(off, F.abs(F.col("residual") - F.col("center")), name="mad")
     return count.join(mad, "recording_id", "left").select("recording_id", F.coalesce(MAD_SCALE * F.col("mad"), F.lit(1.0)).alias("noise"))

@@ -50,27 +50,32 @@ def contained(samples: DataFrame, intervals: DataFrame, chunk: int = CHUNK, how:
 def event_stats(samples: DataFrame, intervals: DataFrame, rate: float) -> DataFrame:
     """Statistics of each interval from residual and baseline: mean, deviation, depth, area."""
     inside = contained(samples, intervals.select("recording_id", "start_idx", "end_idx"))
-    stats = inside.groupBy("recording_id", "start_idx", "end_idx").agg(
+    sums = inside.groupBy("recording_id", "start_idx", "end_idx").agg(
         F.avg("residual").alias("r"),
-        F.stddev_pop("residual").alias("std_current"),
-        F.avg(F.col("baseline") + F.col("residual")).alias("mean_current"),
-        F.avg("baseline").alias("baseline_current"),
-        (F.sum(F.abs("residual")) / rate).alias("area"),
+        F.stddev_pop("residual").alias("spread"),
+        F.avg(F.col("baseline") + F.col("residual")).alias("value"),
+        F.avg("baseline").alias("baseline"),
+        F.sum(F.abs("residual")).alias("area"),
     )
+    return described(sums, rate)
+
+
+def described(sums: DataFrame, rate: float) -> DataFrame:
+    """Event rows from (recording_id, start_idx, end_idx, r, spread, value, baseline, area in samples)."""
     depth = F.abs("r")
-    return stats.select(
+    return sums.select(
         "recording_id",
         "start_idx",
         "end_idx",
         (F.col("start_idx") / rate).alias("start_time"),
         (F.col("end_idx") / rate).alias("end_time"),
         ((F.col("end_idx") - F.col("start_idx")) / rate).alias("duration"),
-        "mean_current",
-        "std_current",
-        "baseline_current",
+        F.col("value").alias("mean_current"),
+        F.col("spread").alias("std_current"),
+        F.col("baseline").alias("baseline_current"),
         depth.alias("depth"),
-        F.when(F.abs("baseline_current") > 1e-10, depth / F.abs("baseline_current")).otherwise(F.lit(0.0)).alias("relative_depth"),
-        "area",
+        F.when(F.abs("baseline") > 1e-10, depth / F.abs("baseline")).otherwise(F.lit(0.0)).alias("relative_depth"),
+        (F.col("area") / rate).alias("area"),
         F.lit(1).alias("n_levels"),
         F.lit("single_level").alias("event_type"),
     )

@@ -14,9 +14,13 @@ SUBLEVEL = "recording_id string, event_start long, sublevel_idx int, level_index
 STATES = "recording_id string, event_start long, n_states int, state int, mean double, std double, dwell_mean double, n_runs int, log_likelihood double, bic double"
 
 
-def _per_event(samples: DataFrame, events: DataFrame, column: str, kernel, schema: str) -> DataFrame:
+def _per_event(samples: DataFrame, events: DataFrame | None, column: str, kernel, schema: str) -> DataFrame:
+    """events None: samples hold those of the events alone, with their start_idx."""
     ship(samples.sparkSession)
-    inside = contained(samples.select("recording_id", "sample_idx", F.col(column).cast("double").alias("x")), events.select("recording_id", "start_idx", "end_idx"))
+    if events is None:
+        inside = samples.select("recording_id", "start_idx", "sample_idx", F.col(column).cast("double").alias("x"))
+    else:
+        inside = contained(samples.select("recording_id", "sample_idx", F.col(column).cast("double").alias("x")), events.select("recording_id", "start_idx", "end_idx"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample_idx")
@@ -29,7 +33,7 @@ def _frame(schema: str, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
 
-def sublevels(samples: DataFrame, events: DataFrame, rate: float, cutoff: float | None, method: str = "dpgmm", most: int = 5, least: int = 50, concentration: float | None = None, column: str = "value") -> DataFrame:
+def sublevels(samples: DataFrame, events: DataFrame | None, rate: float, cutoff: float | None, method: str = "dpgmm", most: int = 5, least: int = 50, concentration: float | None = None, column: str = "value") -> DataFrame:
     """One row per level of each event with two levels or more."""
 
     def kernel(rec, start, x):
@@ -41,7 +45,7 @@ def sublevels(samples: DataFrame, events: DataFrame, rate: float, cutoff: float
     return _per_event(samples, events, column, kernel, SUBLEVEL)
 
 
-def hidden_states(samples: DataFrame, events: DataFrame, rate: float, method: str = "bic", most: int = 5, step: int = 1, column: str = "value") -> DataFrame:
+def hidden_states(samples: DataFrame, events: DataFrame | None, rate: float, method: str = "bic", most: int = 5, step: int = 1, column: str = "value") -> DataFrame:
     """One row per hidden state of each event of ten samples or more."""
 
     def kernel(rec, start, x):
@@ -70,17 +74,14 @@ def change_points(samples: DataFrame, events: DataFrame, method: str = "exact",
     return _per_event(samples, events, column, kernel, schema)
 
 
-def thresholds(samples: DataFrame, method: str, most: int, sign: float = 1.0, components: int = 10, criterion: str = "bic", concentration: float | None = None, seed: int = 0) -> DataFrame:
+def thresholds(drawn: DataFrame, method: str, most: int, sign: float = 1.0, components: int = 10, criterion: str = "bic", concentration: float | None = None, seed: int = 0) -> DataFrame:
     """(recording_id, component, mean, std, weight, is_base, threshold) of the mixture of each recording's residuals.
 
-    A recording is fitted on at most `most` samples, those with the smallest seeded hashes, in one task; recordings go in
-    parallel. Residuals are multiplied by `sign` first.
+    drawn: recording_id, sample_idx, draw, residual. A recording is fitted on its `most` smallest draws in one task;
+    recordings go in parallel. Residuals are multiplied by `sign` first.
     """
-    from tracelake.operators.views import residual_samples
-
-    ship(samples.sparkSession)
+    ship(drawn.sparkSession)
     schema = "recording_id string, component int, mean double, std double, weight double, is_base boolean, threshold double"
-    drawn = residual_samples(samples, most, seed).where(~F.isnan("residual")).select("recording_id", "sample_idx", "draw", F.col("residual").cast("double").alias("residual"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         from tracelake.functions.mixtures import determine_threshold

@@ -73,14 +73,5 @@ def residual_sample(samples: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return samples.orderBy(F.xxhash64("recording_id", "sample_idx", F.lit(seed)), "recording_id", "sample_idx").limit(most)
 
 
-def residual_samples(samples: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """As residual_sample for every recording: rows whose hash lies in its recording's share, half as many again as are
-    wanted, and `draw`, by which a group keeps its `most` smallest."""
-    n = samples.groupBy("recording_id").agg(F.count("*").alias("__n"))
-    draw = F.xxhash64("recording_id", "sample_idx", F.lit(seed))
-    share = (1.5 * most + 100) / F.col("__n")
-    return samples.join(n, "recording_id").withColumn("draw", draw).where(F.col("draw") / 2.0**63 < 2 * share - 1).drop("__n")
-
-
 def visible(events: DataFrame, low: float, high: float) -> DataFrame:
     return events.where((F.col("end_time") >= low) & (F.col("start_time") <= high))

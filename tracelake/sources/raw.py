@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Sample types; fixed values of the format.
@@ -130,13 +130,8 @@ def abf_layout(path: str) -> dict:
     return {"data_offset": data[0] * 512, "dtype": "float32" if kind == 1 else "int16", "channels": adc[2], "n_samples": data[2] // max(1, adc[2]), "sampling_rate": 1e6 / interval, "scaling": gains}
 
 
-def read_signal(spark: SparkSession, path: str, sampling_rate: float | None = None, channel: int = 0, **options):
-    """(samples, sampling rate) by the file's extension: .abf says all itself, other files need a sampling rate."""
-    from tracelake.deploy import ship
-
-    ship(spark)
-    spark.dataSource.register(RawSource)
-    reader = spark.read.format("rawsignal")
+def reading(path: str, sampling_rate: float | None = None, channel: int = 0, **options) -> tuple[dict, float]:
+    """(reader options, sampling rate) by the file's extension: .abf says all itself, other files need a sampling rate."""
     if path.lower().endswith(".abf"):
         a = abf_layout(path)
         if not 0 <= channel < a["channels"]:
@@ -146,7 +141,53 @@ def read_signal(spark: SparkSession, path: str, sampling_rate: float | None = No
         sampling_rate = a["sampling_rate"]
     elif not sampling_rate or sampling_rate <= 0:
         raise ValueError("a raw file needs a sampling rate")
-    return reader.options(**{k: str(v) for k, v in options.items()}).load(path), sampling_rate
+    return {k: str(v) for k, v in options.items() if v is not None}, sampling_rate
+
+
+def read_signal(spark: SparkSession, path: str, sampling_rate: float | None = None, channel: int = 0, **options):
+    """(samples, sampling rate) of a signal file."""
+    from tracelake.deploy import ship
+
+    ship(spark)
+    spark.dataSource.register(RawSource)
+    options, rate = reading(path, sampling_rate, channel, **options)
+    return spark.read.format("rawsignal").options(**options).load(path), rate
+
+
+def read_chunks(spark: SparkSession, path: str, size: int, halo: int, options: dict[str, str]) -> DataFrame:
+    """Chunks of a signal file as operators.chunked has them: each is read by its own byte range, neighbours' samples included."""
+    from pyspark.sql import functions as F
+
+    from tracelake.deploy import ship
+    from tracelake.operators.chunked import KIND
+
+    ship(spark)
+    reader = RawReader({"path": path, **options})
+    n = binary_info(path, reader.dtype, reader.header, channels=reader.channels)["n_samples"]
+    n = n if reader.most is None else min(n, reader.most)
+    count = -(-n // size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                first, last = max(0, c * size - halo), min(n, (c + 1) * size + halo)
+                parts = [b.column(3).to_numpy() for b in reader.read(Range(path, first, last - first))]
+                yield pa.RecordBatch.from_arrays([pa.array([reader.name]), pa.array([c], pa.int64()), pa.array([n], pa.int64()), pa.array([first], pa.int64()), pa.array([np.concatenate(parts).astype(float).tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=[f.split()[0] for f in KIND.split(", ")])
+
+    return spark.range(0, count, 1, max(1, min(count, 10_000))).select(F.col("id")).mapInArrow(run, KIND)
+
+
+def recording_info(path: str) -> dict:
+    """What a file's header says, for display before it is read: name, size, format, and for ABF files channels, rate, length."""
+    fs, local = opened(path)
+    info = fs.get_file_info(local)
+    if not info.is_file:
+        raise FileNotFoundError(path)
+    out = {"path": path, "name": info.base_name, "size_mb": info.size / 1e6, "format": "abf" if path.lower().endswith(".abf") else "binary"}
+    if out["format"] == "abf":
+        a = abf_layout(path)
+        out |= {"n_channels": a["channels"], "sampling_rate_hz": float(a["sampling_rate"]), "duration_sec": a["n_samples"] / a["sampling_rate"]}
+    return out
 
 
 def list_signals(folder: str) -> list[str]:
