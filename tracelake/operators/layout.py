@@ -54,13 +54,13 @@ def prefix_sums(samples: DataFrame, column: str, name: str, chunk: int = CHUNK)
     return cut.withColumn("__in", F.sum(column).over(inside)).join(heads, ["recording_id", "chunk"]).withColumn(name, F.col("__head") + F.col("__in")).drop("__head", "__in", "chunk")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again. Iterations stay short plans that way.
+def shared(spark: SparkSession) -> str:
+    """The folder that executors share: that of spark.checkpoint.dir, or one in the warehouse where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.tracelake"
 
-    The folder is that of spark.checkpoint.dir. Where it is unset, a folder in the warehouse serves: executors reach both.
-    """
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.tracelake"
-    path = f"{base}/settled-{uuid.uuid4().hex}"
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again. Iterations stay short plans that way."""
+    path = f"{shared(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

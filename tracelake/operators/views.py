@@ -73,5 +73,27 @@ def residual_sample(samples: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return samples.orderBy(F.xxhash64("recording_id", "sample_idx", F.lit(seed)), "recording_id", "sample_idx").limit(most)
 
 
+def first_events(events: DataFrame, most: int) -> DataFrame:
+    """The first `most` events of each recording, with their `rank` from 1."""
+    order = Window.partitionBy("recording_id").orderBy("start_idx", "direction")
+    return events.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def windowed(samples: DataFrame, rate: float, low: float, high: float, points: int) -> DataFrame:
+    """(recording_id, time, value): envelope of what lies in [low, high) seconds of a concatenated signal (recording_id,
+    sample_idx, orig_idx, value), in the recording's time; where neighbouring points leave out samples of the recording, a row
+    without time and value stands between them, `position` orders all."""
+    inside = samples.where((F.col("orig_idx") / rate >= low) & (F.col("orig_idx") / rate < high))
+    first = inside.groupBy("recording_id").agg(F.min("sample_idx").alias("__first"))
+    local = inside.join(first, "recording_id").withColumn("sample_idx", F.col("sample_idx") - F.col("__first"))
+    seen = envelope(local.select("recording_id", "sample_idx", "value"), points).join(local.select("recording_id", "sample_idx", "orig_idx"), ["recording_id", "sample_idx"])
+    order = Window.partitionBy("recording_id").orderBy("sample_idx")  # `points` rows
+    jump = F.col("orig_idx") - F.lag("orig_idx").over(order) > F.col("sample_idx") - F.lag("sample_idx").over(order)
+    placed = seen.withColumn("jump", jump)
+    points_ = placed.select("recording_id", F.col("sample_idx").cast("double").alias("position"), (F.col("orig_idx") / rate).alias("time"), "value")
+    breaks = placed.where("jump").select("recording_id", (F.col("sample_idx") - 0.5).alias("position"), F.lit(None).cast("double").alias("time"), F.lit(None).cast("double").alias("value"))
+    return points_.unionByName(breaks)
+
+
 def visible(events: DataFrame, low: float, high: float) -> DataFrame:
     return events.where((F.col("end_time") >= low) & (F.col("start_time") <= high))

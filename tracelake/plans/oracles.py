@@ -112,7 +112,52 @@ NOISE_SPECTRUM = f"""WITH {USR}, sz AS (SELECT rec, max(i) + 1 AS n FROM usr GRO
     ft AS (SELECT rec, a, sgm, k, sum(x * cos(2 * pi() * k * t / 64)) AS c, sum(x * sin(2 * pi() * k * t / 64)) AS s FROM xs CROSS JOIN (SELECT unnest(range(0, 33)) AS k) GROUP BY rec, a, sgm, k)
     SELECT rec AS recording_id, k AS bin, round(k * 100.0 / 64, 5) AS freq, round(avg((c * c + s * s) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) / (100.0 * 24.0), 5) AS psd FROM ft GROUP BY rec, k"""
 
+#: Percentile 90, what lies within 5 noise levels, percentile 90 of that, what lies within again, median of that.
+CONTROL = f"""WITH {SIG}, {percentile_window("sig", 25, 90.0, "v", "p1")},
+s1 AS (SELECT i, v, v - avg(b) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS r FROM p1), n1 AS (SELECT 1.4826 * median(abs(r - (SELECT median(r) FROM s1))) AS n FROM s1),
+k1 AS (SELECT i, v, CASE WHEN abs(r) < 5.0 * n THEN v END AS w FROM s1 CROSS JOIN n1), {percentile_window("k1", 25, 90.0, "w", "p2")}, z1 AS (SELECT quantile_disc(w, 0.5 ORDER BY w DESC) AS z FROM k1),
+s2 AS (SELECT i, v, v - avg(coalesce(b, z)) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS r FROM p2 CROSS JOIN z1), m2 AS (SELECT s2.i, s2.v, r, w IS NOT NULL AS k FROM s2 JOIN k1 USING (i)),
+n2 AS (SELECT 1.4826 * median(abs(r - (SELECT median(r) FROM m2 WHERE k))) AS n FROM m2 WHERE k),
+k2 AS (SELECT i, v, CASE WHEN abs(r) < 5.0 * n THEN v END AS w FROM s2 CROSS JOIN n2), {percentile_window("k2", 25, 50.0, "w", "p3")}, z2 AS (SELECT quantile_disc(w, 0.5 ORDER BY w DESC) AS z FROM k2),
+s3 AS (SELECT i, v, avg(coalesce(b, z)) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS l FROM p3 CROSS JOIN z2), m3 AS (SELECT s3.i, s3.v - l AS r, l, w IS NOT NULL AS k FROM s3 JOIN k2 USING (i)),
+n3 AS (SELECT 1.4826 * median(abs(r - (SELECT median(r) FROM m3 WHERE k))) AS n FROM m3 WHERE k)
+SELECT 'events' AS recording_id, round((SELECT n FROM n3), 4) AS noise_std, round(avg(l), 4) AS baseline_mean, round(stddev_pop(l), 4) AS baseline_std, count(*) AS n_samples FROM m3"""
+
+
+def greedy(least: float, name: str = "gm") -> str:
+    """One-to-one pairs, best overlap first; ties go to the higher truth id, then the higher detection id. Needs RECURSIVE."""
+    return f"""{name}_o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY iou DESC, truth_id DESC, det_id DESC) AS o FROM pr WHERE iou >= {least}),
+    {name}_t(o, ut, ud, ok) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], false UNION ALL
+        SELECT g.o, CASE WHEN list_contains(ut, g.truth_id) OR list_contains(ud, g.det_id) THEN ut ELSE list_append(ut, g.truth_id) END,
+            CASE WHEN list_contains(ut, g.truth_id) OR list_contains(ud, g.det_id) THEN ud ELSE list_append(ud, g.det_id) END, NOT (list_contains(ut, g.truth_id) OR list_contains(ud, g.det_id))
+        FROM {name}_t t JOIN {name}_o g ON g.o = t.o + 1),
+    {name} AS (SELECT g.* FROM {name}_o g JOIN {name}_t t USING (o) WHERE t.ok)"""
+
+
+MADE_DEPTH, MADE_LEVELS = "({e} - {s} + {s} % 3)::DOUBLE", "{s} % 2"
+
 ORACLES: dict[str, str] = {
+    "control_stats": CONTROL,
+    "suggest_figures": f"""WITH {SIG}, d AS (SELECT abs(v - lag(v) OVER (ORDER BY i)) AS d FROM sig WHERE i < 100000), f AS (SELECT (SELECT median(d) * 1.4826 / sqrt(2) FROM d WHERE d IS NOT NULL) AS noise, quantile_cont(v, 0.01) AS low, quantile_cont(v, 0.99) AS high, count(*) AS n FROM sig WHERE i < 500000)
+        SELECT 'events' AS recording_id, round(noise, 6) AS noise, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN noise / (high - low) < 0.05 THEN 5.0 WHEN noise / (high - low) < 0.15 THEN 3.0 ELSE 2.0 END::DOUBLE AS n_sigma,
+            round(least(5.0, greatest(1.0, 0.1 * n / 100.0))::DOUBLE, 6) AS window_sec, 0.15::DOUBLE AS merge_gap_sec, 5 AS components FROM f""",
+    "greedy_match": f"WITH RECURSIVE {TWO}, {greedy(0.3)} SELECT truth_id, det_id, round(iou, 6) AS iou FROM gm",
+    "metrics_prf": f"""WITH RECURSIVE {TWO}, {greedy(0.6)}, {greedy(1e-12, "am")}, n AS (SELECT (SELECT count(*) FROM a) AS nt, (SELECT count(*) FROM b) AS nd, (SELECT count(*) FROM gm) AS tp, (SELECT count(*) FROM am) AS an),
+        x AS (SELECT abs((de - ds) / (te - ts)::DOUBLE - 1) AS dw, {MADE_DEPTH.format(s="ts", e="te")} AS td, {MADE_DEPTH.format(s="ds", e="de")} AS dd, {MADE_LEVELS.format(s="ts")} = {MADE_LEVELS.format(s="ds")} AS ok FROM gm),
+        m AS (SELECT median(dw) AS dw, median(abs(dd - td) / td) AS dp, avg(ok::INT) AS lv FROM x)
+        SELECT 'events' AS recording_id, nt AS n_true, nd AS n_detected, tp, round(tp / nt::DOUBLE, 6) AS recall, round(tp / nd::DOUBLE, 6) AS precision, round(2.0 * tp / (nt + nd), 6) AS f1, round(2.0 * an / (nt + nd), 6) AS f1_any,
+            round(dw, 6) AS dwell_err, round(dp, 6) AS depth_err, round(lv, 6) AS level_acc FROM n CROSS JOIN m""",
+    "event_waveforms": f"WITH {SIG}, {runs('sig', 'v > 60.0')}, {merged('r0', 2, 'm')} SELECT s AS event, round(i / 100.0, 6) AS time, round(v, 6) AS signal, {LEVEL}::DOUBLE AS baseline, round(v - {LEVEL}, 6) AS residual FROM m JOIN sig ON i >= greatest(s - 3, 0) AND i < e + 3 WHERE e - s >= 6",
+    "first_events": f"""WITH {SIG}, {detected('up')}, {detected('down')}, z AS (SELECT *, 'up' AS w FROM x_up UNION ALL SELECT *, 'down' FROM x_down)
+        SELECT CAST(row_number() OVER (ORDER BY s, w) AS INTEGER) AS rank, s AS start_idx, e AS end_idx, w AS direction, round(abs(r), 6) AS depth FROM z QUALIFY rank <= 12""",
+    "windowed_view": f"""WITH {CAT}, q AS (SELECT j - min(j) OVER () AS j, i, v FROM cat WHERE i >= 50 AND i < 950), n AS (SELECT count(*) AS n FROM q), c AS (SELECT *, j * 30 // n AS b FROM q CROSS JOIN n),
+        e AS (SELECT j, i, v, row_number() OVER (PARTITION BY b ORDER BY v, j) AS lo, row_number() OVER (PARTITION BY b ORDER BY v DESC, j) AS hi FROM c), p AS (SELECT j, i, v, i - lag(i) OVER (ORDER BY j) > j - lag(j) OVER (ORDER BY j) AS g FROM e WHERE lo = 1 OR hi = 1)
+        SELECT j::DOUBLE AS position, i::DOUBLE AS time, round(v, 6) AS value FROM p UNION ALL SELECT j - 0.5, NULL, NULL FROM p WHERE g""",
+    "raw_round_trip": f"WITH {SIG} SELECT 'events' AS recording_id, i AS sample_idx, round(((round_even((v - 1.0) / 0.05, 0))::FLOAT * 0.05::FLOAT + 1.0::FLOAT)::DOUBLE, 3) AS value FROM sig",
+    "events_csv": f"""WITH {SIG}, {detected('up')}, {detected('down')}, z AS (SELECT {event_columns(1.0)}, 'up' AS direction FROM x_up UNION ALL SELECT {event_columns(1.0)}, 'down' FROM x_down)
+        SELECT *, CAST(row_number() OVER (ORDER BY start_idx, direction) - 1 AS INTEGER) AS event_id, 1 AS n_levels, 'single_level' AS event_type FROM z""",
+    "best_config": """WITH s AS (SELECT l_linestatus, l_returnflag, avg(l_discount) AS x FROM lineitem GROUP BY ALL), u AS (SELECT * FROM s UNION ALL SELECT 'all', l_returnflag, avg(x) FROM s GROUP BY 2)
+        SELECT l_linestatus, l_returnflag AS best, round(x, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY l_linestatus ORDER BY x DESC, l_returnflag) = 1""",
     "noise_mad": f"WITH {USR}, c AS (SELECT rec, median(v) AS m FROM usr GROUP BY rec) SELECT rec AS recording_id, round(1.4826 * median(abs(v - m)), 6) AS noise FROM usr JOIN c USING (rec) GROUP BY rec",
     "noise_std": f"WITH {USR} SELECT rec AS recording_id, round(stddev_pop(v), 6) AS noise FROM usr GROUP BY rec",
     "noise_floor_diff": f"WITH {SIG}, d AS (SELECT abs(v - lag(v) OVER (ORDER BY i)) AS d FROM sig WHERE i < 100000) SELECT 'events' AS recording_id, round(median(d) * 1.4826 / sqrt(2), 6) AS noise FROM d WHERE d IS NOT NULL",
@@ -136,10 +181,6 @@ ORACLES: dict[str, str] = {
     "residual_within": f"WITH {SIG} SELECT i AS sample_idx, round(v - {LEVEL}, 6) AS residual FROM sig WHERE v - {LEVEL} < 20 AND v - {LEVEL} > -20",
     "block_median_baseline": f"""WITH {SIG}, m AS (SELECT i // 64 AS k, avg(i) AS c, median(v) AS m FROM sig GROUP BY 1), l AS (SELECT k, c, list_sort(list(m) OVER (ORDER BY k ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) AS l FROM m)
         SELECT 'events' AS recording_id, k AS block, round(c, 6) AS center, round(l[CAST(floor(0.8 * (len(l) - 1) + 0.5) AS BIGINT) + 1], 6) AS baseline FROM l""",
-    "control_stats": f"""WITH {SIG}, c AS (SELECT median(v) AS m, count(*) AS n FROM sig), b AS (SELECT median(v) AS m FROM sig GROUP BY i // 64)
-        SELECT 'events' AS recording_id, round((SELECT 1.4826 * median(abs(v - m)) FROM sig CROSS JOIN c), 4) AS noise_std, round(avg(m), 4) AS baseline_mean, round(stddev_pop(m), 4) AS baseline_std, (SELECT n FROM c) AS n_samples FROM b""",
-    "suggest_figures": f"""WITH {SIG}, d AS (SELECT abs(v - lag(v) OVER (ORDER BY i)) AS d FROM sig WHERE i < 100000), f AS (SELECT (SELECT median(d) * 1.4826 / sqrt(2) FROM d WHERE d IS NOT NULL) AS noise, quantile_cont(v, 0.01) AS low, quantile_cont(v, 0.99) AS high FROM sig WHERE i < 500000)
-        SELECT 'events' AS recording_id, round(noise, 6) AS noise, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN noise / (high - low) < 0.05 THEN 5.0 WHEN noise / (high - low) < 0.15 THEN 3.0 ELSE 2.0 END::DOUBLE AS n_sigma FROM f""",
     "detrend_linear": f"""WITH {USR}, l AS (SELECT rec, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM usr GROUP BY rec)
         SELECT rec AS recording_id, i AS sample_idx, round(a + b * i, 4) AS trend, round(v - (a + b * i), 4) AS detrended FROM usr JOIN l USING (rec)""",
     "pipeline_min": PIPELINE_MIN,
@@ -165,13 +206,10 @@ ORACLES: dict[str, str] = {
     "thin_samples": f"WITH {SIG} SELECT i AS sample_idx, v AS value FROM sig WHERE i % 7 = 0",
     "iou_pairs": f"WITH {TWO} SELECT truth_id, det_id, round(iou, 6) AS iou FROM pr",
     "any_overlap": f"WITH {TWO} SELECT DISTINCT truth_id FROM pr",
-    "metrics_prf": f"""WITH {TWO}, g AS (SELECT count(*) AS tp, median(abs((de - ds) / (te - ts)::DOUBLE - 1)) AS de FROM pr WHERE iou >= 0.6), n AS (SELECT (SELECT count(*) FROM a) AS nt, (SELECT count(*) FROM b) AS nd)
-        SELECT tp, nt AS n_true, nd AS n_det, round(tp / nd::DOUBLE, 6) AS precision, round(tp / nt::DOUBLE, 6) AS recall, round(2 * (tp / nd::DOUBLE) * (tp / nt::DOUBLE) / (tp / nd::DOUBLE + tp / nt::DOUBLE), 6) AS f1, round(de, 6) AS dwell_err FROM g CROSS JOIN n""",
     "nearest_start_asof": f"""WITH {TWO}, c AS (SELECT a.s AS id, b.s AS t, row_number() OVER (PARTITION BY a.s ORDER BY abs(b.s - a.s), b.s) AS k FROM a LEFT JOIN b ON abs(b.s - a.s) <= 5)
         SELECT id, id::DOUBLE AS t, t::DOUBLE AS nearest FROM c WHERE k = 1""",
     "clean_runs": f"""WITH {TWO}, n AS (SELECT max(i) + 1 AS n FROM sig), x AS (SELECT s - 2 AS s, e + 2 AS e FROM a UNION ALL SELECT n, n FROM n), g AS (SELECT greatest(coalesce(max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS p, s AS q FROM x)
         SELECT p AS start_idx, q AS end_idx FROM g WHERE p < q""",
-    "event_waveforms": f"WITH {SIG}, {runs('sig', 'v > 60.0')}, {merged('r0', 2, 'm')} SELECT s AS event, i AS sample_idx, v AS value FROM m JOIN sig ON i >= greatest(s - 3, 0) AND i < e + 3 WHERE e - s >= 6",
     "welch_psd": f"WITH {PSD} SELECT rec AS recording_id, k AS bin, round(f, 6) AS freq, round(p, 6) AS psd FROM psd",
     "cumulative_rms": f"WITH {PSD} SELECT rec AS recording_id, k AS bin, round(sqrt(sum(CASE WHEN k > 0 THEN p ELSE 0 END * 3.125) OVER (PARTITION BY rec ORDER BY k)), 6) AS rms FROM psd",
     "band_rms": f"WITH {PSD}, bd(lo, hi) AS (VALUES {', '.join(f'({a}, {b})' for a, b in BANDS)}) SELECT rec AS recording_id, lo::DOUBLE AS low, hi::DOUBLE AS high, round(median(p), 6) AS median_psd, round(sum(p), 6) AS power FROM psd JOIN bd ON f >= lo AND f < hi AND f > 0 GROUP BY rec, lo, hi HAVING count(*) >= 2",
@@ -209,6 +247,5 @@ ORACLES: dict[str, str] = {
     "array_dft_power": """WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v, len(embedding) AS n FROM embeddings),
         f AS (SELECT vec_id, k, sum(v * cos(2 * 3.141592653589793 * k * i / n)) AS c, sum(v * sin(2 * 3.141592653589793 * k * i / n)) AS s FROM x CROSS JOIN (SELECT unnest(range(0, 8)) AS k) GROUP BY ALL) SELECT vec_id, k, round(c * c + s * s, 6) AS power FROM f""",
     "seed_mean_std": "SELECT l_returnflag, l_linestatus, l_linenumber, round(avg(l_discount), 6) AS mean, round(stddev_samp(l_discount), 6) AS std, count(*) AS n FROM lineitem GROUP BY ALL",
-    "best_config": "WITH s AS (SELECT l_linestatus, l_returnflag, avg(l_discount) AS x FROM lineitem GROUP BY ALL) SELECT l_linestatus, arg_max(l_returnflag, x) AS best, round(max(x), 6) AS score FROM s GROUP BY 1",
     "sensitivity": "WITH s AS (SELECT l_suppkey, avg(l_tax) AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT n % 5 AS grid, round(min(x), 6) AS worst, round(median(x), 6) AS middle, round(max(x), 6) AS best FROM s GROUP BY 1",
 }

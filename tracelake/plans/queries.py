@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.config import BOTH, DOWN, UP
+from tracelake.config import BOTH, DOWN, UP, DetectionConfig, suggest_config
 from tracelake.operators import baseline as B
 from tracelake.operators import events as E
-from tracelake.operators import filtering, inference, layout, matching, noise, ranges, scalars, spectrum, states, views
+from tracelake.operators import filtering, inference, layout, matching, noise, ranges, scalars, scoring, spectrum, states, views
+from tracelake.sources import sinks
 from tracelake.sources.tables import event_signal, supplier_signals, table, user_signals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,20 +105,23 @@ def block_median_baseline(spark, d):
 
 
 def control_stats(spark, d):
-    """Noise, and mean and deviation of a coarse baseline, of the signal as a control trace."""
-    s = event_signal(spark, d)
-    level = B.block_median(s, 64).groupBy("recording_id").agg(F.avg("median").alias("baseline_mean"), F.stddev_pop("median").alias("baseline_std"))
-    n = s.groupBy("recording_id").agg(F.count("*").alias("n_samples"))
-    return rounded(noise.noise_mad(s).withColumnRenamed("noise", "noise_std").join(level, "recording_id").join(n, "recording_id"), 4)
+    """Noise, and mean and deviation of the baseline, of the signal as a control trace."""
+    from tracelake.plans.pipeline import control_statistics
+
+    config = DetectionConfig(apply_filter=False, baseline_window_sec=51.0, baseline_iterations=1)
+    return rounded(control_statistics(event_signal(spark, d), 1.0, config), 4)
 
 
 def suggest_figures(spark, d):
-    """What settings are suggested from: noise floor, and the 1st and 99th percentile, of the first samples."""
+    """Settings suggested from the noise floor and the 1st and 99th percentile of the first samples: a row per recording."""
     s = event_signal(spark, d).where("sample_idx < 500000")
-    p = s.groupBy("recording_id").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
-    both = noise.noise_floor_diff(s).join(p, "recording_id").select("recording_id", "noise", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
-    part = F.col("noise") / (F.col("high") - F.col("low"))
-    return rounded(both.withColumn("n_sigma", F.when(part < 0.05, 5.0).when(part < 0.15, 3.0).otherwise(2.0)))
+    p = s.groupBy("recording_id").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.count("*").alias("n"))
+    both = noise.noise_floor_diff(s).join(p, "recording_id").select("recording_id", "noise", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "n")
+    rows = []
+    for r in both.collect():
+        c = suggest_config(100.0, r["n"] / 100.0, r["noise"], r["low"], r["high"])
+        rows.append((r["recording_id"], r["noise"], r["low"], r["high"], c.baseline_n_sigma, c.baseline_window_sec, c.merge_gap_sec, c.gmm_max_components))
+    return rounded(spark.createDataFrame(rows, "recording_id string, noise double, low double, high double, n_sigma double, window_sec double, merge_gap_sec double, components int"))
 
 
 def detrend_linear(spark, d):
@@ -246,9 +251,9 @@ def greedy_match(spark, d):
 
 
 def metrics_prf(spark, d):
-    truth, det = _two(spark, d)
-    pairs = matching.overlaps(truth, det, 64.0).where("iou >= 0.6")
-    return rounded(matching.scores(truth, det, pairs))
+    """One-to-one matches of an overlap of 0.6 and what they say; depths and levels are made from the ids."""
+    truth, det = (x.withColumn("depth", F.col("end") - F.col("start") + F.col("id") % 3).withColumn("n_levels", (F.col("id") % 2 + 1).cast("int")) for x in _two(spark, d))
+    return rounded(scoring.evaluate(truth, det, 64.0, 0.6).drop("bound_err_us"))
 
 
 def nearest_start_asof(spark, d):
@@ -264,10 +269,39 @@ def clean_runs(spark, d):
 
 
 def event_waveforms(spark, d):
-    s = event_signal(spark, d)
+    s = residuals(spark, d)
     long_ = E.merge_runs(E.find_runs(s, E.above("value", 60.0)), 2).where("end_idx - start_idx >= 6")
-    padded = long_.select("recording_id", F.col("start_idx").alias("event"), F.greatest(F.col("start_idx") - 3, F.lit(0)).alias("start_idx"), (F.col("end_idx") + 3).alias("end_idx"))
-    return E.contained(s, padded).select("event", "sample_idx", "value")
+    return rounded(sinks.waveforms(s, long_, 100.0, 30.0).drop("recording_id"))
+
+
+def first_events(spark, d):
+    """The first events of a recording, as a grid shows them."""
+    return rounded(views.first_events(E.detect_events(residuals(spark, d), 1.0, -25.0, BOTH, 3, 1), 12).select("rank", "start_idx", "end_idx", "direction", "depth"))
+
+
+def windowed_view(spark, d):
+    """Envelope of a part of the concatenated signal, with a break at every gap."""
+    kept, n = _kept(spark, d)
+    joined = ranges.concatenate(event_signal(spark, d), ranges.range_table(kept, 1.0, n))
+    return rounded(views.windowed(joined, 1.0, 50.0, 950.0, 60).drop("recording_id"))
+
+
+def raw_round_trip(spark, d):
+    """The signal written as raw 16-bit files of one folder and read back by byte ranges."""
+    from tracelake.sources import raw
+
+    folder = f"{layout.shared(spark)}/raw-{uuid.uuid4().hex}"
+    raw.write_raw(event_signal(spark, d), folder, "int16", 0.05, 1.0)
+    got, _ = raw.read_signal(spark, folder, 1.0, dtype="int16", scale_factor=0.05, offset=1.0, recording_id="events")
+    return got.select("recording_id", "sample_idx", F.round(F.col("value").cast("double"), 3).alias("value"))
+
+
+def events_csv(spark, d):
+    """The event table written as CSV and read back."""
+    folder = f"{layout.shared(spark)}/csv-{uuid.uuid4().hex}"
+    table_ = sinks.event_table(E.detect_events(residuals(spark, d), 1.0, -25.0, BOTH, 3, 1))
+    sinks.write_csv(table_, folder)
+    return rounded(spark.read.schema(table_.schema).option("header", True).csv(folder))
 
 
 # spectra
@@ -334,7 +368,8 @@ def baseline_component(spark, d):
 
 def effective_threshold(spark, d):
     g = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return rounded(g.select("event_type", F.least(-F.col("m"), F.col("m") - 5 * F.col("s")).alias("down"), F.greatest(F.abs("m"), F.col("m") + 5 * F.col("s")).alias("up")))
+    cuts = E.effective_thresholds(-F.col("m"), F.col("m"), F.col("s"))
+    return rounded(g.select("event_type", cuts[DOWN].alias("down"), cuts[UP].alias("up")))
 
 
 def _features(spark, d):
@@ -350,8 +385,10 @@ def zscore_features(spark, d):
 
 
 def capture_rate_mean(spark, d):
+    from tracelake.functions.bayes import capture_rate as posterior
+
     g = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), (F.max("event_id") - F.min("event_id") + 1).cast("double").alias("span"))
-    return rounded(g.select("event_type", "n", ((0.5 + F.col("n")) / F.col("span")).alias("mean_rate")))
+    return rounded(spark.createDataFrame([(r["event_type"], r["n"], float(posterior(r["n"], r["span"])["mean"])) for r in g.collect()], "event_type string, n long, mean_rate double"))  # a row per type
 
 
 # states
@@ -416,20 +453,17 @@ def array_dft_power(spark, d):
 
 
 def seed_mean_std(spark, d):
-    li = table(spark, d, "lineitem")
-    g = li.groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.avg("l_discount").alias("mean"), F.stddev_samp("l_discount").alias("std"), F.count("*").alias("n"))
-    return rounded(g)
+    return rounded(scoring.over_seeds(table(spark, d, "lineitem"), ("l_returnflag", "l_linestatus", "l_linenumber"), "l_discount"))
 
 
 def best_config(spark, d):
-    """Per line status the return flag with the best mean score, and its score."""
-    score = table(spark, d, "lineitem").groupBy("l_linestatus", "l_returnflag").agg(F.avg("l_discount").alias("score"))
-    return rounded(score.groupBy("l_linestatus").agg(F.max_by("l_returnflag", "score").alias("best"), F.max("score").alias("score")))
+    """Per line status, and over all of them, the return flag with the best mean score, and its score."""
+    return rounded(scoring.best_setting(table(spark, d, "lineitem"), "l_linestatus", "l_returnflag", "l_discount"))
 
 
 def sensitivity(spark, d):
     score = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_tax").alias("score"), F.count("*").alias("n"))
-    return rounded(score.groupBy((F.col("n") % 5).alias("grid")).agg(F.min("score").alias("worst"), F.median("score").alias("middle"), F.max("score").alias("best")))
+    return rounded(scoring.sensitivity(score, F.col("n") % 5, "score"))
 
 
 # models without an SQL form
@@ -439,7 +473,8 @@ def _threshold(method):
     def query(spark, d):
         from tracelake.functions.mixtures import determine_threshold
 
-        rows = views.residual_sample(residuals(spark, d), 20_000).select("residual").toPandas()["residual"].to_numpy()
+        most = min(20_000, DetectionConfig().gmm_max_samples) if method == "dpgmm" else DetectionConfig().gmm_max_samples
+        rows = views.residual_sample(residuals(spark, d), most).select("residual").toPandas()["residual"].to_numpy()
         t = determine_threshold(-rows, method, 6)
         return spark.createDataFrame([(i, float(m), float(s), float(w), float(t.value), i == t.base) for i, (m, s, w) in enumerate(zip(t.means, t.stds, t.weights, strict=True))], "component int, mean double, std double, weight double, threshold double, is_base boolean")
 
@@ -491,11 +526,10 @@ def capture_rate(spark, d):
 def dwell_mixture(spark, d):
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     waits = table(spark, d, "orders").select("o_orderpriority", (F.timestamp_diff("SECOND", F.lag("o_orderdate").over(order), F.col("o_orderdate")) / 86400).alias("duration")).where("duration > 0")
-    return rounded(inference.dwell_posteriors(waits, "o_orderpriority", 600, 200))
+    return rounded(inference.dwell_posteriors(waits, "o_orderpriority"))
 
 
 def pipeline_full(spark, d):
-    from tracelake.config import DetectionConfig
     from tracelake.plans.pipeline import run
 
     config = DetectionConfig(apply_filter=False, pre_applied_filter_cutoff=50.0, baseline_window_sec=0.51, baseline_iterations=1, event_direction=UP, min_event_duration_sec=0.03, merge_gap_sec=0.02, sublevel_method="gmm", min_segment_samples=5)
@@ -510,7 +544,7 @@ QUERIES: dict[str, Query] = {
         block_median_baseline, control_stats, suggest_figures, detrend_linear, pipeline_min, crop_range, keep_ranges,
         normalise_ranges, concat_ranges, nan_gaps, restore_mapped, lowpass_bessel, lowpass_butter, minmax_downsample,
         residual_histogram, dwell_log_histogram, events_table, stride_preview, thin_samples, iou_pairs, any_overlap,
-        greedy_match, metrics_prf, nearest_start_asof, clean_runs, event_waveforms, welch_psd, cumulative_rms, band_rms, f3db,
+        greedy_match, metrics_prf, nearest_start_asof, clean_runs, event_waveforms, first_events, windowed_view, raw_round_trip, events_csv, welch_psd, cumulative_rms, band_rms, f3db,
         psd_ratio, spectral_peaks, spectral_top_peaks, noise_spectrum, gaussian_crossing, baseline_component, effective_threshold, event_features, zscore_features,
         capture_rate_mean, rle_labels, merge_same_label, dwell_times, transition_matrix, segment_stats, array_runs,
         array_changepoint_1, array_dft_power, seed_mean_std, best_config, sensitivity, pelt_changepoints, bocpd_changepoints,

@@ -49,9 +49,60 @@ def binary_info(path: str, dtype: str = "int16", header_bytes: int = 0, sampling
     return {"file_size": info.size, "n_samples": n, "duration": n / sampling_rate if sampling_rate else None}
 
 
+def pieces(path: str, dtype: str, header_bytes: int, channels: int) -> list[tuple[str, int, int]]:
+    """(file, number of its first sample, samples) of a file, or of a folder's raw files in the order of their names: those are
+    one signal after the other, each with a header of its own."""
+    import pyarrow.fs as pafs
+
+    fs, local = opened(path)
+    if fs.get_file_info(local).type != pafs.FileType.Directory:
+        return [(path, 0, binary_info(path, dtype, header_bytes, channels=channels)["n_samples"])]
+    out, at = [], 0
+    for name in sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(local)) if f.is_file and not f.base_name.startswith((".", "_"))):
+        n = binary_info(f"{path}/{name}", dtype, header_bytes, channels=channels)["n_samples"]
+        out.append((f"{path}/{name}", at, n))
+        at += n
+    return out
+
+
+def write_raw(samples, folder: str, dtype: str = "int16", scale_factor: float = 1.0, offset: float = 0.0, name: str | None = None) -> None:
+    """One recording's samples as raw files of a folder, in the order of their names: value = stored * scale + offset. Integers
+    are rounded to the nearest even and clipped. Files take their final names only when they are complete."""
+    import uuid
+
+    from tracelake.deploy import ship
+
+    ship(samples.sparkSession)
+    kind = sample_type(dtype)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, local = opened(folder)
+        sink, first, part = None, None, f"{local}/.{uuid.uuid4().hex}"
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if sink is None:
+                fs.create_dir(local, recursive=True)
+                sink, first = fs.open_output_stream(part, compression=None), batch.column(0)[0].as_py()
+            v = (batch.column(1).to_numpy(zero_copy_only=False) - offset) / scale_factor
+            if kind.kind != "f":
+                v = np.clip(np.rint(v), np.iinfo(kind).min, np.iinfo(kind).max)
+            sink.write(v.astype(kind).tobytes())
+        if sink is not None:
+            sink.close()
+            fs.move(part, f"{local}/part-{first:015d}.raw")
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64())], names=["first"])
+
+    from pyspark.sql import functions as F
+
+    samples.select("sample_idx", F.col("value").cast("double").alias("value")).repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").mapInArrow(run, "first long").collect()  # a row per part
+
+
 class Range(InputPartition):
-    def __init__(self, path: str, first: int, count: int):
-        self.path, self.first, self.count = path, first, count
+    """count samples of a file from number `first` on; `base` is the number of the file's first sample in the signal."""
+
+    def __init__(self, path: str, first: int, count: int, base: int = 0):
+        self.path, self.first, self.count, self.base = path, first, count, base
 
 
 class RawReader(DataSourceReader):
@@ -69,11 +120,19 @@ class RawReader(DataSourceReader):
         self.name = options.get("recording_id") or os.path.basename(self.path)
         sample_type(self.dtype)
 
+    def ranges(self, first: int, count: int | None) -> list[Range]:
+        """Parts of files that hold `count` samples of the signal from number `first` on."""
+        out = []
+        for path, base, n in pieces(self.path, self.dtype, self.header, self.channels):
+            low, high = max(first, base), base + n if count is None else min(first + count, base + n)
+            if low < high:
+                out.append(Range(path, low - base, high - low, base))
+        return out
+
     def partitions(self) -> list[Range]:
-        n = binary_info(self.path, self.dtype, self.header, channels=self.channels)["n_samples"]
-        n = n if self.most is None else min(n, self.most)
         step = max(1, PART_BYTES // (sample_type(self.dtype).itemsize * self.channels))
-        return [Range(self.path, i, min(step, n - i)) for i in range(0, n, step)] or [Range(self.path, 0, 0)]
+        cut = [Range(r.path, i, min(step, r.first + r.count - i), r.base) for r in self.ranges(0, self.most) for i in range(r.first, r.first + r.count, step)]
+        return cut or [Range(self.path, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         kind = sample_type(self.dtype)
@@ -86,7 +145,7 @@ class RawReader(DataSourceReader):
                 n = min(BATCH, part.first + part.count - at)
                 raw = np.frombuffer(src.read_at(n * width, self.header + at * width), dtype=kind).reshape(-1, self.channels)[:, self.channel]
                 value = (raw.astype(np.float32) * np.float32(self.scale) + np.float32(self.shift)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([self.name] * n), pa.array(np.full(n, self.channel, np.int32)), pa.array(np.arange(at, at + n)), pa.array(value)], names=["recording_id", "channel", "sample_idx", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([self.name] * n), pa.array(np.full(n, self.channel, np.int32)), pa.array(np.arange(at, at + n) + part.base), pa.array(value)], names=["recording_id", "channel", "sample_idx", "value"])
 
 
 class RawSource(DataSource):
@@ -163,15 +222,14 @@ def read_chunks(spark: SparkSession, path: str, size: int, halo: int, options: d
 
     ship(spark)
     reader = RawReader({"path": path, **options})
-    n = binary_info(path, reader.dtype, reader.header, channels=reader.channels)["n_samples"]
-    n = n if reader.most is None else min(n, reader.most)
+    n = sum(r.count for r in reader.ranges(0, reader.most))
     count = -(-n // size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in batch.column(0).to_pylist():
                 first, last = max(0, c * size - halo), min(n, (c + 1) * size + halo)
-                parts = [b.column(3).to_numpy() for b in reader.read(Range(path, first, last - first))]
+                parts = [b.column(3).to_numpy() for r in reader.ranges(first, last - first) for b in reader.read(r)]
                 yield pa.RecordBatch.from_arrays([pa.array([reader.name]), pa.array([c], pa.int64()), pa.array([n], pa.int64()), pa.array([first], pa.int64()), pa.array([np.concatenate(parts).astype(float).tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=[f.split()[0] for f in KIND.split(", ")])
 
     return spark.range(0, count, 1, max(1, min(count, 10_000))).select(F.col("id")).mapInArrow(run, KIND)
