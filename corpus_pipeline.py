@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over `documents`, each one operator of the llm subpackage.
 
 Every stage works on all rows that its predecessor kept and returns the columns of `documents` (the last one: what the
-encoding gives). Rows with nulls, empty texts and repeated ids go through as the operators define it.
+encoding gives). Rows with nulls, empty or very long texts and repeated ids go through as the operators define it, an empty
+table gives an empty one, and other columns of `documents`, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -22,14 +23,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned decision list reject go."""
+    docs = docs.select(*COLUMNS)
     rules = fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs.select(*COLUMNS), rules).where("kept").select(*COLUMNS)
+    return judge(docs, rules).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id (5-word shingles, 0.8)."""
+    """One document of each near-duplicate group stays, the one with the smallest id (5-word shingles, 0.8).
+
+    Rows of one id are one document: they stay or go together, and of those with one text one stays. Rows without an id, or
+    without words, stay.
+    """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    many = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    if many.isEmpty():
+        return left
+    left, many = written(left, "left"), written(many, "repeated")
+    return left.join(many, "doc_id", "left_anti").select(*COLUMNS).unionByName(left.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
