@@ -71,10 +71,9 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("block", "few"), [(2048, 4), (8, 1)])
-def test_near_duplicate_families_lose_no_link(spark, block, few, monkeypatch):
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicate_families_lose_no_link(spark, block, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "FEW", few)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(80)]
     texts = []

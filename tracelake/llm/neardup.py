@@ -6,10 +6,9 @@
    is paired with the leaders of a few of its buckets; XOR population counts of the sketches estimate the similarity and
    drop hopeless pairs; the rest is checked exactly.
 3. Buckets that still hold more than one component form families (members that buckets connect). A family is cut into
-   blocks, and every two blocks meet in one task, with sketches only: of the pairs of two components whose sketches allow
-   it, the FEW most alike are checked exactly first, and once those links have joined components, all that are left. So no
-   candidate pair is lost: a pair that is never compared lies within one component already. Texts are fetched for pairs
-   that the sketches have let through.
+   blocks, and every two blocks meet in one task that has their texts: pairs of different components that share a band and
+   whose sketches allow it are checked exactly there, most alike first, until their components are one. Only links leave
+   the task. So no candidate pair is lost: a pair that is never compared lies within one component already.
 4. Links become components; copies of a class take over its component.
 
 Buckets are joined on their key, so Spark can split a large one; the texts of a popular leader go to salted groups.
@@ -18,7 +17,6 @@ Buckets are joined on their key, so Spark can split a large one; the texts of a
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +38,8 @@ SKETCH_WORDS = 16
 SKETCH_SAMPLES = 256
 #: Leaders that a member is paired with in a star round.
 PICKS = 3
-#: Members of a block of a family; two blocks meet in one task, at some 150 bytes a member.
-BLOCK = 2048
-#: Pairs of two components that are checked before all others are.
-FEW = 4
+#: Members of a block of a family; two blocks meet in one task.
+BLOCK = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -177,72 +173,69 @@ def _exact(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return groups.select("a", "id", "role", "text").mapInArrow(run, "a long, b long")
 
 
-def _likely_pairs(rest: DataFrame, side: DataFrame, floor: float, samples: int, most: int | None) -> DataFrame:
-    """(a, b) of different components of a family whose sketches reach `floor`; with `most`, for two components that meet in
-    two blocks only the so many most alike.
+def _between_components(rest: DataFrame, side: DataFrame, docs: DataFrame, k: int, percent: int, floor: float, samples: int) -> DataFrame:
+    """Links (a, b) between components of a family, enough of them to join all that links join.
 
-    rest: band, id, component of open buckets; side: id, sketch.
+    rest: band, id, component of open buckets; side: id, sketch, bands.
     """
     low = rest.groupBy("band").agg(F.min("id").alias("a"))
     family = components(rest.join(low, "band").where("id <> a").select("a", F.col("id").alias("b"))).withColumnRenamed("component", "family")
-    members = written(rest.select("id", "component").distinct().join(family, "id").join(side, "id"), "families")
+    members = written(rest.select("id", "component").distinct().join(family, "id"), "families")
     blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     own = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    columns = ["family", "i", "j", "block", "id", "component", *(f"s{w}" for w in range(SKETCH_WORDS))]
-    groups = meet.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", *(F.col(f"sketch.s{w}").alias(f"s{w}") for w in range(SKETCH_WORDS)))
-    groups = groups.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "id")
-    bits = 64.0 * SKETCH_WORDS
-
-    def pairs(block: np.ndarray, ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    meet = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("id", "component", "family", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    ids = members.select("id").distinct()
+    needed = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id").join(side, "id")
+    groups = meet.join(needed, "id").select("family", "i", "j", "block", "id", "component", "text", "bands", F.array(*(f"sketch.s{w}" for w in range(SKETCH_WORDS))).alias("sketch")).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "id")
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        data, offsets = text_bytes(pa.array([r[4] for r in rows], pa.large_string()))
+        sets = [s for x, y in row_slices(offsets, SLICE) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k)]
+        block, ids, comp = (np.array([r[c] for r in rows]) for c in (1, 2, 3))
+        bands, sketch = np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
         left, right = np.flatnonzero(block == block[0]), np.flatnonzero(block == block[-1])
         within = block[0] == block[-1]
-        best: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+        found, root = [], {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        pairs = []
         for x in left:
-            ys = right[np.searchsorted(right, x, side="right") :] if within else right
-            ys = ys[comp[ys] != comp[x]]
-            if not len(ys):
-                continue
-            odd = np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-            alike = 1 + bits * np.log(np.maximum(1 - 2 * odd / bits, 1e-9)) / (4 * samples)
-            keep = np.flatnonzero(alike >= floor)
-            if most is None:
-                if len(keep):
-                    yield np.full(len(keep), ids[x]), ids[ys[keep]]
-                continue
-            for k in keep.tolist():
-                y = ys[k]
-                pair = (comp[x], comp[y]) if comp[x] < comp[y] else (comp[y], comp[x])
-                heap = best.setdefault(pair, [])
-                if len(heap) < most:
-                    heapq.heappush(heap, (alike[k], ids[x], ids[y]))
-                elif alike[k] > heap[0][0]:
-                    heapq.heapreplace(heap, (alike[k], ids[x], ids[y]))
-        if found := [p for heap in best.values() for p in heap]:
-            yield np.array([p[1] for p in found]), np.array([p[2] for p in found])
+            ys = right[(comp[right] != comp[x]) & (right > x if within else True)]
+            ys = ys[(bands[ys] == bands[x]).any(axis=1)]
+            if len(ys):
+                odd = np.bitwise_count((sketch[ys] ^ sketch[x]).view(np.uint64)).sum(axis=1)
+                part = np.maximum(1 - 2 * odd / (64.0 * SKETCH_WORDS), 1e-9)
+                alike = 1 + 64.0 * SKETCH_WORDS * np.log(part) / (4 * samples)
+                pairs += [(-a, int(x), int(y)) for a, y in zip(alike, ys, strict=True) if a >= floor]
+        for _, x, y in sorted(pairs):
+            a, b = top(int(comp[x])), top(int(comp[y]))
+            if a != b and _linked(sets[x], sets[y], percent):
+                root[max(a, b)] = min(a, b)
+                found.append((int(ids[x]), int(ids[y])))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        key, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(held)
-            for a, b in pairs(rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6:].view(np.uint64)) if len(rows) > 1 else ():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            if len(held) > 1 and (found := links(held)):
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            rows = np.column_stack([c.cast(pa.int64()).to_numpy() for c in batch.columns])
-            if not len(rows):
-                continue
-            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-            for n, part in enumerate(np.split(rows, cuts)):
-                if held and (n or (held[-1][-1, :3] != part[0, :3]).any()):
+            columns = [batch.column(c).to_pylist() for c in ("family", "i", "j", "block", "id", "component", "text", "bands", "sketch")]
+            for f, i, j, block, ident, component, text, bands, sketch in zip(*columns, strict=True):
+                if (f, i, j) != key:
                     yield from out()
-                    held = []
-                held.append(part)
-        if held:
-            yield from out()
+                    key, held = (f, i, j), []
+                held.append((0, block, ident, component, text, bands, sketch))
+        yield from out()
 
-    return groups.select(*columns).mapInArrow(run, "a long, b long").distinct()
+    return groups.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -279,7 +272,7 @@ def near_duplicates(
     shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     buckets = written(keyed.join(shared, "band").withColumn("component", F.col("id")), "buckets")
     samples = max(SKETCH_SAMPLES, bands * rows)
-    side = reps.select("id", "sketch")
+    side = reps.select("id", "sketch", "bands")
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Links among pairs, by sketches and then exactly."""
@@ -303,16 +296,11 @@ def near_duplicates(
         pairs = picks.select("id", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(PICKS))))).alias("leader"))
         return pairs.select(F.col("leader").alias("a"), F.col("id").alias("b"))
 
-    links = checked(star(buckets, 0))
-    labels = None
-    for most in (FEW, None):
-        labels = written(components(links), "components")
-        rest = open_only(labels)
-        links = labels.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))  # stars say the same in fewer edges
-        if rest.isEmpty():
-            break
-        likely = _likely_pairs(rest, side, floor, samples, most)
-        links = links.union(written(_exact(likely, texts.where("id is not null"), shingle_words, percent), "links"))
+    labels = written(components(checked(star(buckets, 0))), "components")
+    rest = open_only(labels)
+    links = labels.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))  # stars say the same in fewer edges
+    if not rest.isEmpty():
+        links = links.union(written(_between_components(rest, side, texts.where("id is not null"), shingle_words, percent, floor, samples), "links"))
     same = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = components(links.union(same).distinct())
     out = sig.select("id", "n_shingles").join(found, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
