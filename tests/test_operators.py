@@ -194,6 +194,14 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert pairs(spark.table("found")) == want
+    # an event that reaches the end comes out with the last chunk
+    x[970:] = 10.0
+    rows["values"], rows["last"] = [x[i : i + 50].tolist() for i in range(0, 1000, 50)], [i == 950 for i in range(0, 1000, 50)]
+    spark.createDataFrame(rows).coalesce(1).write.parquet(str(tmp_path / "ended"))
+    schema = spark.createDataFrame(rows).schema
+    stream = detect_online(spark.readStream.schema(schema).parquet(str(tmp_path / "ended")), 5.0, idle_ms=60_000)
+    stream.writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start().awaitTermination(120)
+    assert pairs(spark.table("ended")) == sorted([*want, (970, 1000)])
 
 
 def test_scenarios():

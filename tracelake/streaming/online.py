@@ -49,18 +49,43 @@ def scan(x: np.ndarray, first: int, state: tuple, threshold: float, gap: int, le
     return out, (nxt, start, end, total, area, held)
 
 
-def detect_online(chunks: DataFrame, threshold: float, gap: int = 2, least: int = 3) -> DataFrame:
-    """Events of a stream of chunks (recording_id, start_idx, values array<double>)."""
+def finish(state: tuple, least: int) -> list[tuple]:
+    """The held event, if there is one of enough samples: nothing more is to come."""
+    _, start, end, total, area, held = state
+    return [(start, end, total / (end - start), area)] if held and end - start >= least else []
+
+
+def detect_online(chunks: DataFrame, threshold: float, gap: int = 2, least: int = 3, idle_ms: int | None = None) -> DataFrame:
+    """Events of a stream of chunks (recording_id, start_idx, values array<double> and, if there is one, `last`).
+
+    An event that may still grow is held back. It comes out when samples beyond the gap have come, with a chunk whose `last` is
+    true, or, with idle_ms, when a recording has had no chunk for that long; the recording's state goes with the latter two.
+    """
     ship(chunks.sparkSession)
+    names = ["recording_id", "start_idx", "end_idx", "mean", "area"]
+    ends = "last" in chunks.columns
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            found = finish(tuple(state.get), least)
+            state.remove()
+            yield pd.DataFrame([(key[0], *f) for f in found], columns=names)
+            return
         now = tuple(state.get) if state.exists else (0, 0, 0, 0.0, 0.0, False)
         rows = pd.concat(list(parts)).sort_values("start_idx")
         found = []
         for first, values in zip(rows["start_idx"], rows["values"], strict=True):
             new, now = scan(np.asarray(values, float), int(first), now, threshold, gap, least)
             found += new
-        state.update(now)
-        yield pd.DataFrame([(key[0], *f) for f in found], columns=["recording_id", "start_idx", "end_idx", "mean", "area"])
+        if ends and rows["last"].fillna(False).any():
+            found += finish(now, least)
+            if state.exists:
+                state.remove()
+        else:
+            state.update(now)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(key[0], *f) for f in found], columns=names)
 
-    return chunks.groupBy("recording_id").applyInPandasWithState(step, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.groupBy("recording_id").applyInPandasWithState(step, EVENT, STATE, "append", timeout)
