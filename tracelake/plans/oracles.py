@@ -136,7 +136,20 @@ def greedy(least: float, name: str = "gm") -> str:
 
 MADE_DEPTH, MADE_LEVELS = "({e} - {s} + {s} % 3)::DOUBLE", "{s} % 2"
 
+_SPREAD = "((s2[u + 1] - s2[s + 1]) - (s1[u + 1] - s1[s + 1]) * (s1[u + 1] - s1[s + 1]) / (u - s))"
+#: Optimal partition by its recursion over ends u: least 8 samples a segment, penalty 2 * 1.5 * ln n; then back from the end.
+PARTITION = f"""WITH RECURSIVE {USR}, ps AS (SELECT rec, i, sum(v) OVER w AS a, sum(v * v) OVER w AS b FROM usr WINDOW w AS (PARTITION BY rec ORDER BY i)),
+    pl AS MATERIALIZED (SELECT rec, count(*) AS n, 3.0 * ln(count(*)) AS beta, list_prepend(0.0, list(a ORDER BY i)) AS s1, list_prepend(0.0, list(b ORDER BY i)) AS s2 FROM ps GROUP BY rec HAVING count(*) >= 16),
+    c(rec, u, f, o) AS (SELECT rec, 0::BIGINT, [-beta]::DOUBLE[], [0]::BIGINT[] FROM pl UNION ALL
+        SELECT rec, u, list_append(f, CASE WHEN u < 8 THEN 'inf'::DOUBLE ELSE list_min(tot) END), list_append(o, CASE WHEN u < 8 THEN 0 ELSE list_position(tot, list_min(tot)) - 1 END)
+        FROM (SELECT rec, u, f, o, list_transform(range(0, u - 7), lambda s: f[s + 1] + (u - s) * (ln(CASE WHEN {_SPREAD} > 0 THEN {_SPREAD} ELSE 1e-20 END) - ln(u - s)) + beta) AS tot
+            FROM (SELECT c.rec, c.u + 1 AS u, f, o, s1, s2, beta FROM c JOIN pl USING (rec) WHERE c.u < n))),
+    e AS (SELECT rec, arg_max(o, u) AS o, max(u) AS n FROM c GROUP BY rec),
+    b(rec, t) AS (SELECT rec, n FROM e UNION ALL SELECT b.rec, o[t + 1] FROM b JOIN e USING (rec) WHERE t > 0)
+    SELECT rec AS recording_id, 0::BIGINT AS event_start, t AS at FROM b JOIN e USING (rec) WHERE t > 0 AND t < n"""
+
 ORACLES: dict[str, str] = {
+    "pelt_changepoints": PARTITION,
     "control_stats": CONTROL,
     "suggest_figures": f"""WITH {SIG}, d AS (SELECT abs(v - lag(v) OVER (ORDER BY i)) AS d FROM sig WHERE i < 100000), f AS (SELECT (SELECT median(d) * 1.4826 / sqrt(2) FROM d WHERE d IS NOT NULL) AS noise, quantile_cont(v, 0.01) AS low, quantile_cont(v, 0.99) AS high, count(*) AS n FROM sig WHERE i < 500000)
         SELECT 'events' AS recording_id, round(noise, 6) AS noise, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN noise / (high - low) < 0.05 THEN 5.0 WHEN noise / (high - low) < 0.15 THEN 3.0 ELSE 2.0 END::DOUBLE AS n_sigma,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.config import BOTH, DOWN, UP, DetectionConfig, suggest_config
+from tracelake.deploy import ship
 from tracelake.operators import baseline as B
 from tracelake.operators import events as E
 from tracelake.operators import filtering, inference, layout, matching, noise, ranges, scalars, scoring, spectrum, states, views
@@ -362,8 +363,15 @@ def gaussian_crossing(spark, d):
 def baseline_component(spark, d):
     """Of the event types as components of a recording: the one with the mean nearest to 0 among those of some weight."""
     g = table(spark, d, "events").groupBy("user_id", "event_type").agg((F.avg("value") - 50).alias("m"), F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))
-    return g.withColumn("ok", share >= 0.05).where("ok").groupBy("user_id").agg(F.min_by("event_type", F.struct(F.abs("m"), "event_type")).alias("component"))
+
+    def pick(part):
+        from tracelake.functions.mixtures import baseline_component as chosen
+
+        part = part.sort_values("event_type")
+        return part[["user_id", "event_type"]].rename(columns={"event_type": "component"}).iloc[[chosen(part["m"].to_numpy(), (part["n"] / part["n"].sum()).to_numpy())]]
+
+    ship(spark)
+    return g.groupBy("user_id").applyInPandas(pick, f"user_id {dict(g.dtypes)['user_id']}, component string")
 
 
 def effective_threshold(spark, d):
