@@ -350,3 +350,13 @@ def test_chunked_filter_is_the_one_of_rows(spark):
         own = want[want["recording_id"] == r["recording_id"]]["filtered"].to_numpy()
         y = np.frombuffer(r["data"])
         assert np.allclose(y, own[r["first"] : r["first"] + len(y)], atol=1e-9) and r["first"] == max(0, r["chunk"] * 300 - 20)
+
+
+def test_the_shared_folder_is_cleaned(spark):
+    import os
+
+    one = layout.settled(spark.range(5))
+    folder = layout.shared(spark).removeprefix("file://")
+    assert one.count() == 5 and os.listdir(folder)
+    layout.clean(spark)
+    assert not os.path.exists(folder) and layout.settled(spark.range(3)).count() == 3

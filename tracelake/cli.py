@@ -44,6 +44,7 @@ def settings(args: argparse.Namespace) -> DetectionConfig:
 
 def main(argv: list[str] | None = None) -> dict:
     from tracelake.operators import inference, spectrum
+    from tracelake.operators.layout import clean
     from tracelake.plans.pipeline import run
     from tracelake.sources import raw, sinks
 
@@ -56,7 +57,9 @@ def main(argv: list[str] | None = None) -> dict:
         n = samples.count()
         psd = spectrum.welch(samples, rate, spectrum.segment_length(rate, n, args.segment_sec))
         sinks.write_csv(psd, out + "spectrum.csv")
-        return spectrum.noise_summary(psd)
+        summary = spectrum.noise_summary(psd)
+        clean(spark)
+        return summary
     result = run(samples, rate, settings(args), tuple(args.range) if args.range else None, [tuple(r) for r in args.exclude] if args.exclude else None)
     sinks.write_csv(sinks.event_table(result.events), out + "events.csv")
     sinks.write_csv(sinks.sublevel_table(result.events.where("sublevels IS NOT NULL"), rate), out + "sublevels.csv")
@@ -64,6 +67,7 @@ def main(argv: list[str] | None = None) -> dict:
     if args.statistics:
         summary["statistics"] = inference.statistics_summary(result.events, samples.count() / rate)
     print(json.dumps(summary, indent=2, default=float))
+    clean(spark)
     return summary
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -55,8 +56,17 @@ def prefix_sums(samples: DataFrame, column: str, name: str, chunk: int = CHUNK)
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that executors share: that of spark.checkpoint.dir, or one in the warehouse where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.tracelake"
+    """The application's folder below the one that executors share: that of spark.checkpoint.dir, or the warehouse where it is
+    unset. clean() deletes it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = base if "://" in base or base.startswith("file:") else f"file://{os.path.abspath(base)}"
+    return f"{base.rstrip('/')}/tracelake-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; tables that still read from there end with it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
