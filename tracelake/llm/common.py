@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.deploy import ship
+from tracelake.operators.layout import shared
 
 #: Bytes of one Arrow batch sent to a Python worker; with long rows this bounds the worker's memory.
 BATCH_BYTES = 8 << 20
@@ -31,20 +30,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tracelake-"))
-    return base if "://" in base or base.startswith("file:") else f"file://{os.path.abspath(base)}"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{int(time.time())}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder name below the application's shared folder, which layout.clean() deletes."""
+    return f"{shared(spark)}/{name}-{int(time.time())}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,13 +43,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store through Hadoop's file systems."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def open_store(uri: str):
     """(file system, path) of a URI, for Python code on executors."""
     import pyarrow.fs as pafs
