@@ -45,27 +45,29 @@ def settings(args: argparse.Namespace) -> DetectionConfig:
 def main(argv: list[str] | None = None) -> dict:
     from tracelake.operators import inference, spectrum
     from tracelake.operators.layout import clean
-    from tracelake.plans.pipeline import run
+    from tracelake.plans.pipeline import run_file
     from tracelake.sources import raw, sinks
 
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tracelake").getOrCreate()
-    samples, rate = raw.read_signal(spark, args.path, args.sampling_rate, args.channel, dtype=args.dtype, scale_factor=args.scale_factor)
-    samples = samples.select("recording_id", "sample_idx", F.col("value").cast("double").alias("value"))
+    file = {"channel": args.channel, "dtype": args.dtype, "scale_factor": args.scale_factor}
     out = os.path.join(args.output_dir, "")
     if args.command == "spectrum":
+        samples, rate = raw.read_signal(spark, args.path, args.sampling_rate, **file)
+        samples = samples.select("recording_id", "sample_idx", F.col("value").cast("double").alias("value"))
         n = samples.count()
         psd = spectrum.welch(samples, rate, spectrum.segment_length(rate, n, args.segment_sec))
         sinks.write_csv(psd, out + "spectrum.csv")
         summary = spectrum.noise_summary(psd)
         clean(spark)
         return summary
-    result = run(samples, rate, settings(args), tuple(args.range) if args.range else None, [tuple(r) for r in args.exclude] if args.exclude else None)
+    result = run_file(spark, args.path, args.sampling_rate, settings(args), tuple(args.range) if args.range else None, [tuple(r) for r in args.exclude] if args.exclude else None, **file)
     sinks.write_csv(sinks.event_table(result.events), out + "events.csv")
-    sinks.write_csv(sinks.sublevel_table(result.events.where("sublevels IS NOT NULL"), rate), out + "sublevels.csv")
+    sinks.write_csv(sinks.sublevel_table(result.events.where("sublevels IS NOT NULL"), result.rate), out + "sublevels.csv")
     summary = result.summary()
     if args.statistics:
-        summary["statistics"] = inference.statistics_summary(result.events, samples.count() / rate)
+        summary["statistics"] = inference.statistics_summary(result.events, result.seconds())
+    print(result.summary_text())
     print(json.dumps(summary, indent=2, default=float))
     clean(spark)
     return summary

@@ -40,6 +40,10 @@ class Result:
     def noise(self) -> DataFrame:
         return self.level.select("recording_id", "noise").distinct()
 
+    def seconds(self) -> float:
+        """Length of all recordings."""
+        return (self.level.select("recording_id", "n").distinct().agg(F.sum("n")).first()[0] or 0) / self.rate
+
     def summary(self) -> dict:
         """Counts and extremes of the events."""
         r = self.events.agg(F.count("*").alias("n_events"), F.count_if(F.col("n_levels") > 1).alias("n_multilevel"), F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth")).first()
