@@ -44,22 +44,16 @@ def match(truth: DataFrame, detected: DataFrame, bucket: float, least: float = 0
 
 
 def nearest(left: DataFrame, right: DataFrame, most: float) -> DataFrame:
-    """As-of join: for each left row (recording_id, id, t) the nearest right t within `most` (ties: the earlier)."""
-    tagged = left.select("recording_id", "id", "t", F.lit(None).cast("double").alias("r")).unionByName(right.select("recording_id", F.lit(None).cast("long").alias("id"), "t", F.col("t").alias("r")))
-    back = Window.partitionBy("recording_id").orderBy(F.col("t"), F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("recording_id").orderBy(F.col("t").desc(), F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = tagged.withColumn("before", F.last("r", True).over(back)).withColumn("after", F.last("r", True).over(ahead)).where("id IS NOT NULL")
-    near = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).when(F.col("t") - F.col("before") <= F.col("after") - F.col("t"), F.col("before")).otherwise(F.col("after"))
-    return both.withColumn("nearest", near).select("recording_id", "id", "t", F.when(F.abs(F.col("nearest") - F.col("t")) <= most, F.col("nearest")).alias("nearest"))
+    """As-of join: for each left row (recording_id, id, t) the nearest right t within `most` (ties: the earlier).
 
-
-def scores(truth: DataFrame, detected: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and medians of the relative length errors over all recordings."""
-    n = truth.agg(F.count("*").alias("n_true")).join(F.broadcast(detected.agg(F.count("*").alias("n_det"))))
-    own = pairs.withColumn("dwell_err", F.abs((F.col("det_end") - F.col("det_start")) / (F.col("truth_end") - F.col("truth_start")) - 1))
-    got = own.agg(F.count("*").alias("tp"), F.median("dwell_err").alias("dwell_err"))
-    both = n.join(F.broadcast(got))
-    precision = F.when(F.col("n_det") > 0, F.col("tp") / F.col("n_det")).otherwise(F.lit(0.0))
-    recall = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0))
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
-    return both.select("tp", "n_true", "n_det", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "dwell_err")
+    Time is cut into stretches of 64 * most; right rows within `most` of a border serve the neighbour as well, so no window needs
+    a whole recording.
+    """
+    stretch = 64.0 * most if most > 0 else 1.0
+    own = left.select("recording_id", "id", "t", F.lit(None).cast("double").alias("r"), F.floor(F.col("t") / stretch).alias("stretch"))
+    near = right.select("recording_id", F.lit(None).cast("long").alias("id"), "t", F.col("t").alias("r"), F.explode(F.sequence(F.floor((F.col("t") - most) / stretch), F.floor((F.col("t") + most) / stretch))).alias("stretch"))
+    back = Window.partitionBy("recording_id", "stretch").orderBy(F.col("t"), F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("recording_id", "stretch").orderBy(F.col("t").desc(), F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = own.unionByName(near).withColumn("before", F.last("r", True).over(back)).withColumn("after", F.last("r", True).over(ahead)).where("id IS NOT NULL")
+    found = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).when(F.col("t") - F.col("before") <= F.col("after") - F.col("t"), F.col("before")).otherwise(F.col("after"))
+    return both.withColumn("nearest", found).select("recording_id", "id", "t", F.when(F.abs(F.col("nearest") - F.col("t")) <= most, F.col("nearest")).alias("nearest"))
