@@ -352,6 +352,40 @@ def test_chunked_filter_is_the_one_of_rows(spark):
         assert np.allclose(y, own[r["first"] : r["first"] + len(y)], atol=1e-9) and r["first"] == max(0, r["chunk"] * 300 - 20)
 
 
+def test_joined_signals_lead_back(spark):
+    """Sub-levels, times and clean runs of a signal that was joined from ranges."""
+    table = spark.createDataFrame([(0, 10, 20, 0), (1, 50, 80, 10)], "range long, i0 long, i1 long, base long")
+    level = "array<struct<sublevel_idx: int, from_idx: long, to_idx: long>>"
+    ev = spark.createDataFrame([("a", 12, 20, 0.0, 0.0, [(0, 12, 15), (1, 15, 20)])], f"recording_id string, start_idx long, end_idx long, start_time double, end_time double, sublevels {level}")
+    r = ranges.restore(ev, table, 10.0).first()
+    assert (r["start_idx"], r["end_idx"], r["start_time"]) == (52, 60, 5.2) and [(s["from_idx"], s["to_idx"]) for s in r["sublevels"]] == [(52, 55), (55, 60)]
+    moved = ranges.shift(ev, 100, 10.0).first()
+    assert (moved["start_idx"], moved["sublevels"][1]["to_idx"]) == (112, 120)
+    times = [x["time"] for x in ranges.times_of(samples(spark, np.zeros(40)), 10.0, table).orderBy("sample_idx").collect()]
+    assert times[9:11] == [1.9, 5.0] and len(times) == 40
+    assert ranges.index_range(table, 1.5, 5.2, 10.0) == (5, 12) and ranges.index_range(table, 2.0, 5.0, 10.0) == (0, 0)
+    n = spark.createDataFrame([("a", 40)], "recording_id string, n long")
+    gone = spark.createDataFrame([("a", 3, 5)], "recording_id string, start_idx long, end_idx long")
+    assert pairs(spectrum.clean_runs(n, gone, spark.createDataFrame([("a", 10)], "recording_id string, at long"))) == [(0, 3), (5, 10), (10, 40)]
+    assert sinks.csv_text(n).splitlines() == ["recording_id,n", "a,40"]
+    with pytest.raises(ValueError):
+        sinks.csv_text(spark.range(5), 4)
+
+
+def test_scores_of_each_recording(spark):
+    from tracelake.operators import scoring
+
+    kind = "recording_id string, id long, start double, end double, depth double, n_levels int, level_bounds array<double>"
+    truth = spark.createDataFrame([("a", 0, 0.0, 1.0, 10.0, 2, [0.5]), ("a", 1, 2.0, 3.0, 10.0, 1, []), ("b", 0, 0.0, 1.0, 5.0, 1, [])], kind)
+    det = spark.createDataFrame([("a", 0, 0.0, 1.1, 11.0, 2, [0.6]), ("a", 1, 5.0, 6.0, 1.0, 1, []), ("c", 0, 0.0, 1.0, 5.0, 1, [])], kind)
+    got = {r["recording_id"]: r for r in scoring.evaluate(truth, det, 1.0).collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a["tp"], a["recall"], a["precision"], a["f1"], a["f1_any"]) == (1, 0.5, 0.5, 0.5, 0.5)
+    assert a["dwell_err"] == pytest.approx(0.1) and a["depth_err"] == pytest.approx(0.1) and a["level_acc"] == 1.0 and a["bound_err_us"] == pytest.approx(1e5)
+    assert (b["tp"], b["recall"], b["precision"], b["f1"]) == (0, 0.0, 0.0, 0.0) and np.isnan(b["dwell_err"])
+    assert np.isnan(c["recall"]) and (c["precision"], c["f1"]) == (0.0, 0.0)
+
+
 def test_the_shared_folder_is_cleaned(spark):
     import os
 

@@ -126,7 +126,7 @@ def cluster(features: DataFrame, most: int = 10, concentration: float | None = N
     if n == 0:
         return features.withColumn("cluster_id", F.lit(None).cast("int")).withColumn("cluster_prob", F.lit(None).cast("double")), []
     if n < 3:
-        return features.withColumn("cluster_id", F.lit(0)).withColumn("cluster_prob", F.lit(1.0)), [{"cluster_id": 0, "n_events": n, "weight": 1.0, "mean": drawn.mean(axis=0).tolist()}]
+        return features.withColumn("cluster_id", F.lit(0)).withColumn("cluster_prob", F.lit(1.0)), [{"cluster_id": 0, "n_events": n, "weight": 1.0, "mean": drawn.mean(axis=0).tolist(), "std": drawn.std(axis=0).tolist()}]
     drawn = drawn[np.lexsort(drawn.T)]
     center, scale = drawn.mean(axis=0), drawn.std(axis=0)
     scale = np.where(scale == 0, 1.0, scale)
@@ -145,7 +145,7 @@ def cluster(features: DataFrame, most: int = 10, concentration: float | None = N
             yield part.assign(cluster_id=p.argmax(axis=1).astype("int32"), cluster_prob=p.max(axis=1))
 
     out = features.mapInPandas(assign, kind)
-    return out, [{"cluster_id": i, "weight": float(w), "mean": (fit.means[j] * scale + center).tolist()} for i, (j, w) in enumerate(zip(used, share, strict=True))]
+    return out, [{"cluster_id": i, "weight": float(w), "n_events": int(round(float(w) * n)), "mean": (fit.means[j] * scale + center).tolist(), "std": (np.sqrt(np.diag(fit.covariances[j])) * scale).tolist()} for i, (j, w) in enumerate(zip(used, share, strict=True))]
 
 
 def statistics_summary(events: DataFrame, seconds: float, draws: int = 3000, burn: int = 1000) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,15 +80,42 @@ def restore(events: DataFrame, table: DataFrame, rate: float) -> DataFrame:
         return got.withColumn(column, F.col("i0") + at - F.col("base") + offset).drop("range", "i0", "i1", "base")
 
     out = mapped(mapped(events, "start_idx", 0), "end_idx", 1)
+    if "sublevels" in out.columns:
+        every = table.agg(F.collect_list(F.struct("base", "i0", "i1")).alias("__ranges"))  # one row: the ranges that a user gave
+
+        def back(at: Column, offset: int) -> Column:
+            own = F.filter("__ranges", lambda r: (at - offset >= r["base"]) & (at - offset < r["base"] + r["i1"] - r["i0"]))[0]
+            return own["i0"] + at - own["base"]
+
+        moved = F.transform("sublevels", lambda s: s.withField("from_idx", back(s["from_idx"], 0)).withField("to_idx", back(s["to_idx"], 1)))
+        out = out.join(F.broadcast(every)).withColumn("sublevels", moved).drop("__ranges")
     return out.withColumn("start_time", F.col("start_idx") / rate).withColumn("end_time", F.col("end_idx") / rate)
 
 
 def shift(events: DataFrame, offset: int, rate: float) -> DataFrame:
-    """Events of a cropped signal in the recording's indices and times."""
+    """Events of a cropped signal, and their sub-levels, in the recording's indices and times."""
     moved = events.withColumn("start_idx", F.col("start_idx") + offset).withColumn("end_idx", F.col("end_idx") + offset)
+    if "sublevels" in moved.columns:
+        moved = moved.withColumn("sublevels", F.transform("sublevels", lambda s: s.withField("from_idx", s["from_idx"] + offset).withField("to_idx", s["to_idx"] + offset)))
     return moved.withColumn("start_time", F.col("start_idx") / rate).withColumn("end_time", F.col("end_idx") / rate)
 
 
+def times_of(samples: DataFrame, rate: float, table: DataFrame | None = None) -> DataFrame:
+    """samples with `time` in the recording's seconds; with a table of ranges, indices are those of the joined signal."""
+    if table is None:
+        return samples.withColumn("time", F.col("sample_idx") / rate)
+    at = F.col("sample_idx")
+    inside = (at >= F.col("base")) & (at < F.col("base") + F.col("i1") - F.col("i0"))
+    return samples.join(F.broadcast(table), inside).withColumn("time", (F.col("i0") + at - F.col("base")) / rate).drop("range", "i0", "i1", "base")
+
+
+def index_range(table: DataFrame, low: float, high: float, rate: float) -> tuple[int, int]:
+    """Indices [first, last) of the joined signal's samples whose times lie in [low, high); (0, 0) if there are none."""
+    first, last = F.greatest(F.col("i0"), F.ceil(F.lit(low * rate))), F.least(F.col("i1"), F.ceil(F.lit(high * rate)))
+    r = table.where(first < last).agg(F.min(F.col("base") + first - F.col("i0")).alias("a"), F.max(F.col("base") + last - F.col("i0")).alias("b")).first()
+    return (0, 0) if r["a"] is None else (int(r["a"]), int(r["b"]))
+
+
 def ranges_of(spark: SparkSession, ranges: list[tuple[float, float]]) -> DataFrame:
     return spark.createDataFrame([(float(a), float(b)) for a, b in ranges], "t0 double, t1 double")
 

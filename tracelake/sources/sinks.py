@@ -34,6 +34,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).mode("overwrite").csv(path)
 
 
+def csv_text(df: DataFrame, most: int = 1_000_000) -> str:
+    """A result table of up to `most` rows as the text of a CSV file; ValueError beyond."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them to files")
+    return rows.to_csv(index=False)
+
+
 def waveforms(samples: DataFrame, events: DataFrame, rate: float, padding_ms: float = 0.0) -> DataFrame:
     """time, signal, baseline and residual of each event with padding on both sides."""
     from tracelake.operators.events import contained
