@@ -113,15 +113,25 @@ NOISE_SPECTRUM = f"""WITH {USR}, sz AS (SELECT rec, max(i) + 1 AS n FROM usr GRO
     SELECT rec AS recording_id, k AS bin, round(k * 100.0 / 64, 5) AS freq, round(avg((c * c + s * s) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) / (100.0 * 24.0), 5) AS psd FROM ft GROUP BY rec, k"""
 
 #: Percentile 90, what lies within 5 noise levels, percentile 90 of that, what lies within again, median of that.
-CONTROL = f"""WITH {SIG}, {percentile_window("sig", 25, 90.0, "v", "p1")},
+CONTROL_STEPS = f"""{SIG}, {percentile_window("sig", 25, 90.0, "v", "p1")},
 s1 AS (SELECT i, v, v - avg(b) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS r FROM p1), n1 AS (SELECT 1.4826 * median(abs(r - (SELECT median(r) FROM s1))) AS n FROM s1),
 k1 AS (SELECT i, v, CASE WHEN abs(r) < 5.0 * n THEN v END AS w FROM s1 CROSS JOIN n1), {percentile_window("k1", 25, 90.0, "w", "p2")}, z1 AS (SELECT quantile_disc(w, 0.5 ORDER BY w DESC) AS z FROM k1),
 s2 AS (SELECT i, v, v - avg(coalesce(b, z)) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS r FROM p2 CROSS JOIN z1), m2 AS (SELECT s2.i, s2.v, r, w IS NOT NULL AS k FROM s2 JOIN k1 USING (i)),
 n2 AS (SELECT 1.4826 * median(abs(r - (SELECT median(r) FROM m2 WHERE k))) AS n FROM m2 WHERE k),
 k2 AS (SELECT i, v, CASE WHEN abs(r) < 5.0 * n THEN v END AS w FROM s2 CROSS JOIN n2), {percentile_window("k2", 25, 50.0, "w", "p3")}, z2 AS (SELECT quantile_disc(w, 0.5 ORDER BY w DESC) AS z FROM k2),
 s3 AS (SELECT i, v, avg(coalesce(b, z)) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS l FROM p3 CROSS JOIN z2), m3 AS (SELECT s3.i, s3.v - l AS r, l, w IS NOT NULL AS k FROM s3 JOIN k2 USING (i)),
-n3 AS (SELECT 1.4826 * median(abs(r - (SELECT median(r) FROM m3 WHERE k))) AS n FROM m3 WHERE k)
-SELECT 'events' AS recording_id, round((SELECT n FROM n3), 4) AS noise_std, round(avg(l), 4) AS baseline_mean, round(stddev_pop(l), 4) AS baseline_std, count(*) AS n_samples FROM m3"""
+n3 AS (SELECT 1.4826 * median(abs(r - (SELECT median(r) FROM m3 WHERE k))) AS n FROM m3 WHERE k)"""
+CONTROL = f"""WITH {CONTROL_STEPS} SELECT 'events' AS recording_id, round((SELECT n FROM n3), 4) AS noise_std, round(avg(l), 4) AS baseline_mean, round(stddev_pop(l), 4) AS baseline_std, count(*) AS n_samples FROM m3"""
+
+
+def plan_events(way: str) -> str:
+    """Events of one direction beyond 25 from the refined baseline: gap 1, three samples."""
+    mask = "r < -25.0" if way == "down" else "r > 25.0"
+    return ", ".join([runs("q3", mask, f"r_{way}"), merged(f"r_{way}", 1, f"m_{way}"), f"l_{way} AS (SELECT * FROM m_{way} WHERE e - s >= 3)", f"x_{way} AS ({stats('q3', f'l_{way}', 1.0, 'l', 'r')})"])
+
+
+PLAN_EVENTS = f"""WITH {CONTROL_STEPS}, q3 AS (SELECT i, l + r AS v, l, r FROM m3), {plan_events("up")}, {plan_events("down")}
+SELECT {event_columns(1.0)}, 1 AS n_levels, 'single_level' AS event_type, 'up' AS direction FROM x_up UNION ALL SELECT {event_columns(1.0)}, 1, 'single_level', 'down' FROM x_down"""
 
 
 def greedy(least: float, name: str = "gm") -> str:
@@ -151,6 +161,7 @@ PARTITION = f"""WITH RECURSIVE {USR}, ps AS (SELECT rec, i, sum(v) OVER w AS a,
 ORACLES: dict[str, str] = {
     "pelt_changepoints": PARTITION,
     "control_stats": CONTROL,
+    "plan_events": PLAN_EVENTS,
     "suggest_figures": f"""WITH {SIG}, d AS (SELECT abs(v - lag(v) OVER (ORDER BY i)) AS d FROM sig WHERE i < 100000), f AS (SELECT (SELECT median(d) * 1.4826 / sqrt(2) FROM d WHERE d IS NOT NULL) AS noise, quantile_cont(v, 0.01) AS low, quantile_cont(v, 0.99) AS high, count(*) AS n FROM sig WHERE i < 500000)
         SELECT 'events' AS recording_id, round(noise, 6) AS noise, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN noise / (high - low) < 0.05 THEN 5.0 WHEN noise / (high - low) < 0.15 THEN 3.0 ELSE 2.0 END::DOUBLE AS n_sigma,
             round(least(5.0, greatest(1.0, 0.1 * n / 100.0))::DOUBLE, 6) AS window_sec, 0.15::DOUBLE AS merge_gap_sec, 5 AS components FROM f""",

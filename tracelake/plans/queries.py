@@ -113,6 +113,19 @@ def control_stats(spark, d):
     return rounded(control_statistics(event_signal(spark, d), 1.0, config), 4)
 
 
+def plan_events(spark, d):
+    """The detection plan over chunks with a given threshold: refined baseline, runs, merging, statistics, both directions."""
+    from tracelake.operators import chunked
+    from tracelake.plans.pipeline import detected
+
+    window = 51
+    grid = chunked.Layout(2048, window // 2)
+    chunks = layout.settled(chunked.to_chunks(event_signal(spark, d), grid.size, grid.halo))
+    level = layout.settled(chunked.estimate_baseline(chunks, grid, window, 1))
+    cut = spark.createDataFrame([("events", -25.0, None, None)], "recording_id string, threshold double, open_mean double, open_std double")
+    return rounded(detected(level, grid, window, 1.0, cut, BOTH, 3, 1))
+
+
 def suggest_figures(spark, d):
     """Settings suggested from the noise floor and the 1st and 99th percentile of the first samples: a row per recording."""
     s = event_signal(spark, d).where("sample_idx < 500000")
@@ -549,7 +562,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         noise_mad, noise_std, noise_floor_diff, robust_noise_std, find_runs, merge_intervals, event_stats, hysteresis_events,
         baseline_percentile_direct, baseline_smooth, baseline_masked_fallback, baseline_sparse_interp, residual_within,
-        block_median_baseline, control_stats, suggest_figures, detrend_linear, pipeline_min, crop_range, keep_ranges,
+        block_median_baseline, control_stats, plan_events, suggest_figures, detrend_linear, pipeline_min, crop_range, keep_ranges,
         normalise_ranges, concat_ranges, nan_gaps, restore_mapped, lowpass_bessel, lowpass_butter, minmax_downsample,
         residual_histogram, dwell_log_histogram, events_table, stride_preview, thin_samples, iou_pairs, any_overlap,
         greedy_match, metrics_prf, nearest_start_asof, clean_runs, event_waveforms, first_events, windowed_view, raw_round_trip, events_csv, welch_psd, cumulative_rms, band_rms, f3db,
