@@ -26,7 +26,7 @@ MARK = "▁"
 #: Kinds of a piece and of a model in the protobuf; fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: One text in so many, drawn by its checksum, is compared with the sentencepiece library.
 PARITY = 32
 
@@ -224,7 +224,8 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
-        trim()
+                del columns, codes, whole, back, flat, fallback
+            trim()
 
     spark_type = "id long, n_tokens long, n_fallback long, ids_crc32 long, back_crc32 long, round_trip boolean" + (", ids array<int>" if ids else "")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, spark_type).withColumnRenamed("id", id_col)

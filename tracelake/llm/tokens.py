@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 #: Bytes of words and ids that a worker remembers, about, before it starts anew.
 REMEMBERED_BYTES = 128 << 20
-#: What an entry of the memory takes beside its word and ids.
-ENTRY = 120
+#: What an entry of the memory takes beside its word and ids: string, dictionary and list entries, two numbers.
+ENTRY = 200
 TOGETHER = 100
 
 _kept: dict[tuple, object] = {}
