@@ -28,7 +28,7 @@ MASK = 0xA282EAD8
 HEAD = 12
 TAIL = 4
 #: Bytes of texts that are encoded at once, and of records that one task of a reader takes, about.
-SLICE = 2 << 20
+SLICE = 8 << 20
 STRETCH = 16 << 20
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("length", "<u8")])
 MANIFEST = "part long, path string, first long, n_records long, n_ids long, n_bytes long"

@@ -22,7 +22,10 @@ import pyarrow.compute as pc
 REMEMBERED_BYTES = 128 << 20
 #: What an entry of the memory takes beside its word and ids: string, dictionary and list entries, two numbers.
 ENTRY = 200
-TOGETHER = 100
+TOGETHER = 500
+#: Bits by which a word's first sight is noted; a word is remembered from its second on.
+SIGHTS = 1 << 24
+MISS = 1 << 60
 
 _kept: dict[tuple, object] = {}
 
@@ -63,14 +66,7 @@ class WordEncoder:
         self.sizes: list[int] = []
         self.parts: list[bytes] = []
         self.held = 0
-        self._table()
-
-    def _table(self) -> None:
-        self.known = np.frombuffer(b"".join(self.parts), self.kind)
-        self.parts = [self.known.tobytes()]
-        self.size = np.array(self.sizes, dtype=np.int64)
-        self.start = np.cumsum(np.abs(self.size)) - np.abs(self.size)
-        self.start[self.size < 0] = 0
+        self.sights, self.noted = bytearray(SIGHTS), 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,27 +88,44 @@ class WordEncoder:
                 sizes.append(np.array([len(c) for c in one], dtype=np.int64))
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def _places(self, words: list[str], way: int) -> np.ndarray:
-        """Place of each distinct word among the known ones; words that are not to be taken alone have a negative size there."""
-        have = self.place[way]
-        new = [w for w in words if w not in have]
-        if new:
-            odd = [w for w in new if not w or w.strip() != w or (self.space != " " and self.space in w)]
-            plain = new
-            if odd:
-                left_out = set(odd)
-                plain = [w for w in new if w not in left_out]
-            if way:
-                codes = self._direct(plain)
-                ids, sizes = np.frombuffer(b"".join(codes), self.kind), np.array([len(c) // int(self.kind[-1]) for c in codes], dtype=np.int64)
-            else:
-                ids, sizes = self._after(plain)
-            at = len(self.sizes)
-            have.update(zip((*plain, *odd), range(at, at + len(new)), strict=True))
-            self.sizes += [*sizes.tolist(), *([-1] * len(odd))]
-            self.parts += [ids.tobytes(), b"\0" * (int(self.kind[-1]) * len(odd))]
-            self.held += sum(map(len, new)) + len(self.parts[-2]) + ENTRY * len(new)
-        return np.fromiter(map(have.__getitem__, words), np.int64, len(words))
+    def _places(self, words: list[str], way: int, passing: tuple[list[int], list[bytes]]) -> np.ndarray:
+        """Place of each distinct word: among the remembered ones, or, as -1 - place, among those of this call (`passing`: sizes
+        and ids). Words that are not to be taken alone have a negative size."""
+        have, get = self.place[way], self.place[way].get
+        place = np.fromiter((get(w, MISS) for w in words), np.int64, len(words))
+        at = np.flatnonzero(place == MISS)
+        if not len(at):
+            return place
+        new = [words[i] for i in at.tolist()]
+        odd = np.fromiter((not w or w.strip() != w or (self.space != " " and self.space in w) for w in new), bool, len(new))
+        plain = [w for w, o in zip(new, odd.tolist(), strict=True) if not o] if odd.any() else new
+        if way:
+            codes = self._direct(plain)
+            ids, sizes = np.frombuffer(b"".join(codes), self.kind), np.array([len(c) // int(self.kind[-1]) for c in codes], dtype=np.int64)
+        else:
+            ids, sizes = self._after(plain)
+        size = np.full(len(new), -1, dtype=np.int64)
+        size[~odd] = sizes
+        start = np.zeros(len(new), dtype=np.int64)
+        start[~odd] = np.cumsum(sizes) - sizes
+        mask, sights = SIGHTS - 1, self.sights
+        marks = [hash(w) & mask for w in new]
+        again = np.fromiter((sights[m] for m in marks), bool, len(new))
+        for m in marks:
+            sights[m] = 1
+        self.noted += len(new)
+        if self.noted > SIGHTS // 4:
+            self.sights, self.noted = bytearray(SIGHTS), 0
+        kept_, rest = np.flatnonzero(again), np.flatnonzero(~again)
+        have.update(zip([new[i] for i in kept_.tolist()], range(len(self.sizes), len(self.sizes) + len(kept_)), strict=True))
+        place[at[kept_]] = np.arange(len(self.sizes), len(self.sizes) + len(kept_))
+        self.held += sum(len(new[i]) for i in kept_.tolist()) + int(np.abs(size[kept_]).sum()) * ids.itemsize + ENTRY * len(kept_)
+        place[at[rest]] = -1 - np.arange(len(passing[0]), len(passing[0]) + len(rest))
+        for own, sizes_, parts in ((kept_, self.sizes, self.parts), (rest, *passing)):
+            n = np.maximum(size[own], 0)
+            sizes_ += size[own].tolist()
+            parts.append(gather(ids, start[own], n).tobytes())
+        return place
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
@@ -131,14 +144,17 @@ class WordEncoder:
             way[line_at[text_at[:-1]]] = 0
         coded = words.values.dictionary_encode()
         number, distinct = coded.indices.to_numpy(), coded.dictionary
-        place = np.empty(len(way), dtype=np.int64)
+        place, passing = np.empty(len(way), dtype=np.int64), ([], [])
         for w in (0, 1):
             mine = np.flatnonzero(way == w)
             used, inverse = np.unique(number[mine], return_inverse=True)
-            place[mine] = self._places(distinct.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist(), w)[inverse]
-        self._table()
-        size = self.size[place]
-        start, known = self.start[place], self.known
+            place[mine] = self._places(distinct.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist(), w, passing)[inverse]
+        self.parts = [b"".join(self.parts)]
+        known = np.frombuffer(b"".join((*self.parts, *passing[1])), self.kind)
+        sizes = np.array(self.sizes + passing[0], dtype=np.int64)
+        starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        place = np.where(place < 0, len(self.sizes) - 1 - place, place)
+        size, start = sizes[place], starts[place]
         breaks = np.where(opens, len(self.newline), 0)
         first = line_at[text_at]  # first word of each text
         odd = np.add.reduceat(np.append(size < 0, False), first)[:-1] > 0 if len(column) else np.zeros(0, bool)
