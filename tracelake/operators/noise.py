@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators import quantiles
 from tracelake.operators.layout import lagged
 from tracelake.operators.quantiles import medians
 
@@ -20,7 +21,10 @@ def finite(column: str):
 
 def deviation(samples: DataFrame, column: str = "value", by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """(by, center, mad): median, and median of the absolute deviations from it."""
-    own = samples.where(finite(column))
+    own = samples.where(finite(column)).select(*by, column)
+    if quantiles.small(own, by):
+        middle = own.groupBy(*by).agg(F.median(column).alias("center"))
+        return own.join(middle, list(by)).groupBy(*by).agg(F.first("center").alias("center"), F.median(F.abs(F.col(column) - F.col("center"))).alias("mad"))
     center = medians(own, F.col(column), by, "center")
     off = own.join(center, list(by))
     return center.join(medians(off, F.abs(F.col(column) - F.col("center")), by, "mad"), list(by))

@@ -39,14 +39,20 @@ def order_statistics(values: DataFrame, by: tuple[str, ...], ranks: dict[str, Co
     return every.groupBy(*own).agg(*(F.max(F.when(F.col("name") == name, F.col("found"))).alias(name) for name in ranks))
 
 
+def small(values: DataFrame, by: tuple[str, ...]) -> bool:
+    """Whether every group is small; the number of all rows, which is cheap to have, often tells."""
+    if values.count() <= SMALL:
+        return True
+    return (values.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SMALL
+
+
 def medians(values: DataFrame, column: Column, by: tuple[str, ...] = ("recording_id",), name: str = "median") -> DataFrame:
     """(by, name): exact median of a column's values per group, nulls and NaN left out; groups without values have no row.
 
     Small groups take the built-in aggregate. That is a choice of plan alone: the results are the same.
     """
     v = values.select(*by, column.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    largest = v.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= SMALL:
+    if small(v, by):
         return v.groupBy(*by).agg(F.median("v").alias(name))
     n = F.col("n")
     both = order_statistics(v, by, {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2)})
@@ -56,7 +62,6 @@ def medians(values: DataFrame, column: Column, by: tuple[str, ...] = ("recording
 def upper_medians(values: DataFrame, column: Column, name: str, by: tuple[str, ...] = ("recording_id",)) -> DataFrame:
     """(by, name): the upper of the middle values per group."""
     v = values.select(*by, column.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    largest = v.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= SMALL:
+    if small(v, by):
         return v.groupBy(*by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC)").alias(name))
     return order_statistics(v, by, {name: F.floor(F.col("n") / 2)})
