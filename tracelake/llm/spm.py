@@ -26,7 +26,9 @@ MARK = "▁"
 #: Kinds of a piece and of a model in the protobuf; fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Bytes of words that a worker remembers: ids go out as arrays here, which take memory of their own.
+REMEMBERED = 40 << 20
 #: One text in so many, drawn by its checksum, is compared with the sentencepiece library.
 PARITY = 32
 
@@ -151,7 +153,7 @@ class SpmEncoder:
         by_word = m.kind == BPE and not m.charsmap and not m.trim and m.escape and m.dummy_prefix and not alone
         if by_word:
             starts = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
-            self.words = WordEncoder(m.tokenizer(whole=False), MARK, starts, self.kind, prefix=True, threads=threads)
+            self.words = WordEncoder(m.tokenizer(whole=False), MARK, starts, self.kind, prefix=True, threads=threads, remembered=REMEMBERED)
         else:
             self.words = WordEncoder(m.tokenizer(), " ", np.zeros(len(self.bytes), bool), self.kind, prefix=False, threads=threads, by_word=False)
 

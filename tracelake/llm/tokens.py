@@ -24,7 +24,7 @@ REMEMBERED_BYTES = 128 << 20
 ENTRY = 200
 TOGETHER = 500
 #: Bits by which a word's first sight is noted; a word is remembered from its second on.
-SIGHTS = 1 << 24
+SIGHTS = 1 << 22
 MISS = 1 << 60
 
 _kept: dict[tuple, object] = {}
@@ -53,10 +53,11 @@ class WordEncoder:
     starts with the blank; by_word: False if words may not be taken alone; added: strings that the model takes whole.
     """
 
-    def __init__(self, model, space: str, starts: np.ndarray, kind: str, prefix: bool, threads: int = 1, by_word: bool = True, added: tuple[str, ...] = ()):
+    def __init__(self, model, space: str, starts: np.ndarray, kind: str, prefix: bool, threads: int = 1, by_word: bool = True, added: tuple[str, ...] = (), remembered: int = REMEMBERED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model, self.space, self.starts, self.kind, self.prefix, self.by_word, self.added = model, space, starts, kind, prefix, by_word, added
+        self.remembered = remembered
         self.newline = np.frombuffer(self._direct(["\n"])[0], kind)
         self._forget()
 
@@ -170,7 +171,7 @@ class WordEncoder:
             which = np.flatnonzero(odd)
             for i, code in zip(which.tolist(), self._direct([self.whole(column[i].as_py()) for i in which.tolist()]), strict=True):
                 out[i] = code
-        if self.held > REMEMBERED_BYTES:
+        if self.held > self.remembered:
             self._forget()
         return out
 
