@@ -44,7 +44,7 @@ ROW = 80
 CHUNK = 1 << 16
 KEY_SHIFT = np.uint64(16)
 #: Windows that are sorted at once; more are first parted by a hash of their first bytes.
-SORTED = 1 << 17
+SORTED = 1 << 16
 #: Blocks that have a trigger from which on it is hot: its phrases are dealt window by window.
 HOT_BLOCKS = 256
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0x7FEB352D)
@@ -339,7 +339,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if a < b:
                 yield d, _phrase_message(count[a:b], text[a:b], least[a:b])
 
-    deals_two = deals_of(packed, 1.0)
+    deals_two = deals_of(packed, 2.0)
     known = exchange(packed, deals_two, send_phrases, _merge_phrases, "phrases")
     kind = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("text", pa.string())] if texts else []), *([("carry", pa.string())] if carry else [])])
 

@@ -156,6 +156,7 @@ class SpmEncoder:
             self.words = WordEncoder(m.tokenizer(whole=False), MARK, starts, self.kind, prefix=True, threads=threads, remembered=REMEMBERED)
         else:
             self.words = WordEncoder(m.tokenizer(), " ", np.zeros(len(self.bytes), bool), self.kind, prefix=False, threads=threads, by_word=False)
+        trim()
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         return [code if text else b"" for text, code in zip(texts if isinstance(texts, list) else texts.to_pylist(), self.words.encode(texts), strict=True)]
