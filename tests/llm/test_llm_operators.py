@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -9,10 +10,11 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import fingerprint, fm, graph, lm, mixing, neardup, passages, queries, records, rules, spm, tokens, warc
+from tracelake.llm import blocks, fingerprint, fm, graph, lm, mixing, neardup, passages, queries, records, rules, spm, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, id string, band long, n_words string"
@@ -543,6 +545,19 @@ def test_passages_without_repeats(spark, texts):
     assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["text"]) for r in got} == {i: (0, 0, t or "") for i, t in enumerate(texts)}
 
 
+def test_blocks_of_texts_stay_out_of_the_jvm(spark, docs, rows):
+    """Rows of a packed table name blocks of any size; their files give every row back."""
+    packed = blocks.pack(docs, "doc_id", "text", block_bytes=2000, carry=["source"])
+    found = packed.collect()
+    assert len(found) > 1 and max(len(str(tuple(r))) for r in found) < 500
+    batch = pa.Table.from_pylist([r.asDict() for r in found]).combine_chunks().to_batches()[0]
+    got = []
+    for _, ids, offsets, data, carry in blocks.unpack(batch):
+        got += [(int(i), data[a:b].tobytes().decode(), json.loads(c).get("source")) for i, a, b, c in zip(ids, offsets[:-1], offsets[1:], carry.to_pylist(), strict=True)]
+    want = [(r["doc_id"], r["text"] or "", r["source"]) for r in docs.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(rows)
+
+
 def test_hot_triggers_are_dealt_by_windows(spark, docs, monkeypatch):
     """The same bytes go where a trigger's phrases are sent window by window, and where windows are sorted in parts."""
     want = sorted(map(str, passages.remove_passages(docs).collect()))

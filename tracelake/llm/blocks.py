@@ -1,7 +1,8 @@
 """Blocks of whole texts, and exchanges of keys between blocks.
 
-pack() writes the texts as blocks of some megabytes, each one row of a table in the shared folder: a block is the durable unit
-that both sends keys and gets replies. exchange() deals every block's distinct keys to hash ranges ("deals"), merges
+pack() writes the texts as blocks of some megabytes, each one file in the shared folder: a block is the durable unit that both
+sends keys and gets replies. Python workers write and read these files themselves and only their names are rows, since rows
+of megabytes cost the JVM several times their size in column vectors, Arrow buffers and humongous objects. exchange() deals every block's distinct keys to hash ranges ("deals"), merges
 them there over all blocks, and writes the replies as one file per block. A key occurs at most once per block, so a frequent
 key cannot load one task: each deal gets one entry of it per block. All steps can be run again after a lost executor.
 """
@@ -25,13 +26,17 @@ BLOCK_BYTES = 4 << 20
 DEAL_BYTES = 6 << 20
 #: Integers below which a message is not deflated.
 FEW = 64
-PACKED = "block long, ids binary, offsets binary, data binary, n_bytes long, carry array<string>"
+#: Bytes of messages that go to the JVM at once, about.
+BATCH_OUT = 1 << 20
+#: Blocks of one task.
+BLOCKS_A_TASK = 2
+PACKED = "block long, folder string, n_bytes long"
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """A written table of blocks: document ids (64 bits; null as the smallest), offsets, texts one after the other, and the
-    columns of `carry` as one JSON string per row."""
-    prepare(docs.sparkSession)
+    """A table of blocks, whose files hold document ids (64 bits; null as the smallest), offsets, texts one after the other, and
+    the columns of `carry` as one JSON string per row."""
+    folder = scratch(prepare(docs.sparkSession), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts, sizes, extra, held = [], [], [], [], 0
@@ -40,7 +45,13 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
             data = np.concatenate(parts)
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
             name = uuid.uuid4().int >> 65
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate(ids).astype("<i8"), offsets, data)), pa.array([len(data)], pa.int64()), pa.array([extra], pa.list_(pa.string()))], names=["block", "ids", "offsets", "data", "n_bytes", "carry"])
+            columns = [pa.array(np.concatenate(ids).astype("<i8")), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])]
+            rows = pa.RecordBatch.from_arrays([*columns, *([pa.array(extra, pa.string())] if carry else [])], names=["ids", "texts", *(["carry"] if carry else [])])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            put_bytes(folder, f"{name}.block", sink.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([folder]), pa.array([len(data)], pa.int64())], names=["block", "folder", "n_bytes"])
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
@@ -58,18 +69,25 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
                 if held >= block_bytes:
                     yield block()
                     ids, parts, sizes, extra, held = [], [], [], [], 0
+                    trim()
         if ids:
             yield block()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.to_json(F.struct(*carry)).alias("carry")] if carry else []))
-    return written(rows.mapInArrow(run, PACKED), "blocks")
+    table = written(rows.mapInArrow(run, PACKED), "blocks")
+    return table.repartition(max(1, -(-table.count() // BLOCKS_A_TASK)))
 
 
-def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, ids, offsets, data) of each row of a packed table."""
-    for n in range(batch.num_rows):
-        ids, offsets, data = (np.frombuffer(batch.column(c)[n].as_buffer(), t) for c, t in (("ids", "<i8"), ("offsets", "<i8"), ("data", np.uint8)))
-        yield batch.column("block")[n].as_py(), ids, offsets, data
+def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array | None]]:
+    """(block, ids, offsets, data, carry) of each block of a packed table; one at a time is in memory."""
+    for block, folder in zip(batch.column("block").to_pylist(), batch.column("folder").to_pylist(), strict=True):
+        if (raw := get_bytes(folder, f"{block}.block")) is None:
+            raise FileNotFoundError(f"{folder}/{block}.block")
+        rows = pa.ipc.open_stream(raw).read_next_batch()
+        del raw
+        data, offsets = text_bytes(rows.column("texts"))
+        yield block, rows.column("ids").to_numpy(), offsets, data, rows.column("carry") if rows.num_columns > 2 else None
+        del rows, data, offsets
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -137,13 +155,22 @@ def exchange(
     spark = packed.sparkSession
     folder = scratch(spark, name)
 
+    def sending(block: int, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], names=["deal", "block", "message"])
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, ids, offsets, data in unpack(batch):
-                found = list(send(block, ids, offsets, data, deals))
+            for block, ids, offsets, data, _ in unpack(batch):
+                found, held = [], 0
+                for deal, message in send(block, ids, offsets, data, deals):
+                    found.append((deal, message))
+                    held += len(message)
+                    if held >= BATCH_OUT:
+                        yield sending(block, found)
+                        found, held = [], 0
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], names=["deal", "block", "message"])
-                    del found
+                    yield sending(block, found)
+                del ids, offsets, data, found
                 trim()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,8 +162,11 @@ def _strided(data: np.ndarray, pad: int, width: int) -> np.ndarray:
 
 def _rows(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Phrases as rows of ROW bytes, padded with zeros."""
-    out = _strided(data, ROW, ROW)[first]
-    out[np.arange(ROW, dtype=np.int16) >= (count + PASSAGE - 1).astype(np.int16)[:, None]] = 0
+    source, out = _strided(data, ROW, ROW), np.empty((len(first), ROW), np.uint8)
+    for c in range(0, len(first), CHUNK):
+        some = out[c : c + CHUNK]
+        some[:] = source[first[c : c + CHUNK]]
+        some[np.arange(ROW, dtype=np.int16) >= (count[c : c + CHUNK] + PASSAGE - 1).astype(np.int16)[:, None]] = 0
     return out
 
 
@@ -178,13 +181,20 @@ def _equal_rows(key: np.ndarray, count: np.ndarray, text: np.ndarray) -> tuple[n
     for c in range(word.shape[1]):
         mark = H.mix(mark + word[:, c])
     order = np.argsort(mark)
-    same = mark[order[1:]] == mark[order[:-1]]
+    mark = mark[order]
+    same = mark[1:] == mark[:-1]
+    del mark
     near = np.flatnonzero(same)
-    a, b = order[near], order[near + 1]
-    if not ((key[a] == key[b]) & (count[a] == count[b]) & (word[a] == word[b]).all(axis=1)).all():
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (key[a] == key[b]) & (count[a] == count[b])
+        for c in range(word.shape[1]):
+            out &= word[a, c] == word[b, c]
+        return out
+
+    if not alike(order[near], order[near + 1]).all():
         order = np.lexsort((*(word[:, c] for c in range(word.shape[1])), count, key))
-        a, b = order[:-1], order[1:]
-        same = (key[a] == key[b]) & (count[a] == count[b]) & (word[a] == word[b]).all(axis=1)
+        same = alike(order[:-1], order[1:])
     head = np.concatenate([np.ones(min(1, len(order)), bool), ~same])
     one = order[head]
     rank = np.argsort(key[one], kind="stable")
@@ -208,23 +218,29 @@ def _single(data, first, count, key, hot):
     return first[order], np.concatenate([count[~hot], np.ones(len(start), count.dtype)])[order], np.concatenate([key[~hot], own >> KEY_SHIFT])[order]
 
 
-def _distinct_phrases(data, offsets, ids, shared_keys, hot_keys):
+def _distinct_phrases(data, offsets, ids, marks):
     """Phrases of shared triggers, and their distinct ones ordered by key.
 
-    Gives first, count, row, place (of each phrase among the distinct), and key, length, bytes, smallest id per distinct one.
+    marks(ascending distinct keys) tells which of them are shared, and which hot. Gives first, count, row, place (of each phrase
+    among the distinct), and key, length, smallest id per distinct one; then the bytes of all phrases, and which of these rows
+    are the distinct ones: a copy of the rows would be as large again.
     """
     first, count, trigger = phrases(data, offsets)
     key = trigger_keys(data, trigger) >> KEY_SHIFT
-    use = np.isin(key, shared_keys)
-    first, count, key = first[use], count[use], key[use]
-    if len(hot_keys) and (hot := np.isin(key, hot_keys)).any():
+    del trigger
+    unique, back = np.unique(key, return_inverse=True)
+    shared, hot = marks(unique)
+    use, hot = shared[back], hot[back]
+    del unique, back
+    first, count, key, hot = first[use], count[use], key[use], hot[use]
+    if hot.any():
         first, count, key = _single(data, first, count, key, hot)
     row = np.searchsorted(offsets, first, side="right") - 1
     text = _rows(data, first, count)
     one, place = _equal_rows(key, count, text)
     least = np.full(len(one), 2**63 - 1, dtype=np.int64)
     np.minimum.at(least, place, ids[row])
-    return first, count, row, place, key[one], count[one], text[one], least
+    return first, count, row, place, key[one], count[one], least, text, one
 
 
 def _phrase_message(count: np.ndarray, text: np.ndarray, least: np.ndarray) -> bytes:
@@ -323,21 +339,23 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = exchange(packed, deals_of(packed, 0.4), send_triggers, _merge_triggers, "triggers")
     deals_one = deals_of(packed, 0.4)
 
-    def shared_of(block, data, offsets):
-        _, _, trigger = phrases(data, offsets)
-        keys = np.unique(trigger_keys(data, trigger) >> KEY_SHIFT)
-        got, shared, hot = replies(seen, block), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for d, (a, b) in enumerate(zip((cut := _cuts(keys, deals_one)), cut[1:], strict=False)):
-            if a < b:
-                shared.append(keys[a:b][_flags(got[d], b - a)])
-                hot.append(keys[a:b][_flags(got[d][(b - a + 7) // 8 :], b - a)])
-        return np.concatenate(shared), np.concatenate(hot)
+    def marks_of(block):
+        def marks(keys):
+            got, shared, hot = replies(seen, block), [np.zeros(0, bool)], [np.zeros(0, bool)]
+            for d, (a, b) in enumerate(zip((cut := _cuts(keys, deals_one)), cut[1:], strict=False)):
+                if a < b:
+                    shared.append(_flags(got[d], b - a))
+                    hot.append(_flags(got[d][(b - a + 7) // 8 :], b - a))
+            return np.concatenate(shared), np.concatenate(hot)
+
+        return marks
 
     def send_phrases(block, ids, offsets, data, deals):
-        *_, key, count, text, least = _distinct_phrases(data, offsets, ids, *shared_of(block, data, offsets))
+        *_, key, count, least, text, one = _distinct_phrases(data, offsets, ids, marks_of(block))
+        del _
         for d, (a, b) in enumerate(zip((cut := _cuts(key, deals)), cut[1:], strict=False)):
             if a < b:
-                yield d, _phrase_message(count[a:b], text[a:b], least[a:b])
+                yield d, _phrase_message(count[a:b], text[one[a:b]], least[a:b])
 
     deals_two = deals_of(packed, 2.0)
     known = exchange(packed, deals_two, send_phrases, _merge_phrases, "phrases")
@@ -345,15 +363,18 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, (block, ids, offsets, data) in enumerate(unpack(batch)):
-                first, count, row, place, key, size, _, least = _distinct_phrases(data, offsets, ids, *shared_of(block, data, offsets))
+            for block, ids, offsets, data, more in unpack(batch):
+                first, count, row, place, key, size, least, text, one = _distinct_phrases(data, offsets, ids, marks_of(block))
+                del text, one
                 got, flags = replies(known, block), [np.zeros(0, bool)]
                 for d, (a, b) in enumerate(zip((cut := _cuts(key, deals_two)), cut[1:], strict=False)):
                     if a < b:
                         flags.append(_flags(got[d], int(size[a:b].sum())))
                 flag = np.concatenate(flags)
+                del got, flags
                 head = np.cumsum(size) - size
                 own = ids[row] > least[place]
+                del row, least
                 edge = np.zeros(len(data) + 1, dtype=np.int8)  # a byte lies in PASSAGE windows at most
                 for c in range(0, len(first), CHUNK):  # some phrases at a time: a position each takes eight bytes
                     each = count[c : c + CHUNK]
@@ -362,7 +383,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     start = (np.repeat(first[c : c + CHUNK], each) + inside)[gone]
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + PASSAGE, -1)
-                del key, size, flag, head, flags
+                del key, size, flag, head, own, first, count, place
                 covered = np.cumsum(edge[:-1], dtype=np.int8) > 0
                 sums = np.concatenate([[0], np.cumsum(covered, dtype=np.int32)])
                 opens = covered.copy()
@@ -383,9 +404,9 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if texts:
                     columns.append(pa.array(left, pa.string()))
                 if carry:
-                    columns.append(batch.column("carry")[n].values)
+                    columns.append(more)
                 yield pa.RecordBatch.from_arrays(columns, schema=kind)
-                del columns, left, marks
+                del columns, left, marks, covered, ids, offsets, data, more
                 trim()
 
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if texts else "") + (", carry string" if carry else "")
