@@ -114,6 +114,17 @@ def test_posteriors():
         bayes.capture_rate(1, 0)
 
 
+def test_dwell_mixture_of_counted_durations():
+    """Counts stand for repeated durations; millions of them take no longer than a few."""
+    t = np.round(np.concatenate([rng(1).exponential(2.0, 400), rng(2).exponential(200.0, 400)])) + 1
+    value, count = np.unique(t, return_counts=True)
+    rows, counted = bayes.dwell_mixture(t, draws=600, burn=200), bayes.dwell_mixture(value, draws=600, burn=200, counts=count)
+    assert rows.n_events == counted.n_events == 800 and rows.n_components == counted.n_components == 2
+    assert np.array_equal(rows.tau_mean, counted.tau_mean) and np.array_equal(rows.weights, counted.weights)
+    many = bayes.dwell_mixture(value, draws=600, burn=200, counts=count * 100_000)
+    assert many.n_events == 80_000_000 and np.allclose(many.tau_mean[[0, -1]], rows.tau_mean, rtol=0.5)
+
+
 def test_special_functions():
     assert special.digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649, abs=1e-9)
     assert special.gamma_cdf(special.gamma_quantile(0.3, 2.5, 1.0), 2.5) == pytest.approx(0.3)

@@ -14,6 +14,12 @@ SUBLEVEL = "recording_id string, event_start long, sublevel_idx int, level_index
 STATES = "recording_id string, event_start long, n_states int, state int, mean double, std double, dwell_mean double, n_runs int, log_likelihood double, bic double"
 
 
+def dealt(groups: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by key into as many parts as the session's shuffles have. Adaptive execution joins parts by their bytes, which
+    would put costly models of small groups into a few tasks; a number that is asked for stays."""
+    return groups.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _per_event(samples: DataFrame, events: DataFrame | None, column: str, kernel, schema: str) -> DataFrame:
     """events None: samples hold those of the events alone, with their start_idx."""
     ship(samples.sparkSession)
@@ -26,7 +32,7 @@ def _per_event(samples: DataFrame, events: DataFrame | None, column: str, kernel
         part = part.sort_values("sample_idx")
         return kernel(part["recording_id"].iloc[0], int(part["start_idx"].iloc[0]), part["x"].to_numpy())
 
-    return inside.groupBy("recording_id", "start_idx").applyInPandas(run, schema)
+    return dealt(inside, "recording_id", "start_idx").groupBy("recording_id", "start_idx").applyInPandas(run, schema)
 
 
 def _frame(schema: str, rows: list[tuple]) -> pd.DataFrame:
@@ -94,20 +100,25 @@ def thresholds(drawn: DataFrame, method: str, most: int, sign: float = 1.0, comp
 
 
 def dwell_posteriors(durations: DataFrame, by: str, draws: int = 3000, burn: int = 1000) -> DataFrame:
-    """Mixture of dwell times per group of a table (by, duration); groups under five durations are left out."""
+    """Mixture of dwell times per group of a table (by, duration); groups under five durations are left out.
+
+    A group's task gets each different duration once, with its count.
+    """
     ship(durations.sparkSession)
     schema = f"{by} string, component int, n_components int, tau_mean double, tau_lower double, tau_upper double, weight double, n_events long"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         from tracelake.functions.bayes import dwell_mixture
 
-        t = np.sort(part["duration"].to_numpy(float))
-        if (t > 0).sum() < 5:
+        part = part.sort_values("duration")
+        t, counts = part["duration"].to_numpy(float), part["count"].to_numpy()
+        if counts[t > 0].sum() < 5:
             return _frame(schema, [])
-        m = dwell_mixture(t, draws=draws, burn=burn)
+        m = dwell_mixture(t, draws=draws, burn=burn, counts=counts)
         return _frame(schema, [(part[by].iloc[0], i, m.n_components, m.tau_mean[i], m.tau_lower[i], m.tau_upper[i], m.weights[i], m.n_events) for i in range(m.n_components)])
 
-    return durations.select(F.col(by).cast("string").alias(by), F.col("duration").cast("double").alias("duration")).groupBy(by).applyInPandas(run, schema)
+    counted = durations.select(F.col(by).cast("string").alias(by), F.col("duration").cast("double").alias("duration")).groupBy(by, "duration").count()
+    return dealt(counted, by).groupBy(by).applyInPandas(run, schema)
 
 
 def cluster(features: DataFrame, most: int = 10, concentration: float | None = None, least: float = 2.0, sample: int = 20_000, seed: int = 0) -> tuple[DataFrame, list[dict]]:
