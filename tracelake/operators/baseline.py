@@ -12,8 +12,9 @@ from tracelake.operators import layout
 from tracelake.operators.noise import MAD_SCALE
 from tracelake.operators.quantiles import medians, upper_medians
 
-#: Samples times window beyond which only every window/4-th centre is worked out; fixed value.
-DIRECT = 10_000_000
+#: Widest window, in samples, that is worked out around every sample; for wider ones every window/4-th centre is. The window is a
+#: setting of the run, so no recording's baseline depends on how many samples it or another one has.
+DIRECT = 1024
 
 
 def nearest_rank(values: Column, percentile: float) -> Column:
@@ -107,17 +108,8 @@ def _running_mean(samples: DataFrame, h: int, column: str, chunk: int) -> DataFr
 
 
 def local_baseline(samples: DataFrame, window: int, percentile: float, mask: str | None = None) -> DataFrame:
-    """Adds the smoothed `baseline`, directly or at sparse centres: each recording as its own size asks."""
-    size = samples.groupBy("recording_id").agg(F.count("*").alias("__size"))
-    least, most = size.agg(F.min("__size"), F.max("__size")).first()
-    if (most or 0) * window <= DIRECT:
-        got = percentile_direct(samples, window, percentile, mask)
-    elif least * window > DIRECT:
-        got = percentile_sparse(samples, window, percentile, mask)
-    else:
-        sized, long = samples.join(size, "recording_id"), F.col("__size") * window > DIRECT
-        short = percentile_direct(sized.where(~long).drop("__size"), window, percentile, mask)
-        got = short.unionByName(percentile_sparse(sized.where(long).drop("__size"), window, percentile, mask))
+    """Adds the smoothed `baseline`, directly or at sparse centres as the window asks."""
+    got = (percentile_direct if window <= DIRECT else percentile_sparse)(samples, window, percentile, mask)
     return smooth(got, window)
 
 

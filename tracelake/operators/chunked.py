@@ -126,13 +126,13 @@ def _mapped(chunks: DataFrame, layout: Layout, window: int, kernel: Callable[[Pi
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "int": pa.int32(), "boolean": pa.bool_()}
     form = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
-    limit = DIRECT
+    direct = window <= DIRECT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                found = kernel(Piece(row, layout, window, row["n"] * window <= limit))
+                found = kernel(Piece(row, layout, window, direct))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, form.field(n).type) for n, c in zip(names, zip(*found, strict=True), strict=True)], schema=form)
 
@@ -392,13 +392,13 @@ def rows_of(level: DataFrame, layout: Layout, window: int, spans: DataFrame | No
     end_idx), each once per span with its start_idx and end_idx."""
     kind = "recording_id string, sample_idx long, value double, baseline double, residual double" + (", start_idx long, end_idx long" if spans is not None else "")
     names = [f.split()[0] for f in kind.split(", ")]
-    limit, some = DIRECT, spans is not None
+    direct, some = window <= DIRECT, spans is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                p = Piece(row, layout, window, row["n"] * window <= limit)
+                p = Piece(row, layout, window, direct)
                 x, line = p.x[p.own], p.line("base", p.own)
                 r = x - line
                 line = line + (np.frombuffer(row["trend"])[p.own] if row["trend"] is not None else 0.0)
