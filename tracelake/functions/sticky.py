@@ -8,7 +8,7 @@ inverse-gamma prior), and the whole path by backward messages and forward sampli
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -20,31 +20,16 @@ TINY = 1e-12
 
 @dataclass(frozen=True)
 class Prior:
-    """Concentrations of rows and of shared weights, extra mass of self-transitions, and the emissions' hyperparameters."""
+    """Concentrations of rows and of shared weights, extra mass of self-transitions, and the emissions' hyperparameters but for their
+    center and scale, which are each event's own."""
 
     row: float
     shared: float
     stay: float
-    center: float
-    scale: float
     strength: float = 0.01
     shape: float = 1.0
 
 
-@dataclass
-class Draw:
-    """Emissions and transitions of the states that a sweep uses, and the joint log-density of path and signal."""
-
-    means: np.ndarray
-    variances: np.ndarray
-    rows: np.ndarray
-    density: float
-    used: int = field(init=False)
-
-    def __post_init__(self):
-        self.used = len(self.means)
-
-
 def _normal_rows(a: np.ndarray) -> np.ndarray:
     return a / a.sum(axis=-1, keepdims=True)
 
@@ -53,67 +38,134 @@ def transition_counts(path: np.ndarray, states: int) -> np.ndarray:
     return np.bincount(path[:-1] * states + path[1:], minlength=states * states).reshape(states, states)
 
 
-def tables(counts: np.ndarray, weights: np.ndarray, prior: Prior, rng: np.random.Generator) -> np.ndarray:
-    """Tables that serve each state's dish in each restaurant, without those that the self-transition mass accounts for."""
-    states = len(weights)
-    mass = (prior.row * weights + prior.stay * np.eye(states)).ravel()
-    cell = np.repeat(np.arange(states * states), counts.ravel())
-    customer = np.arange(len(cell)) - np.repeat(np.cumsum(counts.ravel()) - counts.ravel(), counts.ravel())
-    opened = rng.random(len(cell)) < mass[cell] / (mass[cell] + customer)
-    found = np.bincount(cell, opened, states * states).astype(int).reshape(states, states)
-    share = prior.stay / (prior.stay + prior.row)
-    overridden = rng.binomial(found.diagonal(), share / (share + weights * (1.0 - share)))
-    return found - np.diag(overridden)
-
-
-def emissions(x: np.ndarray, path: np.ndarray, states: int, prior: Prior, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(means, variances) from the posterior of every state; empty states draw from the prior."""
-    n = np.bincount(path, minlength=states)
-    average = np.bincount(path, x, states) / np.maximum(n, 1)
-    within = np.bincount(path, (x - average[path]) ** 2, states)
-    strength = prior.strength + n
-    between = prior.strength * n / strength * (average - prior.center) ** 2
-    variances = (prior.scale**2 + (within + between) / 2) / rng.standard_gamma(prior.shape + n / 2)
-    middle = (prior.strength * prior.center + n * average) / strength
-    return middle + rng.standard_normal(states) * np.sqrt(variances / strength), variances
-
-
-def sample_path(logs: np.ndarray, rows: np.ndarray, first: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A path given everything else: messages from the end, then states from the start."""
-    like = np.exp(logs - logs.max(axis=1, keepdims=True))
-    message = np.ones(like.shape[1])
-    ahead = np.empty_like(like)
-    for t in range(len(like) - 1, -1, -1):
-        ahead[t] = like[t] * message
-        message = rows @ ahead[t]
-        message /= message.max()
-    chance, draw, path = first, rng.random(len(like)), np.empty(len(like), dtype=np.int64)
-    for t, weight in enumerate(ahead):
-        ladder = (chance * weight).cumsum()
-        path[t] = min(int(ladder.searchsorted(draw[t] * ladder[-1], side="right")), len(ladder) - 1)
-        chance = rows[path[t]]
-    return path
-
-
-def sweeps(x: np.ndarray, states: int, prior: Prior, draws: int, burn: int, least: int, rng: np.random.Generator) -> list[Draw]:
-    """The draws after `burn`, each cut to the states with `least` samples or more (the largest one if none has)."""
-    edges = np.quantile(x, np.arange(1, states) / states)
-    path, weights, kept = np.searchsorted(edges, x), np.full(states, 1.0 / states), []
-    for sweep in range(draws):
-        counts = transition_counts(path, states)
-        served = tables(counts, weights, prior, rng).sum(axis=0)
-        weights = _normal_rows(np.maximum(rng.standard_gamma(prior.shared / states + served), TINY))
-        rows = _normal_rows(np.maximum(rng.standard_gamma(prior.row * weights + prior.stay * np.eye(states) + counts), TINY))
-        means, variances = emissions(x, path, states, prior, rng)
-        logs = emission(x, means, variances)
-        path = sample_path(logs, rows, weights, rng)
-        if sweep < burn:
-            continue
-        size = np.bincount(path, minlength=states)
-        used = np.flatnonzero(size >= min(least, size.max()))
-        density = np.take_along_axis(logs, path[:, None], 1).sum() + np.log(rows[path[:-1], path[1:]]).sum()
-        kept.append(Draw(means[used], variances[used], rows[np.ix_(used, used)], float(density)))
-    return kept
+def _gammas(shape: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Gamma draws (Marsaglia and Tsang) of shapes (..., events); proposals are the same for every event."""
+    common = (*shape.shape[:-1], 1)
+    lift = rng.random(common)
+    d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    c, out, open_ = 1 / np.sqrt(9 * d), np.empty_like(d), np.ones(d.shape, bool)
+    while open_.any():
+        z, u = rng.standard_normal(common), np.log(rng.random(common))
+        v = (1 + c * z) ** 3
+        ok = open_ & (v > 0) & (u < 0.5 * z * z + d - d * v + d * np.log(np.maximum(v, 1e-300)))
+        out[ok] = (d * v)[ok]
+        open_ &= ~ok
+    return np.where(shape < 1, out * lift ** (1 / np.minimum(shape, 1)), out)
+
+
+class Lot:
+    """Events that are sampled side by side, the longest first; arrays have the events as their last axis.
+
+    Each sweep's random numbers come from generators of their own, seeded by sweep and purpose, and every event takes their
+    first ones. So an event has the same draws in whatever lot it is.
+    """
+
+    def __init__(self, events: list[np.ndarray], states: int, prior: Prior, centers: np.ndarray, scales: np.ndarray):
+        self.k, self.e, self.prior, self.centers, self.scales = states, len(events), prior, centers, scales
+        self.n = np.array([len(x) for x in events])
+        self.live = np.searchsorted(-self.n, -np.arange(self.n[0]), side="left")  # events longer than t
+        self.x = np.zeros((self.n[0], self.e))
+        self.path = np.zeros((self.n[0], self.e), dtype=np.int64)
+        for i, x in enumerate(events):
+            self.x[: len(x), i] = x
+            self.path[: len(x), i] = np.searchsorted(np.quantile(x, np.arange(1, states) / states), x)
+        self.here = np.arange(self.n[0])[:, None] < self.n
+        self.where = np.broadcast_to(np.arange(self.e), self.x.shape)
+        self.weights = np.full((states, self.e), 1.0 / states)
+
+    def counts(self) -> np.ndarray:
+        """(from, to, events)."""
+        cell = (self.path[:-1] * self.k + self.path[1:]) * self.e + self.where[1:]
+        return np.bincount(cell[self.here[1:]], minlength=self.k * self.k * self.e).reshape(self.k, self.k, self.e)
+
+    def tables(self, counts: np.ndarray, one: np.random.Generator, two: np.random.Generator) -> np.ndarray:
+        """Tables that serve each state's dish in each restaurant, without those that the self-transition mass accounts for."""
+        k, e, prior = self.k, self.e, self.prior
+        mass = np.moveaxis(prior.row * self.weights + prior.stay * np.eye(k)[:, :, None], 2, 0).ravel()
+        many = np.moveaxis(counts, 2, 0).ravel()
+        cell, begin = np.repeat(np.arange(e * k * k), many), np.cumsum(many) - many
+        at = np.arange(len(cell))
+        customer, place = at - begin[cell], at - (np.cumsum(self.n - 1) - (self.n - 1))[cell // (k * k)]
+        opened = one.random(int(self.n[0]) - 1)[place] < mass[cell] / (mass[cell] + customer)
+        found = np.moveaxis(np.bincount(cell, opened, e * k * k).astype(int).reshape(e, k, k), 0, 2)
+        own, share = np.einsum("iie->ie", found), prior.stay / (prior.stay + prior.row)
+        chance, lots = share / (share + self.weights * (1.0 - share)), two.random((int(own.max()), k))
+        overridden = np.zeros_like(own)
+        for i, u in enumerate(lots):
+            overridden += (i < own) & (u[:, None] < chance)
+        return found.sum(axis=0) - overridden
+
+    def emissions(self, one: np.random.Generator, two: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """(means, variances) from the posterior of every state; empty states draw from the prior."""
+        prior, size = self.prior, (self.k, self.e)
+        cell, x = (self.path * self.e + self.where)[self.here], self.x[self.here]
+        n = np.bincount(cell, minlength=self.k * self.e)
+        average = np.bincount(cell, x, self.k * self.e) / np.maximum(n, 1)
+        within = np.bincount(cell, (x - average[cell]) ** 2, self.k * self.e).reshape(size)
+        n, average = n.reshape(size), average.reshape(size)
+        strength = prior.strength + n
+        between = prior.strength * n / strength * (average - self.centers) ** 2
+        variances = (self.scales**2 + (within + between) / 2) / _gammas(prior.shape + n / 2, one)
+        middle = (prior.strength * self.centers + n * average) / strength
+        return middle + two.standard_normal((self.k, 1)) * np.sqrt(variances / strength), variances
+
+    def sample_path(self, logs: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> None:
+        """Paths given everything else: messages from the end, then states from the start."""
+        ahead = np.exp(logs - logs.max(axis=1, keepdims=True))
+        message, draw = np.ones((self.k, self.e)), rng.random(len(ahead))
+        for t in range(len(ahead) - 1, -1, -1):
+            m = self.live[t]
+            now = ahead[t, :, :m]
+            now *= message[:, :m]
+            got = (rows[:, :, :m] * now).sum(axis=1)
+            got /= got.max(axis=0)
+            message[:, :m] = got
+        chance, every, by_event = self.weights, np.arange(self.e), np.ascontiguousarray(np.moveaxis(rows, 2, 0))
+        for t, m in enumerate(self.live):
+            ladder = (chance[:, :m] * ahead[t, :, :m]).cumsum(axis=0)
+            state = np.minimum((ladder <= draw[t] * ladder[-1]).sum(axis=0), self.k - 1)
+            self.path[t, :m] = state
+            chance = by_event[every[:m], state].T
+
+    def sweep(self, rngs: list[np.random.Generator]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(means, variances, rows, joint log-densities of paths and signals)."""
+        prior, eye = self.prior, np.eye(self.k)[:, :, None]
+        counts = self.counts()
+        served = self.tables(counts, rngs[0], rngs[1])
+        weights = np.maximum(_gammas(prior.shared / self.k + served, rngs[2]), TINY)
+        self.weights = weights / weights.sum(axis=0)
+        rows = np.maximum(_gammas(prior.row * self.weights + prior.stay * eye + counts, rngs[3]), TINY)
+        rows /= rows.sum(axis=1, keepdims=True)
+        means, variances = self.emissions(rngs[4], rngs[5])
+        logs = -0.5 * (np.log(2 * np.pi * variances) + (self.x[:, None] - means) ** 2 / variances)
+        self.sample_path(logs, rows, rngs[6])
+        own = np.take_along_axis(logs, self.path[:, None], 1)[:, 0]
+        moves = np.log(rows)[self.path[:-1], self.path[1:], self.where[1:]]
+        return means, variances, rows, (own * self.here).sum(axis=0) + (moves * self.here[1:]).sum(axis=0)
+
+    def best(self, draws: int, burn: int, least: int, seed: int) -> list[tuple[Counter, np.ndarray, np.ndarray, np.ndarray, float]]:
+        """(votes per number of used states, means, variances and rows of the used states, density) of each event: of the draws
+        after `burn` with the most frequent number the densest. A state is used from `least` samples on (the largest one if
+        none has)."""
+        k, e = self.k, self.e
+        votes, density = np.zeros((k + 1, e), int), np.full((k + 1, e), -np.inf)
+        means, variances, rows, used = np.empty((k + 1, k, e)), np.empty((k + 1, k, e)), np.empty((k + 1, k, k, e)), np.zeros((k + 1, k, e), bool)
+        for sweep in range(draws):
+            drawn = self.sweep([np.random.default_rng([seed, sweep, purpose]) for purpose in range(7)])
+            if sweep < burn:
+                continue
+            size = np.bincount((self.path * e + self.where)[self.here], minlength=k * e).reshape(k, e)
+            some = size >= np.minimum(least, size.max(axis=0))
+            number = some.sum(axis=0)
+            votes[number, np.arange(e)] += 1
+            at = np.flatnonzero(drawn[3] > density[number, np.arange(e)])
+            for kept, new in ((means, drawn[0]), (variances, drawn[1]), (rows, drawn[2]), (used, some), (density, drawn[3])):
+                kept[number[at], ..., at] = np.moveaxis(new[..., at], -1, 0)
+        out = []
+        for i, number in enumerate(votes.argmax(axis=0)):  # the smaller one of a tie
+            u = np.flatnonzero(used[number, :, i])
+            out.append((Counter({n: int(c) for n, c in enumerate(votes[:, i]) if c}), means[number, u, i], variances[number, u, i], rows[number][np.ix_(u, u, [i])][:, :, 0], float(density[number, i])))
+        return out
 
 
 def described(full: np.ndarray, path: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,24 +181,36 @@ def described(full: np.ndarray, path: np.ndarray, noise: float) -> tuple[np.ndar
     return path, means, np.where(deviations > 0, deviations, noise), _normal_rows(moves)
 
 
-def states_sticky(x: np.ndarray, rate: float = 1.0, step: int = 1, most: int = 8, alpha: float = 1.0, gamma: float = 1.0, kappa: float | None = None, draws: int = 300, burn: int = 150, least: int = 50, longest: int = 4000, seed: int = 0) -> States | None:
-    """Hidden states of one event, their number inferred; None for fewer than ten samples (or five after thinning).
+#: Samples, those that fill up shorter events among them, of events that are sampled side by side.
+SIDE_BY_SIDE = 1 << 18
+
+
+def states_sticky_many(events: list[np.ndarray], rate: float = 1.0, step: int = 1, most: int = 8, alpha: float = 1.0, gamma: float = 1.0, kappa: float | None = None, draws: int = 300, burn: int = 150, least: int = 50, seed: int = 0) -> list[States | None]:
+    """Hidden states of each event, their number inferred; None for fewer than ten samples (or five after thinning).
 
-    Long events are thinned to `longest` samples; a state counts as used from `least` samples on. Of the sweeps with the most
-    frequent number of used states (the smaller one of a tie) the densest is decoded once more with Viterbi.
+    Every `step`-th sample is taken (the step of an oversampled filter, by which samples are independent), whatever the length;
+    a state counts as used from `least` samples on. Of the sweeps with the most frequent number of used states (the smaller one
+    of a tie) the densest is decoded once more with Viterbi.
     """
-    full = np.asarray(x, float).ravel()
-    step = max(step, -(-len(full) // longest))
-    thin = full[::step]
-    if len(full) < 10 or len(thin) < 5:
-        return None
+    full = [np.asarray(x, float).ravel() for x in events]
+    thin = [x[::step] for x in full]
     enough = max(1, -(-least // step))
-    noise = robust_std(thin)
     stay = alpha * (max(2.0, enough) - 1.0) if kappa is None else kappa
-    found = sweeps(thin, most, Prior(alpha, gamma, stay, float(np.median(thin)), noise), draws, burn, enough, np.random.default_rng(seed))
-    votes = Counter(d.used for d in found)
-    number = min(votes, key=lambda k: (-votes[k], k))
-    best = max((d for d in found if d.used == number), key=lambda d: d.density)
-    rough = viterbi(emission(thin, best.means, best.variances), _normal_rows(best.rows))
-    path, means, deviations, shares = described(full, np.repeat(rough, step)[: len(full)], noise)
-    return States(means, deviations, shares, path, best.density, float("nan"), "sticky_hdp", {k: votes[k] / len(found) for k in sorted(votes)})
+    out: list[States | None] = [None] * len(full)
+    order = sorted((i for i in range(len(full)) if len(full[i]) >= 10 and len(thin[i]) >= 5), key=lambda i: -len(thin[i]))
+    while order:
+        lot = order[: max(1, SIDE_BY_SIDE // len(thin[order[0]]))]
+        order = order[len(lot) :]
+        own = [thin[i] for i in lot]
+        noise = np.array([robust_std(x) for x in own])
+        found = Lot(own, most, Prior(alpha, gamma, stay), np.array([np.median(x) for x in own]), noise).best(draws, burn, enough, seed)
+        for i, x, off, (votes, means, variances, rows, density) in zip(lot, own, noise, found, strict=True):
+            rough = viterbi(emission(x, means, variances), _normal_rows(rows))
+            path, levels, deviations, shares = described(full[i], np.repeat(rough, step)[: len(full[i])], off)
+            out[i] = States(levels, deviations, shares, path, density, float("nan"), "sticky_hdp", {k: votes[k] / votes.total() for k in sorted(votes)})
+    return out
+
+
+def states_sticky(x: np.ndarray, rate: float = 1.0, step: int = 1, **settings) -> States | None:
+    """As states_sticky_many, of one event."""
+    return states_sticky_many([x], rate, step, **settings)[0]
