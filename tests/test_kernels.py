@@ -90,6 +90,20 @@ def test_hidden_states():
     assert np.mean([d.mean() for d in s.dwell_times(10_000)]) == pytest.approx(0.025, rel=0.1)
 
 
+def test_sticky_states_of_many_events():
+    """Each event has the states that it has alone; no sample of a long one is passed over."""
+    made = [np.concatenate([rng(9 * n + k).normal(-10.0 * (k % 2), 1, 30 + 7 * n) for k in range(4)]) for n in range(5)] + [np.zeros(4)]
+    many = sticky.states_sticky_many(made, most=4, draws=60, burn=30, least=20)
+    assert many[-1] is None and [len(s.means) for s in many[:-1]] == [2] * 5
+    for x, s in zip(made[:-1], many, strict=False):
+        one = sticky.states_sticky(x, most=4, draws=60, burn=30, least=20)
+        assert np.array_equal(one.path, s.path) and np.allclose(one.means, s.means) and one.log_likelihood == pytest.approx(s.log_likelihood)
+    x = rng(3).normal(0, 1, 9001)
+    x[4501:] += 20.0  # of every three samples one would be looked at
+    s = sticky.states_sticky(x, most=2, draws=6, burn=3)
+    assert len(s.means) == 2 and np.array_equal(s.path, np.arange(9001) >= 4501)
+
+
 def test_sublevels():
     def signal(levels):
         return np.concatenate([np.full(2000, v) for v in levels]) + rng(5).normal(0, 1, 2000 * len(levels))

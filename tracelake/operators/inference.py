@@ -1,4 +1,4 @@
-"""Per-event models: one group per event, NumPy kernels in Arrow batches."""
+"""Per-event models: lots of whole events, NumPy kernels in Arrow batches."""
 
 from __future__ import annotations
 
@@ -20,19 +20,50 @@ def dealt(groups: DataFrame, *by: str) -> DataFrame:
     return groups.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+#: Samples of a lot: a task works on whole events of so many samples at a time, or on one longer event.
+LOT = 1 << 18
+
+
 def _per_event(samples: DataFrame, events: DataFrame | None, column: str, kernel, schema: str) -> DataFrame:
-    """events None: samples hold those of the events alone, with their start_idx."""
+    """Rows that a kernel gives for lots of events, (recording_id, start_idx, values) each.
+
+    events None: samples hold those of the events alone, with their start_idx.
+    """
     ship(samples.sparkSession)
     if events is None:
         inside = samples.select("recording_id", "start_idx", "sample_idx", F.col(column).cast("double").alias("x"))
     else:
         inside = contained(samples.select("recording_id", "sample_idx", F.col(column).cast("double").alias("x")), events.select("recording_id", "start_idx", "end_idx"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sample_idx")
-        return kernel(part["recording_id"].iloc[0], int(part["start_idx"].iloc[0]), part["x"].to_numpy())
-
-    return dealt(inside, "recording_id", "start_idx").groupBy("recording_id", "start_idx").applyInPandas(run, schema)
+    sorted_ = dealt(inside.select("recording_id", "start_idx", "sample_idx", "x"), "recording_id", "start_idx").sortWithinPartitions("recording_id", "start_idx", "sample_idx")
+
+    def borders(part: pd.DataFrame) -> np.ndarray:
+        """First rows of events but the first one."""
+        rec, start = part["recording_id"].to_numpy(), part["start_idx"].to_numpy()
+        return np.flatnonzero((rec[1:] != rec[:-1]) | (start[1:] != start[:-1])) + 1
+
+    def lot(parts: list[pd.DataFrame]) -> list[tuple[str, int, np.ndarray]]:
+        part = pd.concat(parts)
+        edge = [0, *borders(part).tolist(), len(part)]
+        rec, start, x = part["recording_id"].to_numpy(), part["start_idx"].to_numpy(), part["x"].to_numpy()
+        return [(rec[a], int(start[a]), x[a:b].copy()) for a, b in zip(edge, edge[1:], strict=False)]
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            if rows + len(batch) >= LOT:
+                cut = borders(pd.concat([held[-1].iloc[-1:], batch]) if held else batch)
+                if len(cut):
+                    at = int(cut[-1]) - bool(held)
+                    yield _frame(schema, kernel(lot([*held, batch.iloc[:at]])))
+                    held, rows, batch = [], 0, batch.iloc[at:]
+            held.append(batch)
+            rows += len(batch)
+        if held:
+            yield _frame(schema, kernel(lot(held)))
+
+    return sorted_.mapInPandas(run, schema)
 
 
 def _frame(schema: str, rows: list[tuple]) -> pd.DataFrame:
@@ -42,11 +73,14 @@ def _frame(schema: str, rows: list[tuple]) -> pd.DataFrame:
 def sublevels(samples: DataFrame, events: DataFrame | None, rate: float, cutoff: float | None, method: str = "dpgmm", most: int = 5, least: int = 50, concentration: float | None = None, column: str = "value") -> DataFrame:
     """One row per level of each event with two levels or more."""
 
-    def kernel(rec, start, x):
+    def kernel(lot):
         from tracelake.functions.sublevels import find_sublevels
 
-        found = find_sublevels(x, start, rate, cutoff, method, most, least, concentration)
-        return _frame(SUBLEVEL, [(rec, start, i, s["level_index"], s["start_idx"], s["end_idx"], s["start_time"], s["end_time"], s["duration"], s["mean_current"], s["std_current"]) for i, s in enumerate(found)])
+        out = []
+        for rec, start, x in lot:
+            found = find_sublevels(x, start, rate, cutoff, method, most, least, concentration)
+            out += [(rec, start, i, s["level_index"], s["start_idx"], s["end_idx"], s["start_time"], s["end_time"], s["duration"], s["mean_current"], s["std_current"]) for i, s in enumerate(found)]
+        return out
 
     return _per_event(samples, events, column, kernel, SUBLEVEL)
 
@@ -54,15 +88,17 @@ def sublevels(samples: DataFrame, events: DataFrame | None, rate: float, cutoff:
 def hidden_states(samples: DataFrame, events: DataFrame | None, rate: float, method: str = "bic", most: int = 5, step: int = 1, column: str = "value") -> DataFrame:
     """One row per hidden state of each event of ten samples or more."""
 
-    def kernel(rec, start, x):
+    def kernel(lot):
         from tracelake.functions.hmm import states_by_criterion
-        from tracelake.functions.sticky import states_sticky
+        from tracelake.functions.sticky import states_sticky_many
 
-        got = states_by_criterion(x, most) if method == "bic" else states_sticky(x, rate, step, most=most)
-        if got is None:
-            return _frame(STATES, [])
-        dwell = got.dwell_times(rate)
-        return _frame(STATES, [(rec, start, len(got.means), s, float(got.means[s]), float(got.stds[s]), float(np.mean(dwell[s])) if len(dwell[s]) else None, len(dwell[s]), got.log_likelihood, got.bic) for s in range(len(got.means))])
+        found = [states_by_criterion(x, most) for _, _, x in lot] if method == "bic" else states_sticky_many([x for _, _, x in lot], rate, step, most=most)
+        out = []
+        for (rec, start, _), got in zip(lot, found, strict=True):
+            if got is not None:
+                dwell = got.dwell_times(rate)
+                out += [(rec, start, len(got.means), s, float(got.means[s]), float(got.stds[s]), float(np.mean(dwell[s])) if len(dwell[s]) else None, len(dwell[s]), got.log_likelihood, got.bic) for s in range(len(got.means))]
+        return out
 
     return _per_event(samples, events, column, kernel, STATES)
 
@@ -71,11 +107,14 @@ def change_points(samples: DataFrame, events: DataFrame, method: str = "exact",
     """(recording_id, event_start, at) of each change point, as an index of the recording."""
     schema = "recording_id string, event_start long, at long"
 
-    def kernel(rec, start, x):
+    def kernel(lot):
         from tracelake.functions.changepoints import online, optimal_partition
 
-        cuts = optimal_partition(x, factor, least) if method == "exact" else online(x, hazard, least=least)[0]
-        return _frame(schema, [(rec, start, start + c) for c in cuts])
+        out = []
+        for rec, start, x in lot:
+            cuts = optimal_partition(x, factor, least) if method == "exact" else online(x, hazard, least=least)[0]
+            out += [(rec, start, start + c) for c in cuts]
+        return out
 
     return _per_event(samples, events, column, kernel, schema)
 
