@@ -352,6 +352,21 @@ def test_baseline_does_not_switch_by_size(spark):
     assert np.allclose(rows, want, rtol=0, atol=1e-9)
 
 
+def test_runs_are_merged_in_stretches(spark):
+    """Whatever the stretches, and in none of them more than its own runs and those that reach it."""
+    x = (np.random.default_rng(18).random(3000) < 0.5).astype(float)
+    x[700:1500] = 1.0
+    runs = events.find_runs(samples(spark, x).union(samples(spark, 1 - x, "b")), F.col("value") > 0, (F.max("sample_idx").alias("top"),), 50).localCheckpoint()
+    for gap in (0, 1, 4):
+        whole = sorted(map(tuple, events.merge_runs(runs, gap, ("top",), 10**9).collect()))
+        assert whole == sorted(map(tuple, events.merge_runs(runs, gap, ("top",), 64).collect()))
+        y = np.concatenate([np.zeros(10), x, np.zeros(10)]) > 0
+        edge = np.flatnonzero(np.diff(y.astype(np.int8))) - 9
+        begin, end = edge[0::2], edge[1::2]
+        far = begin[1:] - end[:-1] > gap
+        assert [(r[1], r[2]) for r in whole if r[0] == "a"] == list(zip(begin[np.r_[True, far]].tolist(), end[np.r_[far, True]].tolist(), strict=True))
+
+
 def test_narrow_means_are_plain_ones():
     """Not differences of running sums: a residual that lies on a threshold stays there."""
     from tracelake.functions import windows

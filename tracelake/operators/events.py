@@ -1,7 +1,7 @@
 """Events: runs of a mask, merged over short gaps, long enough, with their statistics.
 
 Runs are found chunk by chunk; one that a border cuts leaves two runs with gap 0, and merging joins them again. Only runs,
-never samples, meet in a window over a whole recording.
+and only those at the ends of stretches, never samples, meet in a window over a whole recording.
 """
 
 from __future__ import annotations
@@ -30,12 +30,27 @@ def find_runs(samples: DataFrame, mask: Column, extra: tuple[Column, ...] = (),
     return island.groupBy("recording_id", "chunk", "island").agg(F.min("sample_idx").alias("start_idx"), (F.max("sample_idx") + 1).alias("end_idx"), *extra).drop("chunk", "island")
 
 
-def merge_runs(runs: DataFrame, gap: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Runs of a recording whose gap is at most `gap` become one; `keep` columns are combined by max."""
-    order = Window.partitionBy("recording_id").orderBy("start_idx")
+#: Samples of a stretch in which runs are merged; only the runs at its ends meet those of other stretches.
+SPAN = 1 << 18
+
+
+def merge_runs(runs: DataFrame, gap: int, keep: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """Runs of a recording, which do not overlap, whose gap is at most `gap` become one; `keep` columns are combined by max.
+
+    Stretch by stretch: a run serves every stretch that it reaches with its gap, as a predecessor. What may go on over an end,
+    two events a stretch at most, is merged in a window over the recording.
+    """
+    first = F.floor(F.col("start_idx") / span)
+    near = runs.withColumn("chunk", F.explode(F.sequence(first, F.floor((F.col("end_idx") + gap) / span))))
+    stretch = Window.partitionBy("recording_id", "chunk")
+    order = stretch.orderBy("start_idx")
     new = F.coalesce((F.col("start_idx") - F.lag("end_idx").over(order) > gap).cast("int"), F.lit(1))
-    marked = runs.withColumn("new", new).withColumn("event", F.sum("new").over(order))
-    return marked.groupBy("recording_id", "event").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"), *(F.max(c).alias(c) for c in keep)).drop("event")
+    marked = near.withColumn("new", new).where(first == F.col("chunk")).withColumn("event", F.sum("new").over(order))  # 0: goes on from before
+    sums = (F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"), *(F.max(c).alias(c) for c in keep))
+    parts = marked.groupBy("recording_id", "chunk", "event").agg(*sums).withColumn("edge", (F.col("event") == 0) | (F.col("event") == F.max("event").over(stretch)))
+    ends = parts.where("edge").withColumn("event", F.sum((F.col("event") > 0).cast("int")).over(Window.partitionBy("recording_id").orderBy("start_idx")))
+    whole = ends.groupBy("recording_id", "event").agg(*sums).drop("event")
+    return parts.where("NOT edge").select(*whole.columns).unionByName(whole)
 
 
 def contained(samples: DataFrame, intervals: DataFrame, chunk: int = CHUNK, how: str = "inner") -> DataFrame:
