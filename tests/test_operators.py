@@ -367,6 +367,20 @@ def test_runs_are_merged_in_stretches(spark):
         assert [(r[1], r[2]) for r in whole if r[0] == "a"] == list(zip(begin[np.r_[True, far]].tolist(), end[np.r_[far, True]].tolist(), strict=True))
 
 
+def test_lots_hold_whole_events(spark, monkeypatch):
+    from tracelake.operators import inference
+
+    monkeypatch.setattr(inference, "LOT", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        spans = [(0, 20), (20, 300), (300, 310), (310, 347), (347, 1000)]
+        ev = spark.createDataFrame([("a", a, b) for a, b in spans], "recording_id string, start_idx long, end_idx long")
+        got = inference._per_event(samples(spark, np.arange(1000)), ev, "value", lambda lot: [(r, a, len(x), float(x.sum()), bool((np.diff(x) == 1).all())) for r, a, x in lot], "recording_id string, start long, n long, total double, dense boolean").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [("a", a, b - a, float(sum(range(a, b))), True) for a, b in spans]
+
+
 def test_narrow_means_are_plain_ones():
     """Not differences of running sums: a residual that lies on a threshold stays there."""
     from tracelake.functions import windows
